@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexspan.llm import languages, mixing
 from lexspan.llm.near_duplicates import NearDuplicates
+from lexspan.llm.packing import containers, pack
 from lexspan.llm.representatives import represent_bills
 from lexspan.llm.shared_spans import shared_report, shared_spans
 from lexspan.llm.splitting import split_bills
+from lexspan.llm.tokens import n_tokens
 from lexspan.runtime import table
 
 
@@ -71,6 +74,57 @@ def p5_groups(spark: SparkSession, folder: str) -> DataFrame:
     return groups.join(table(spark, folder, "bill_corpus").select("entry_id", "bill_number"), "entry_id")
 
 
+def p6_containers(spark: SparkSession, folder: str) -> DataFrame:
+    """Every container with its documents (or their parts) and its fill in tokens."""
+    capacity = int(limit_of(spark, folder, "container_capacity"))
+    sizes = table(spark, folder, "documents").select("doc_id", n_tokens("text").alias("n_tokens"))
+    return containers(pack(sizes, "doc_id", "n_tokens", capacity), capacity)
+
+
+def _mix(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "source")
+    return mixing.choose(docs, "doc_id", "text", "source", n_tokens("text"), table(spark, folder, "mix_targets"))
+
+
+def p7_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """Every chosen document with its count, and the target and reached share of its source."""
+    chosen, shares = _mix(spark, folder)
+    return chosen.join(shares.select("source", "target_share", "reached_share"), "source").select(
+        F.col("doc").alias("doc_id"), "source", F.col("size").alias("n_tokens"), "n_used", "target_share", "reached_share"
+    )
+
+
+def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per target source: what it should contribute and what it does."""
+    return _mix(spark, folder)[1]
+
+
+def p7_order(spark: SparkSession, folder: str) -> DataFrame:
+    """Every copy of every chosen document, globally shuffled."""
+    return mixing.mixture(_mix(spark, folder)[0]).withColumnRenamed("doc", "doc_id")
+
+
+def _labelled(spark: SparkSession, folder: str) -> DataFrame:
+    docs, aliases = table(spark, folder, "documents"), table(spark, folder, "lang_aliases")
+    classifier = languages.train(table(spark, folder, "lang_samples"), docs, aliases)
+    return languages.label(docs.select("doc_id", "lang", "text"), "text", classifier)
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    run_min = int(limit_of(spark, folder, "language_run_min"))
+    return languages.wrong_labels(_labelled(spark, folder), table(spark, folder, "lang_aliases"), run_min)
+
+
+def p8_segments(spark: SparkSession, folder: str) -> DataFrame:
+    """Every segment of every document with its language and confidence."""
+    return _labelled(spark, folder).select("doc_id", F.posexplode("segments").alias("segment_no", "s")).select("doc_id", "segment_no", "s.*")
+
+
+def p8_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """The language of each document with a confidence."""
+    return languages.document_labels(_labelled(spark, folder))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_report": p1_report,
@@ -80,6 +134,13 @@ QUERIES = {
     "p4_pieces": p4_pieces,
     "p5_found": p5_found,
     "p5_groups": p5_groups,
+    "p6_containers": p6_containers,
+    "p7_mix": p7_mix,
+    "p7_shares": p7_shares,
+    "p7_order": p7_order,
+    "p8_found": p8_found,
+    "p8_segments": p8_segments,
+    "p8_documents": p8_documents,
 }
 
 _FIELDS = (
