@@ -1,25 +1,95 @@
-"""Named queries of the core over a folder of Parquet tables, and their SQL."""
+"""Named queries of the core over a folder of Parquet tables, and their SQL.
+
+Each runs over its whole tables. A query without an entry in SQL needs what SQL can't state (ordered
+scans with a state, look-around); tests hold it against brute force or fixed cases.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lexspan.core.snapshots import bill_changes
+from lexspan.functions import rules, text
+from lexspan.operators import documents, harness, search, selection
+from lexspan.plans import plain_meaning as plan
 from lexspan.runtime import table
+from lexspan.sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+KEYS = ("entry_id", "section_pos")
 
 
-def p3_found(spark: SparkSession, folder: str) -> DataFrame:
-    return bill_changes(table(spark, folder, "bill_snapshots"))
+def query(sql: str | None = None, name: str | None = None):
+    def add(f: Query) -> Query:
+        QUERIES[name or f.__name__] = f
+        if sql:
+            SQL[name or f.__name__] = sql
+        return f
+
+    return add
+
+
+def sections(spark: SparkSession, folder: str) -> DataFrame:
+    """(entry_id, bill_number, section_pos, text) of all sections."""
+    rows = table(spark, folder, "bill_corpus").select("entry_id", "bill_number", F.posexplode("sections").alias("section_pos", "s"))
+    return rows.select("entry_id", "bill_number", "section_pos", F.col("s.text").alias("text"))
+
+
+def sentences(spark: SparkSession, folder: str) -> DataFrame:
+    return sections(spark, folder).select(*KEYS, F.posexplode(text.sentences(F.col("text"))).alias("pos", "sentence"))
+
+
+# SQL fragments -------------------------------------------------------------------------------------
+
+S_SECTIONS = """s AS (
+  SELECT entry_id, bill_number, unnest(range(len(sections)))::INT AS section_pos, unnest(list_transform(sections, lambda x: x.text)) AS text
+  FROM bill_corpus WHERE sections IS NOT NULL)"""
+
+
+def sql_split(source: str, least: int, starts: str) -> str:
+    """Sentences by inserting a mark after each sentence end and splitting at it."""
+    parts = f"string_split(regexp_replace({source}, '([.!?])\\s+([{starts}])', '\\1' || chr(2) || '\\2', 'g'), chr(2))"
+    return f"list_filter(list_transform({parts}, lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: length(x) > {least})"
+
+
+S_SENTENCES = (
+    S_SECTIONS
+    + f""", l AS (SELECT entry_id, section_pos, {sql_split("text", 15, 'A-Z("')} AS l FROM s WHERE text IS NOT NULL),
+sent AS (SELECT entry_id, section_pos, unnest(range(len(l)))::INT AS pos, unnest(l) AS sentence FROM l)"""
+)
+
+
+def quoted(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+def has(c: str, pattern: str) -> str:
+    return f"regexp_matches({c}, {quoted('(?i)' + pattern)})"
+
+
+def first(c: str, pattern: str, group: int = 0, flags: str = "(?i)") -> str:
+    return f"nullif(trim(regexp_extract({c}, {quoted(flags + pattern)}, {group}), ' \t\n\r'), '')"
+
+
+def every(c: str, pattern: str) -> str:
+    return f"list_transform(regexp_extract_all({c}, {quoted('(?i)' + pattern)}), lambda m: regexp_replace(m, '^\\s+|\\s+$', '', 'g'))"
 
 
-QUERIES: dict[str, Query] = {"p3_found": p3_found}
+def case(c: str, pairs: list[tuple[str, str]], otherwise: str = "NULL") -> str:
+    return "CASE " + " ".join(f"WHEN {has(c, p)} THEN '{n}'" for n, p in pairs) + f" ELSE {otherwise} END"
 
-SQL: dict[str, str] = {
-    "p3_found": r"""
+
+S_SIGNAL = case("sentence", [(n, rules.any_word(w)) for n, w in (("prohibition", rules.PROHIBITION), ("obligation", rules.OBLIGATION), ("permission", rules.PERMISSION))])
+
+# Training data, general ------------------------------------------------------------------------------
+
+
+@query(r"""
 WITH k AS (
   SELECT snapshot_no, session, regexp_replace(upper(bill_id_display), '[^A-Z0-9]', '', 'g') AS bill_key, delivered_at,
     lower(trim(regexp_replace(coalesce(status, ''), '\s+', ' ', 'g'))) || chr(1)
@@ -36,7 +106,485 @@ SELECT coalesce(a.n, b.n) AS snapshot_no, coalesce(a.session, b.session) AS sess
   CASE WHEN b.n IS NULL THEN 'added' WHEN a.n IS NULL THEN 'removed' ELSE 'changed' END AS change_kind
 FROM new a FULL JOIN old b ON a.n = b.n AND a.session = b.session AND a.bill_key = b.bill_key
 WHERE a.v IS DISTINCT FROM b.v
-""",
-}
+""")
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return bill_changes(table(spark, folder, "bill_snapshots"))
+
+
+# Sentences and their rules ---------------------------------------------------------------------------
+
+
+@query(f"WITH {S_SENTENCES} SELECT * FROM sent")
+def split_sentences(spark: SparkSession, folder: str) -> DataFrame:
+    return sentences(spark, folder)
+
+
+@query(f"WITH {S_SENTENCES} SELECT entry_id, section_pos, pos, {S_SIGNAL} AS signal FROM sent")
+def signal(spark: SparkSession, folder: str) -> DataFrame:
+    return sentences(spark, folder).select(*KEYS, "pos", rules.signal(F.col("sentence")).alias("signal"))
+
+
+@query(f"WITH {S_SENTENCES} SELECT {S_SIGNAL} AS signal, count(*) AS n_sentences, count(DISTINCT entry_id) AS n_entries FROM sent GROUP BY 1")
+def signal_counts(spark: SparkSession, folder: str) -> DataFrame:
+    rows = sentences(spark, folder).select("entry_id", rules.signal(F.col("sentence")).alias("signal"))
+    return rows.groupBy("signal").agg(F.count("*").alias("n_sentences"), F.countDistinct("entry_id").alias("n_entries"))
+
+
+S_DATE = rf"\b(?:effective|takes?\s+effect)\s+([^.;\n]{{0,60}}?(?:{rules.MONTHS})\s+\d{{1,2}},?\s+\d{{4}})"
+
+
+@query(f"""WITH {S_SECTIONS}, t AS (SELECT entry_id, section_pos, text, {case("text", [
+    ("addition", r"\bNEW\s+SECTION\b"), ("amendment", r"\bis\s+amended\s+to\s+read\s+as\s+follows\b"), ("repeal", r"\b(?:are\s+each\s+repealed|is\s+repealed)\b"),
+    ("delayed", S_DATE), ("appropriation", r"\bis\s+(?:hereby\s+)?appropriated\b|\bsum\s+of\s+\$")], "'standard'")} AS section_type FROM s WHERE text IS NOT NULL)
+SELECT entry_id, section_pos, section_type,
+  CASE WHEN section_type = 'delayed' THEN trim(left(trim(regexp_replace({first("text", S_DATE, 1)}, '\\s+', ' ', 'g')), 40)) END AS effective_date FROM t""")
+def section_type(spark: SparkSession, folder: str) -> DataFrame:
+    return sections(spark, folder).where("text IS NOT NULL").select(*KEYS, rules.section_type(F.col("text")).alias("k")).select(*KEYS, F.col("k.type").alias("section_type"), "k.effective_date")
+
+
+@query(f"WITH {S_SENTENCES} SELECT entry_id, section_pos, pos, rule FROM (SELECT *, {case('sentence', rules.PURPOSE)} AS rule FROM sent) WHERE rule IS NULL AND {S_SIGNAL} IS NOT NULL")
+def constraint_filter(spark: SparkSession, folder: str) -> DataFrame:
+    """Sentences with a signal that do more than state a purpose."""
+    rows = sentences(spark, folder).where(rules.signal(F.col("sentence")).isNotNull())
+    return rows.select(*KEYS, "pos", rules.purpose_rule(F.col("sentence")).alias("rule")).where("rule IS NULL")
+
+
+@query(f"""WITH {S_SENTENCES} SELECT entry_id, section_pos, pos,
+  trim(regexp_replace(regexp_replace(regexp_replace(sentence, '(?i)^\\s*(?:NEW SECTION\\.\\s+)?Sec\\.\\s+\\d+\\.?\\s*', ''), '(?i)^\\s*Section\\s+\\d+[.:)]\\s*', ''), '\\s+', ' ', 'g')) AS normalized FROM sent""")
+def normalize(spark: SparkSession, folder: str) -> DataFrame:
+    return sentences(spark, folder).select(*KEYS, "pos", rules.normalize(F.col("sentence")).alias("normalized"))
+
+
+@query(f"WITH {S_SENTENCES} SELECT entry_id, section_pos, pos, lower({first('sentence', chr(92) + 'b(?:' + '|'.join(rules.MODALS) + ')' + chr(92) + 'b')}) AS modal FROM sent")
+def modal_find(spark: SparkSession, folder: str) -> DataFrame:
+    return sentences(spark, folder).select(*KEYS, "pos", rules.modal(F.col("sentence")).alias("modal"))
+
+
+@query(f"""WITH {S_SENTENCES} SELECT entry_id, section_pos, pos,
+  array_to_string(list_concat({every("sentence", rf"within\s+(?:{rules.NUMBER_WORDS})\s+{rules.PERIOD}")}, {every("sentence", r"no later than\s+[^;.]{3,60}")}), '|') AS deadlines,
+  array_to_string({every("sentence", r"(?:upon|after|following|once)\s+[^,;.]{4,60}")}, '|') AS triggers,
+  array_to_string({every("sentence", r"(?:before|after|then|prior to|subsequent to)\s+[^,;.]{4,60}")}, '|') AS sequence FROM sent""")
+def temporal(spark: SparkSession, folder: str) -> DataFrame:
+    s = F.col("sentence")
+    kinds = {"deadlines": rules.deadlines(s), "triggers": rules.triggers(s), "sequence": rules.sequence(s)}
+    return sentences(spark, folder).select(*KEYS, "pos", *[F.array_join(c, "|").alias(n) for n, c in kinds.items()])
+
+
+@query(f"""WITH {S_SENTENCES}, j AS (SELECT *, {case("sentence", [("Washington State", r"\b(?:rcw|revised code of washington|washington state|wa legislature)\b"), ("Federal", r"\b(?:congress|federal|u\.s\.|cfr|u\.s\.c\.)\b")])} AS jurisdiction FROM sent)
+SELECT entry_id, section_pos, pos, jurisdiction, CASE jurisdiction WHEN 'Washington State' THEN 'wa_legislature' WHEN 'Federal' THEN 'federal_law' END AS system,
+  {first("sentence", r"\b(?:the\s+)?(?:department|agency|commission|board|office|secretary|director|officer|authority)\s+of\s+[A-Z][A-Za-z\s]{2,40}", 0, "")} AS entity,
+  {first("sentence", r"\b(?:by|through|via|using|pursuant to)\s+[^,;.]{4,80}")} AS mechanism,
+  {first("sentence", r"\b(?:penalty|fine|violation|failure to comply|subject to\s+(?:a\s+)?(?:fine|penalty)|enforcement)\b[^.;]*")} AS enforcement FROM j""")
+def jurisdiction_and_mechanism(spark: SparkSession, folder: str) -> DataFrame:
+    s = F.col("sentence")
+    return sentences(spark, folder).select(*KEYS, "pos", rules.jurisdiction(s).alias("j"), rules.mechanism(s).alias("mechanism"), rules.enforcement(s).alias("enforcement")).select(*KEYS, "pos", "j.*", "mechanism", "enforcement")
+
+
+@query(f"""WITH {S_SENTENCES} SELECT entry_id, section_pos, pos,
+  array_to_string({every("sentence", r"\b(?:may|might|could|likely|possible|probable)\b[^,;.]{0,60}")}, '|') AS likelihood,
+  array_to_string({every("sentence", r"\b(?:resulting? in|subject to|leading? to|cause[sd]?|consequence)\b[^,;.]{0,60}")}, '|') AS consequences FROM sent""")
+def risk(spark: SparkSession, folder: str) -> DataFrame:
+    s = F.col("sentence")
+    return sentences(spark, folder).select(*KEYS, "pos", F.array_join(rules.likelihood(s), "|").alias("likelihood"), F.array_join(rules.consequences(s), "|").alias("consequences"))
+
+
+@query(f"WITH {S_SENTENCES} SELECT entry_id, section_pos, pos, {case('sentence', rules.LENSES, chr(39) + 'modality_shift' + chr(39))} AS lens FROM sent")
+def lens(spark: SparkSession, folder: str) -> DataFrame:
+    return sentences(spark, folder).select(*KEYS, "pos", rules.lens(F.col("sentence"), F.array().cast("array<string>")).alias("lens"))
+
+
+@query(f"""WITH {S_SENTENCES}, m AS (SELECT entry_id, section_pos, pos, lower({first('sentence', chr(92) + 'b(?:' + '|'.join(rules.MODALS) + ')' + chr(92) + 'b')}) AS modal, {S_SIGNAL} AS signal FROM sent)
+SELECT entry_id, section_pos, pos, CASE WHEN regexp_matches(coalesce(modal, signal, ''), '(?:shall|must|may) not') OR modal = 'cannot' OR signal = 'prohibition' THEN 'cannot'
+  WHEN signal = 'obligation' THEN 'must' WHEN coalesce(modal, signal) = 'may' OR coalesce(modal, signal) LIKE '%permitted%' OR coalesce(modal, signal) LIKE '%authorized%' OR signal = 'permission' THEN 'may' ELSE 'must' END AS verb FROM m""")
+def modal_verb(spark: SparkSession, folder: str) -> DataFrame:
+    s = F.col("sentence")
+    return sentences(spark, folder).select(*KEYS, "pos", rules.modal_verb(rules.modal(s), rules.signal(s)).alias("verb"))
+
+
+@query(f"""WITH {S_SENTENCES}, c AS (SELECT entry_id, section_pos, pos, trim(regexp_replace(sentence, '\\s+', ' ', 'g')) AS s FROM sent)
+SELECT entry_id, section_pos, pos, upper(left(s, 1)) || substr(s, 2) || CASE WHEN s LIKE '%.' OR s LIKE '%:' THEN '' ELSE '.' END AS final FROM c""")
+def finalize(spark: SparkSession, folder: str) -> DataFrame:
+    return sentences(spark, folder).select(*KEYS, "pos", rules.finalize(F.col("sentence")).alias("final"))
+
+
+# Markup and sections ---------------------------------------------------------------------------------
+
+
+@query(r"""
+WITH p AS (SELECT entry_id, string_split(regexp_replace(text, '(^|\n)([ \t]*(?:NEW SECTION\.\s+)?Sec\.\s+\d+\.)', '\1' || chr(2) || '\2', 'g'), chr(2)) AS l FROM bill_corpus WHERE text IS NOT NULL),
+f AS (SELECT entry_id, list_filter(list_transform(l[2:], lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: length(x) > 20) AS f, regexp_replace(array_to_string(l, ''), '^\s+|\s+$', '', 'g') AS whole FROM p),
+g AS (SELECT entry_id, CASE WHEN len(f) > 0 THEN f ELSE [whole] END AS f FROM f),
+u AS (SELECT entry_id, unnest(range(len(f)))::INT AS section_pos, unnest(f) AS text FROM g)
+SELECT entry_id, section_pos, nullif(regexp_extract(text, 'Sec\.\s+(\d+)', 1), '') AS section_number, regexp_matches(text, '^\s*NEW SECTION\.') AS is_new, length(text) AS n_chars FROM u
+""")
+def section_split(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "bill_corpus").where("text IS NOT NULL").select("entry_id", F.posexplode(text.sections(F.col("text"))).alias("section_pos", "s"))
+    return rows.select("entry_id", "section_pos", F.col("s.sectionNumber").alias("section_number"), F.col("s.isNewSection").alias("is_new"), F.length("s.text").alias("n_chars"))
+
+
+@query(r"""
+SELECT entry_id, md5(regexp_replace(regexp_replace(regexp_replace(text, '\(\((?s:.*?)\)\)', '', 'g'), '[ \t]{2,}', ' ', 'g'), '\s*-{3,}\s*END\s*-{3,}\s*\.?\s*$', '')) AS digest FROM bill_corpus WHERE text IS NOT NULL
+""")
+def strike_and_end_strip(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "bill_corpus").where("text IS NOT NULL").select("entry_id", F.md5(text.strip_end(text.strike(F.col("text")))).alias("digest"))
+
+
+def pages(spark: SparkSession, folder: str) -> DataFrame:
+    """Markup made of the texts: paragraphs, breaks, entities, a script, and links to documents."""
+    t = F.replace(F.replace(F.replace(F.col("text"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    link = lambda kind, ext: F.concat(F.lit(f'<a href="/documents/billdocs/{ext}/'), F.coalesce("bill_number", F.lit("0")), F.lit(f'.{ext}">{kind}</a><br/>'))
+    html = F.concat(
+        F.lit("<html><script>var x = 1;</script><body><p>"), F.replace(t, F.lit("\n"), F.lit("</p>\n<p>")), F.lit("</p><div>a&nbsp;&quot;b&quot;</div>"),
+        link("Original Bill", "pdf"), link("Substitute Bill", "htm"), link("Original Bill", "pdf"), F.lit('<a href="mailto:x@y">mail</a></body></html>'),
+    )
+    return table(spark, folder, "bill_corpus").where("text IS NOT NULL").select("entry_id", F.coalesce("bill_number", F.lit("0")).alias("number"), html.alias("html"))
+
+
+S_PAGES = """p AS (SELECT entry_id, coalesce(bill_number, '0') AS number, '<html><script>var x = 1;</script><body><p>' || replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(10), '</p>' || chr(10) || '<p>')
+  || '</p><div>a&nbsp;&quot;b&quot;</div>' || '<a href="/documents/billdocs/pdf/' || coalesce(bill_number, '0') || '.pdf">Original Bill</a><br/>' || '<a href="/documents/billdocs/htm/' || coalesce(bill_number, '0') || '.htm">Substitute Bill</a><br/>'
+  || '<a href="/documents/billdocs/pdf/' || coalesce(bill_number, '0') || '.pdf">Original Bill</a><br/>' || '<a href="mailto:x@y">mail</a></body></html>' AS html FROM bill_corpus WHERE text IS NOT NULL)"""
+S_DECODE = "replace(replace(replace(replace(replace(replace(replace({}, '&nbsp;', ' '), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&#x27;', '''')"
+
+
+@query("WITH " + S_PAGES + r""", a AS (SELECT entry_id, regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script>', ' ', 'g'), '(?i)<br\s*/?>|</p>|</div>|</tr>', chr(10), 'g') AS h FROM p),
+b AS (SELECT entry_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(h, '<[^>]+>', ' ', 'g'), '[ \t]+', ' ', 'g'), ' *\n *', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g') AS h FROM a)
+SELECT entry_id, md5(""" + S_DECODE.format(r"regexp_replace(h, '^\s+|\s+$', '', 'g')") + ") AS digest FROM b")
+def html_clean(spark: SparkSession, folder: str) -> DataFrame:
+    return pages(spark, folder).select("entry_id", F.md5(text.html_clean(F.col("html"))).alias("digest"))
+
+
+@query("WITH " + S_PAGES + ", a AS (SELECT entry_id, " + S_DECODE.format("regexp_replace(html, '<[^>]+>', ' ', 'g')") + r" AS h FROM p) SELECT entry_id, md5(trim(regexp_replace(h, '\s+', ' ', 'g'))) AS digest FROM a")
+def strip_tags(spark: SparkSession, folder: str) -> DataFrame:
+    return pages(spark, folder).select("entry_id", F.md5(text.strip_tags(F.col("html"))).alias("digest"))
+
+
+@query("""SELECT entry_id, kind AS description, 'https://app.example.gov/documents/billdocs/' || ext || '/' || coalesce(bill_number, '0') || '.' || ext AS url, type AS file_type, label AS title
+FROM bill_corpus, (VALUES ('Original Bill', 'Original Bill', 'pdf', 'pdf'), ('Original Bill', 'Substitute Bill', 'htm', 'html')) v(kind, label, ext, type) WHERE text IS NOT NULL""")
+def html_links(spark: SparkSession, folder: str) -> DataFrame:
+    """Both documents of each page; the description comes from the text around the link, where "Original Bill" stands."""
+    return documents.links(pages(spark, folder), "entry_id", "html", "https://app.example.gov/", "number").select("entry_id", "description", "url", "file_type", "title")
+
+
+@query("""SELECT entry_id, 'https://app.example.gov/documents/billdocs/pdf/' || coalesce(bill_number, '0') || '.pdf' AS url FROM bill_corpus WHERE text IS NOT NULL""")
+def original_doc(spark: SparkSession, folder: str) -> DataFrame:
+    found = documents.links(pages(spark, folder), "entry_id", "html", "https://app.example.gov/", "number")
+    return documents.original(found, "entry_id").select("entry_id", "url")
+
+
+@query(r"""
+WITH r AS (SELECT *, regexp_replace(bill_id_display, '^\s+|\s+$', '', 'g') AS i, regexp_replace(bill_number, '^\s+|\s+$', '', 'g') AS n,
+  nullif(regexp_replace(historyLine, '^\s+|\s+$', '', 'g'), '') AS h, nullif(regexp_replace(title, '^\s+|\s+$', '', 'g'), '') AS t, nullif(regexp_replace(legal_title, '^\s+|\s+$', '', 'g'), '') AS l,
+  nullif(regexp_replace(status, '^\s+|\s+$', '', 'g'), '') AS st FROM bill_index)
+SELECT i AS bill_id_display, regexp_replace(i, '\s+', '', 'g') AS bill_id_normalized, n AS bill_number, coalesce(t, l, i) AS title, coalesce(h, st, '') AS status FROM r WHERE i <> '' AND n <> ''
+""")
+def xml_bill_info(spark: SparkSession, folder: str) -> DataFrame:
+    """The bulk feed: index records written as XML and parsed again."""
+    names = {"BillId": "bill_id_display", "BillNumber": "bill_number", "ShortDescription": "title", "LegalTitle": "legal_title", "HistoryLine": "historyLine", "Status": "status", "Biennium": "session"}
+
+    def element(tag: str, c: str):
+        v = F.col(c)
+        for plain, coded in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+            v = F.replace(v, F.lit(plain), F.lit(coded))
+        return F.when(F.col(c).isNotNull(), F.concat(F.lit(f"<{tag}>"), v, F.lit(f"</{tag}>"))).otherwise("")
+
+    xml = F.concat(F.lit("<R><LegislationInfo>"), *[element(t, c) for t, c in names.items()], F.lit("<Active>true</Active></LegislationInfo></R>"))
+    feed = table(spark, folder, "bill_index").select(xml.alias("xml"))
+    return tables.bulk_records(feed, "xml").select("bill_id_display", "bill_id_normalized", "bill_number", "title", "status")
+
+
+@query("""
+WITH s AS (SELECT entry_id, unnest(range(len(sections)))::INT AS section_pos, unnest(sections) AS s FROM bill_corpus WHERE sections IS NOT NULL),
+l AS (SELECT entry_id, section_pos, s.sectionNumber AS section_number, unnest(s.preSourceLog) AS p FROM s)
+SELECT section_number, p.type AS type, count(*) AS n, sum(length(p.removed)) AS removed_chars FROM l GROUP BY 1, 2
+""")
+def presource_log(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "bill_corpus").select(F.explode("sections").alias("s")).select(F.col("s.sectionNumber").alias("section_number"), F.explode("s.preSourceLog").alias("p"))
+    return rows.groupBy("section_number", F.col("p.type").alias("type")).agg(F.count("*").alias("n"), F.sum(F.length("p.removed")).alias("removed_chars"))
+
+
+@query()
+def section_asof(spark: SparkSession, folder: str) -> DataFrame:
+    """Struck text of each entry with the section it stands in; citations are taken as struck where there is none."""
+    marked = table(spark, folder, "bill_corpus").where("text IS NOT NULL").select("entry_id", F.regexp_replace("text", r"(RCW \d[\d.]*)", "(($1))").alias("text"))
+    return documents.struck_sections(marked, "entry_id", "text")
+
+
+# Selection -------------------------------------------------------------------------------------------
+
+S_CLASSES = "list_filter([" + ", ".join(f"CASE WHEN {has('x', p)}{' AND NOT ' + has('x', chr(92) + 'bmay not' + chr(92) + 'b') if n == 'permission' else ''} THEN '{n}' END" for n, p in selection.CLASSES) + "], lambda z: z IS NOT NULL)"
+S_SELECTED = (
+    S_SECTIONS
+    + f""", l AS (SELECT entry_id, section_pos, {sql_split("trim(regexp_replace(text, '\\s+', ' ', 'g'))", 20, "A-Z(")} AS l FROM s WHERE text IS NOT NULL),
+x AS (SELECT entry_id, section_pos, unnest(range(len(l)))::INT AS pos, unnest(l) AS x FROM l),
+c AS (SELECT *, {S_CLASSES} AS types FROM x),
+sel AS (SELECT *, coalesce({", ".join(f"CASE WHEN list_contains(types, '{p}') THEN '{p}' END" for p in selection.PRIORITY)}) AS primary_type FROM c WHERE len(types) > 0)"""
+)
+
+
+@query(f"WITH {S_SELECTED} SELECT entry_id, section_pos, pos, primary_type, array_to_string(types, '|') AS signal_types, x AS source_span FROM sel")
+def sel_units(spark: SparkSession, folder: str) -> DataFrame:
+    return selection.units(sections(spark, folder), *KEYS).select(*KEYS, "pos", "primary_type", F.array_join("signal_types", "|").alias("signal_types"), "source_span")
+
+
+@query("WITH " + S_SELECTED + ", r AS (" + " UNION ALL ".join(f"SELECT entry_id, section_pos, pos, '{n}' AS type, unnest({every('x', p)}) AS text FROM sel" for n, p in selection.REFERENCES) + ") SELECT * FROM r")
+def sel_references(spark: SparkSession, folder: str) -> DataFrame:
+    return selection.units(sections(spark, folder), *KEYS).select(*KEYS, "pos", F.explode("references").alias("r")).select(*KEYS, "pos", "r.*")
+
+
+@query(f"""WITH {S_SELECTED}, n AS (SELECT *, sum(CASE WHEN primary_type IN ('obligation', 'prohibition', 'permission') THEN 1 ELSE 0 END) OVER (PARTITION BY entry_id ORDER BY section_pos, pos) AS rule_no FROM sel)
+SELECT entry_id, rule_no::BIGINT AS rule_no, arg_min(primary_type, section_pos * 1000000 + pos) AS rule_type, count(*) AS n_units,
+  count(*) FILTER (WHERE list_contains(types, 'condition')) AS n_conditions, count(*) FILTER (WHERE list_contains(types, 'exception')) AS n_exceptions
+FROM n WHERE rule_no > 0 GROUP BY 1, 2""")
+def sel_rules(spark: SparkSession, folder: str) -> DataFrame:
+    found = selection.rules(selection.units(sections(spark, folder), *KEYS), "entry_id", "section_pos")
+    return found.select("entry_id", "rule_no", "rule_type", "n_units", F.size("conditions").cast("long").alias("n_conditions"), F.size("exceptions").cast("long").alias("n_exceptions"))
+
+
+@query(f"WITH {S_SELECTED} SELECT primary_type, count(*) AS n_units FROM sel GROUP BY 1")
+def sel_summary(spark: SparkSession, folder: str) -> DataFrame:
+    return selection.summary(selection.units(sections(spark, folder), *KEYS))
+
+
+# Search ----------------------------------------------------------------------------------------------
+
+S_NUMBER = r"coalesce(regexp_extract(regexp_replace({}, '(?i)\bRCW\s+[\d.A-Za-z]+', '', 'g'), '\b(\d{{3,4}})\b', 1), '')"
+
+
+def s_route(n: str, at: int, other: str) -> str:
+    return "CASE " + " ".join(f"WHEN TRY_CAST({n} AS INT) BETWEEN {r[0]} AND {r[1]} THEN '{r[at]}'" for r in search.ROUTES) + f" ELSE '{other}' END"
+
+
+@query(f"SELECT record_id, bill_number, {s_route('bill_number', 2, 'Bill')} AS abbreviation, {s_route('bill_number', 3, 'Legislative record')} AS record_type, {s_route('bill_number', 4, 'Unknown')} AS route_chamber FROM bill_index")
+def route(spark: SparkSession, folder: str) -> DataFrame:
+    return search.route(table(spark, folder, "bill_index"), "bill_number").select("record_id", "bill_number", "abbreviation", "record_type", "route_chamber")
+
+
+@query("SELECT record_id, " + S_NUMBER.format("bill_id_display") + r""" AS number, CASE WHEN regexp_matches(trim(session, ' '), '^\d{4}-\d{2}$') THEN trim(session, ' ')
+ ELSE '2025-26' END AS biennium FROM bill_index""")
+def query_number_and_biennium(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "bill_index")
+    return rows.select("record_id", search.bill_number(F.col("bill_id_display")).alias("number"), search.biennium(F.col("session"), 2026).alias("biennium"))
+
+
+#: Searches of the query ``search_topk``: the words and the phrases with a parent word.
+SEARCHES = ["HB 1552", "tuition credits", "5057", "ferry crossing safety plan"]
+PHRASES = {"ferry crossing": "transportation", "safety plan": "safety"}
+
+
+def s_score(q: str) -> str:
+    norm, terms = "".join(c for c in q.upper() if c.isalnum()), q.lower().split()
+    plain = [f"regexp_replace(upper(coalesce({f}, '')), '[^A-Z0-9]', '', 'g')" for f in search.FIELDS]
+    low = [f"lower(coalesce({f}, ''))" for f in search.FIELDS]
+    some = lambda xs, test: "(" + " OR ".join(test.format(x) for x in xs) + ")"
+    parts = [f"CASE WHEN {some(plain, t)} THEN {n} ELSE 0 END" for n, t in ((100, "{} = '%s'" % norm), (40, "starts_with({}, '%s')" % norm), (20, "contains({}, '%s')" % norm))]
+    for t in terms:
+        parts += [f"CASE WHEN {some(low, 'contains({}, ' + quoted(t) + ')')} THEN 10 ELSE 0 END", f"CASE WHEN contains(coalesce(body, ''), {quoted(t)}) THEN 5 ELSE 0 END"]
+    return " + ".join(parts)
+
+
+S_BODIES = """b AS (SELECT bill_number, entry_id, lower(array_to_string(list_transform(sections, lambda x: coalesce(x.text, '')), chr(10))) AS body FROM bill_corpus WHERE len(sections) > 0),
+bodies AS (SELECT bill_number, arg_max(body, entry_id) AS body FROM b WHERE body <> '' AND bill_number IS NOT NULL GROUP BY 1)"""
+
+
+@query(f"WITH {S_BODIES} SELECT bill_number, md5(body) AS digest, length(body) AS n_chars FROM bodies")
+def corpus_bodies(spark: SparkSession, folder: str) -> DataFrame:
+    rows = search.corpus_bodies(table(spark, folder, "bill_corpus")).where("bill_number IS NOT NULL")
+    return rows.select("bill_number", F.md5("body").alias("digest"), F.length("body").alias("n_chars"))
+
+
+def s_search(q: str) -> str:
+    best = [s_score(x) for x in search.expand(q, PHRASES)]
+    points = f"greatest({', '.join(best)})" if len(best) > 1 else best[0]
+    return f"""(SELECT {quoted(q)} AS query, record_id, bill_id_display, title, session, score FROM (SELECT i.*, {points} AS score FROM bill_index i LEFT JOIN bodies USING (bill_number))
+  WHERE score > 0 ORDER BY score DESC, coalesce(bill_id_display, ''), record_id LIMIT 10)"""
+
+
+@query(f"WITH {S_BODIES} " + " UNION ALL ".join(s_search(q) for q in SEARCHES))
+def search_topk(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten best records of each search."""
+    index, bodies = table(spark, folder, "bill_index"), search.corpus_bodies(table(spark, folder, "bill_corpus"))
+    out = None
+    for q in SEARCHES:
+        rows = search.search(index, bodies, q, PHRASES).select(F.lit(q).alias("query"), "record_id", "bill_id_display", "title", "session", "score")
+        out = rows if out is None else out.union(rows)
+    return out
+
+
+@query("""SELECT record_id, session, bill_id_display FROM (SELECT *, row_number() OVER (PARTITION BY regexp_replace(upper(coalesce(session, '') || coalesce(bill_id_display, '')), '[^A-Z0-9]', '', 'g') ORDER BY record_id) AS n FROM bill_index) WHERE n = 1""")
+def dedupe(spark: SparkSession, folder: str) -> DataFrame:
+    key = search.normalized(F.concat(F.coalesce("session", F.lit("")), F.coalesce("bill_id_display", F.lit(""))))
+    return search.dedupe_first(table(spark, folder, "bill_index"), key, "record_id").select("record_id", "session", "bill_id_display")
+
+
+@query(f"""WITH n AS (SELECT *, coalesce(nullif(bill_number, ''), nullif({S_NUMBER.format("bill_id_display")}, '')) AS n FROM bill_index)
+SELECT record_id, coalesce(nullif(bill_id_display, ''), {s_route('n', 2, 'Bill')} || ' ' || n) AS bill_id_display, n AS bill_number, CASE WHEN n IS NOT NULL THEN {s_route('n', 2, 'Bill')} END AS abbreviation,
+  coalesce(nullif(chamber, ''), CASE WHEN n IS NOT NULL THEN {s_route('n', 4, 'Unknown')} END) AS chamber, coalesce(nullif(title, ''), nullif(bill_id_display, ''), 'Untitled') AS title, nullif(session, '') AS session FROM n""")
+def map_record(spark: SparkSession, folder: str) -> DataFrame:
+    return search.map_record(table(spark, folder, "bill_index")).select("record_id", "bill_id_display", "bill_number", "abbreviation", "chamber", "title", "session")
+
+
+@query(r"""WITH i AS (SELECT record_id, regexp_replace(upper(coalesce(bill_id_display, '')), '[\s\x{a0}]+', '', 'g') AS id FROM bill_index)
+SELECT record_id, id, nullif(regexp_extract(id, '^([A-Z]+)', 1), '') AS prefix, nullif(regexp_extract(id, '(\d+)', 1), '') AS number FROM i""")
+def adapter_norm(spark: SparkSession, folder: str) -> DataFrame:
+    return search.adapter(table(spark, folder, "bill_index"))
+
+
+# Harness ---------------------------------------------------------------------------------------------
+
+S_LATEST = """r AS (SELECT * FROM check_results WHERE bill_number IS NOT NULL QUALIFY row_number() OVER (PARTITION BY bill_number, session, check_code ORDER BY tested_at DESC NULLS LAST, received_at DESC NULLS LAST, result_id DESC) = 1)"""
+
+
+@query(f"WITH {S_LATEST} SELECT bill_number, session, check_code, result_id, passed FROM r")
+def latest_results(spark: SparkSession, folder: str) -> DataFrame:
+    return harness.latest(table(spark, folder, "check_results")).select("bill_number", "session", "check_code", "result_id", "passed")
+
+
+@query(f"WITH {S_LATEST}, e AS (SELECT check_code, coalesce(passed, false) OR coalesce(xfail, false) AS ok FROM r) SELECT check_code, count(*) FILTER (WHERE ok) AS n_pass, count(*) FILTER (WHERE NOT ok) AS n_fail FROM e GROUP BY 1")
+def cum_stats(spark: SparkSession, folder: str) -> DataFrame:
+    return harness.statistics(harness.latest(table(spark, folder, "check_results")))
+
+
+@query(f"WITH {S_LATEST} SELECT result_id, 'expected failure: ' || coalesce(reason, 'no reason') AS note FROM r WHERE coalesce(xfail, false) AND NOT coalesce(passed, false)")
+def xfail(spark: SparkSession, folder: str) -> DataFrame:
+    return harness.expected_failures(harness.latest(table(spark, folder, "check_results"))).where("note IS NOT NULL").select("result_id", "note")
+
+
+S_NUMERIC = "SELECT DISTINCT TRY_CAST(bill_number AS INT) AS n FROM bill_index WHERE TRY_CAST(bill_number AS INT) IS NOT NULL AND regexp_matches(trim(bill_number, ' '), '^[+-]?[0-9]+$')"
+S_POOL = f"pool AS (SELECT n FROM ({S_NUMERIC}) WHERE n NOT IN (SELECT bill_number::INT FROM sentinel_bills))"
+
+
+@query(f"WITH {S_POOL} SELECT n FROM pool")
+def cov_pool(spark: SparkSession, folder: str) -> DataFrame:
+    return harness.coverage_pool(table(spark, folder, "bill_index").where(F.trim("bill_number").rlike(r"^[+-]?[0-9]+$")), table(spark, folder, "sentinel_bills"))
+
+
+@query(f"WITH {S_POOL}, o AS (SELECT n, (((row_number() OVER (ORDER BY n) - 1 - 90) % (SELECT count(*) FROM pool)) + (SELECT count(*) FROM pool)) % (SELECT count(*) FROM pool) AS pick_no FROM pool) SELECT n, pick_no::BIGINT AS pick_no FROM o WHERE pick_no < 25")
+def cov_sample(spark: SparkSession, folder: str) -> DataFrame:
+    return harness.coverage_sample(cov_pool(spark, folder), 90, 25).select("n", F.col("pick_no").cast("long").alias("pick_no"))
+
+
+@query("SELECT count(DISTINCT i.bill_number) AS n_bills, (SELECT count(DISTINCT bill_number) FROM check_results) AS n_tested, count(*) AS n_records FROM bill_index i")
+def testing_stats(spark: SparkSession, folder: str) -> DataFrame:
+    tested = table(spark, folder, "check_results").agg(F.countDistinct("bill_number").alias("n_tested")).withColumn("k", F.lit(1))
+    bills = table(spark, folder, "bill_index").agg(F.countDistinct("bill_number").alias("n_bills"), F.count("*").alias("n_records")).withColumn("k", F.lit(1))
+    return bills.join(tested, "k").select("n_bills", "n_tested", "n_records")
+
+
+S_UPSERT = """r AS (SELECT *, run_no = (SELECT max(run_no) FROM check_results) AS is_new FROM check_results WHERE bill_number IS NOT NULL),
+o AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY bill_number, session, check_code, is_new ORDER BY tested_at DESC NULLS LAST, received_at DESC NULLS LAST, result_id DESC) = 1)"""
+
+
+@query(f"WITH {S_UPSERT} SELECT bill_number, session, check_code, arg_max(result_id, is_new::INT) AS result_id, arg_max(passed, is_new::INT) AS passed FROM o GROUP BY 1, 2, 3")
+def sink_results(spark: SparkSession, folder: str) -> DataFrame:
+    """The results before the last run, overwritten by those of the last run."""
+    rows = table(spark, folder, "check_results")
+    last = rows.agg(F.max("run_no")).first()[0]
+    keys = ["bill_number", "session", "check_code"]
+    old, new = (harness.latest(x).select(*keys, "result_id", "passed") for x in (rows.where(F.col("run_no") < F.lit(last)), rows.where(F.col("run_no") == F.lit(last))))
+    return harness.upsert(old, new, keys)
+
+
+@query("SELECT entry_id, CASE WHEN regexp_matches(error, '(?i)document search failed|bill document fetch failed|fetch failed|ECONNREFUSED|ENOTFOUND|ETIMEDOUT|AbortError|timed? ?out') THEN 'unreachable' ELSE 'error' END AS kind FROM bill_corpus WHERE error IS NOT NULL")
+def fetch_kind(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "bill_corpus").where("error IS NOT NULL").select("entry_id", harness.failure_kind(F.col("error")).alias("kind"))
+
+
+@query("SELECT bill_number, session, max(entry_id) AS entry_id, min(entry_id) AS first_seen FROM bill_corpus GROUP BY 1, 2")
+def corpus_dedupe(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "bill_corpus").withColumn("key", F.struct("bill_number", "session")).select("key", "entry_id", F.col("entry_id").alias("id"))
+    return tables.keep_last(rows, "key", "id").select("key.bill_number", "key.session", "entry_id", "first_seen")
+
+
+# Plain meaning ---------------------------------------------------------------------------------------
+
+
+def analyzed(spark: SparkSession, folder: str) -> DataFrame:
+    rows = sections(spark, folder).where("text IS NOT NULL")
+    return plan.plain_meaning(rows, "text", F.col("bill_number").try_cast("int"))
+
+
+@query()
+def plain_meaning(spark: SparkSession, folder: str) -> DataFrame:
+    """The plain meaning of every section."""
+    return analyzed(spark, folder).select(*KEYS, "result.section_type", "result.effective_date", "result.sentence_count", "result.plain_meaning", "result.has_content", "result.empty_reason")
+
+
+@query()
+def isc_units(spark: SparkSession, folder: str) -> DataFrame:
+    """Every instruction: who, must, what, when, where, how, with its sentence."""
+    return plan.units(analyzed(spark, folder), *KEYS)
+
+
+@query()
+def inclusion_lists(spark: SparkSession, folder: str) -> DataFrame:
+    return plan.units(analyzed(spark, folder), *KEYS).where("split_no = 0").select(*KEYS, "unit_no", F.posexplode("inclusion_lists").alias("list_no", "l")).select(*KEYS, "unit_no", "list_no", "l.*")
+
+
+#: Sentences over orders whose parse is known: text around the order's key, and what it must give (fixed cases).
+CASES = [
+    ("The board shall adopt fair rules for lot {}.", "obligation", "The board", "shall", "fair/open", 1, ""),
+    ("The agency may not waive fee {}, and the director shall issue a notice.", "prohibition", "The agency", "may not", "", 2, ""),
+    ("If lot {} is damaged, the owner must notify the board unless the board waives notice.", "obligation", "the owner", "must", "", 1, ""),
+    ("The office may suspend permit {} if the director finds that good cause exists.", "permission", "The office", "may", "good cause/delegated", 1, ""),
+    ("The buyer shall keep records, including invoices, receipts, and letters; lot {} is exempt.", "obligation", "The buyer", "shall", "", 1, "COMMA_BOUNDED"),
+    ('"reasonable notice {}" means a notice sent by mail before the sale of the lot.', None, None, None, "reasonable notice/internal", 1, ""),
+    ("The seller which must register lot {} may appeal the decision.", "permission", "The seller which", "must", "", 1, ""),
+]
+
+
+def _case_sql(at: int, cast: str = "VARCHAR") -> str:
+    value = lambda v: "NULL" if v is None else quoted(v) if isinstance(v, str) else str(v)
+    return "CASE o_orderkey % 7 " + " ".join(f"WHEN {i} THEN {value(c[at])}" for i, c in enumerate(CASES)) + f" END::{cast}"
+
+
+@query(f"""SELECT o_orderkey, {_case_sql(1)} AS signal, {_case_sql(2)} AS actor, {_case_sql(3)} AS modal,
+  CASE o_orderkey % 7 WHEN 5 THEN 'reasonable notice ' || o_orderkey || '/internal' ELSE {_case_sql(4)} END AS value_terms, {_case_sql(5, "INT")} AS n_units, {_case_sql(6)} AS lists FROM orders""")
+def known_cases(spark: SparkSession, folder: str) -> DataFrame:
+    """The whole scan over one sentence for each order, which falls on every kind of sentence in turn."""
+    key = F.pmod("o_orderkey", F.lit(len(CASES)))
+    said = F.coalesce(*[F.when(key == i, F.replace(F.lit(c[0]), F.lit("{}"), F.col("o_orderkey").cast("string"))) for i, c in enumerate(CASES)])
+    rows = plan.plain_meaning(table(spark, folder, "orders").select("o_orderkey", said.alias("text")))
+    one = rows.select("o_orderkey", F.col("result.units")[0].alias("u"), F.size("result.units").alias("n_units"))
+    return one.select(
+        "o_orderkey", "u.signal", "u.actor", "u.modal",
+        F.array_join(F.transform("u.values", lambda v: F.concat_ws("/", v["value_term"], v["resolution_state"])), "|").alias("value_terms"),
+        "n_units", F.array_join(F.transform("u.inclusion_lists", lambda x: x["classification"]), "|").alias("lists"),
+    )
+
+
+@query()
+def lineage(spark: SparkSession, folder: str) -> DataFrame:
+    return plan.lineage(analyzed(spark, folder), *KEYS)
+
+
+@query()
+def trace(spark: SparkSession, folder: str) -> DataFrame:
+    """Each sentence's record and its ancestors up to the untouched section."""
+    return plan.trace(lineage(spark, folder), *KEYS).select(*KEYS, "leaf_id", "depth", "record.id", "record.produced_by", "record.start", "record.end")
+
+
+@query(f"WITH {S_SECTIONS} SELECT entry_id, section_pos, 0::BIGINT AS n_wrong FROM s WHERE text IS NOT NULL")
+def chk_L1(spark: SparkSession, folder: str) -> DataFrame:  # noqa: N802
+    """Lineage records whose span isn't their text: none in any section."""
+    return harness.positions(lineage(spark, folder), sections(spark, folder), *KEYS).select(*KEYS, "n_wrong")
+
+
+@query()
+def chk_C4(spark: SparkSession, folder: str) -> DataFrame:  # noqa: N802
+    return harness.anchored(isc_units(spark, folder), sections(spark, folder), *KEYS)
+
+
+@query()
+def chk_C1_C5(spark: SparkSession, folder: str) -> DataFrame:  # noqa: N802
+    rows = plain_meaning(spark, folder)
+    return rows.groupBy("section_type").agg(F.count("*").alias("n"), F.count_if(~harness.well_formed(F.col("plain_meaning"))).alias("n_malformed"), F.count_if(harness.dollar_artefact(F.col("plain_meaning"))).alias("n_artefact"))
+
+
+@query()
+def chk_C6(spark: SparkSession, folder: str) -> DataFrame:  # noqa: N802
+    """Paragraphs that repeat another of their entry."""
+    paragraphs = isc_units(spark, folder).where("sentence IS NOT NULL").select("entry_id", F.struct("section_pos", "unit_no").alias("at"), "sentence", "anchor")
+    return harness.repeated_paragraphs(paragraphs, "entry_id", "at", "sentence", "anchor").select("entry_id", "at.section_pos", "at.unit_no", "sentence")
+
 
-FLAGSHIP = p3_found
+FLAGSHIP = plain_meaning
