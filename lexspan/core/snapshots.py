@@ -70,12 +70,9 @@ def snapshot_changes(rows: DataFrame, snapshot: str, keys: list[str], values: li
     if len(sizes) < 2:
         return pairs.select(F.col("snap").alias(snapshot), *keys, F.lit("").alias("change_kind")).where("false")
     order = [(new["snap"], old["snap"]) for old, new in zip(sizes, sizes[1:])]
-    steps = F.broadcast(
-        spark.createDataFrame(
-            [(new, new, 1) for new, _ in order] + [(old, new, -1) for new, old in order],
-            "snap " + dict(pairs.dtypes)["snap"] + ", step " + dict(pairs.dtypes)["snap"] + ", sign int",
-        )
-    )
+    kind = dict(pairs.dtypes)["snap"]
+    # Each snapshot is the new side of one step and the old side of the next; one row per snapshot and side.
+    steps = spark.createDataFrame([(new, new, 1) for new, _ in order] + [(old, new, -1) for new, old in order], f"snap {kind}, step {kind}, sign int")
     buckets = max(1, math.ceil(max(r["count"] for r in sizes) / KEYS_PER_BUCKET))
     hashed = (
         pairs.select("snap", "kh", "vh")
@@ -84,10 +81,13 @@ def snapshot_changes(rows: DataFrame, snapshot: str, keys: list[str], values: li
     )
     recovered, todo, cells = None, None, CELLS
     while True:
-        at_hand = hashed.join(steps, "snap")
+        at_hand = hashed
+        if todo is not None:
+            at_hand = hashed.join(todo.join(steps, "step").select("snap", "bucket").distinct(), ["snap", "bucket"], "left_semi")
+        differences = _tables(at_hand, cells).join(steps, "snap")
         if todo is not None:
-            at_hand = at_hand.join(todo, ["step", "bucket"], "left_semi")
-        peeled = materialize(_peel(_difference(at_hand, cells), cells), "peeled")
+            differences = differences.join(todo, ["step", "bucket"], "left_semi")
+        peeled = materialize(_peel(_subtracted(differences), cells), "peeled")
         good = peeled.where("kind = 'pair'").select("step", "kh")
         recovered = good if recovered is None else recovered.union(good)
         todo = peeled.where("kind = 'failed'").select("step", "bucket")
@@ -101,14 +101,20 @@ def snapshot_changes(rows: DataFrame, snapshot: str, keys: list[str], values: li
     return sides.withColumn("change_kind", kind).where("change_kind IS NOT NULL").select(F.col("step").alias(snapshot), *keys, "change_kind")
 
 
-def _difference(signed: DataFrame, cells: int) -> DataFrame:
-    """The subtracted tables: one row per (step, bucket, cell), and one of cell -1 with the digest."""
+def _tables(pairs: DataFrame, cells: int) -> DataFrame:
+    """The table of each snapshot and bucket: a row per cell, and one of cell -1 with the digest of all pairs."""
     third = cells // 3
     at = [F.pmod(_part(i), F.lit(third)) + i * third for i in range(3)]
-    spread = signed.withColumn("cell", F.explode(F.array(*at, F.lit(-1).cast("long"))))
-    return spread.groupBy("step", "bucket", "cell").agg(
-        F.sum("sign").alias("n"), F.bit_xor("kh").alias("kx"), F.bit_xor("vh").alias("vx"), F.bit_xor("ck").alias("cx")
+    spread = pairs.withColumn("cell", F.explode(F.array(*at, F.lit(-1).cast("long"))))
+    return spread.groupBy("snap", "bucket", "cell").agg(F.count("*").alias("n"), F.bit_xor("kh").alias("kx"), F.bit_xor("vh").alias("vx"), F.bit_xor("ck").alias("cx"))
+
+
+def _subtracted(tables: DataFrame) -> DataFrame:
+    """Cell by cell, the new side minus the old; cells that cancel out are left out."""
+    out = tables.groupBy("step", "bucket", "cell").agg(
+        F.sum(F.col("n") * F.col("sign")).alias("n"), F.bit_xor("kx").alias("kx"), F.bit_xor("vx").alias("vx"), F.bit_xor("cx").alias("cx")
     )
+    return out.where("n <> 0 OR kx <> 0 OR vx <> 0 OR cx <> 0")
 
 
 def _part(i: int) -> Column:
@@ -125,19 +131,19 @@ def _check(kh: int, vh: int) -> int:
 
 def _peel(tables: DataFrame, cells: int) -> DataFrame:
     """Pairs recovered from each table, or one row of kind 'failed'. A table has at most cells + 1 rows."""
-    third = cells // 3
+    third, kind = cells // 3, dict(tables.dtypes)["step"]
 
     def peel(pdf: pd.DataFrame) -> pd.DataFrame:
-        step, bucket = int(pdf["step"].iloc[0]), int(pdf["bucket"].iloc[0])
+        step, bucket = pdf["step"].iloc[0], int(pdf["bucket"].iloc[0])
         table = {int(c): [int(n), int(k), int(v), int(x)] for c, n, k, v, x in zip(pdf["cell"], pdf["n"], pdf["kx"], pdf["vx"], pdf["cx"])}
-        digest, found, ready = table.pop(-1), [], list(table)
+        digest, found, ready = table.pop(-1, [0, 0, 0, 0]), [], list(table)
         while ready:
             n, k, v, x = table[ready.pop()]
             if n not in (1, -1) or _check(k, v) != x:
                 continue
             found.append((step, bucket, "pair", k, n))
             for row, at in [(digest, None)] + [(None, ((k ^ v) >> 20 * i & 0xFFFFF) % third + i * third) for i in range(3)]:
-                row = table[at] if row is None else row
+                row = table.setdefault(at, [0, 0, 0, 0]) if row is None else row
                 row[:] = row[0] - n, row[1] ^ k, row[2] ^ v, row[3] ^ x
                 if at is not None:
                     ready.append(at)
@@ -145,7 +151,7 @@ def _peel(tables: DataFrame, cells: int) -> DataFrame:
             found = [(step, bucket, "failed", 0, 0)]
         return pd.DataFrame(found, columns=["step", "bucket", "kind", "kh", "sign"])
 
-    return tables.groupBy("step", "bucket").applyInPandas(peel, "step int, bucket long, kind string, kh long, sign int")
+    return tables.groupBy("step", "bucket").applyInPandas(peel, f"step {kind}, bucket long, kind string, kh long, sign int")
 
 
 def bill_changes(snapshots: DataFrame) -> DataFrame:
