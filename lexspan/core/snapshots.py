@@ -9,8 +9,8 @@ differ, and these are peeled from the cells that hold a single one. A bucket tha
 pairs of a bucket verifies what was recovered. A key with a recovered new pair only was added, with
 an old one only removed, with both changed.
 
-What is shuffled are cells, not rows: their number depends on the number of buckets, and the cells
-are combined on the map side, so no bucket is a hot group.
+Rows are shuffled once as a pair of hashes, by bucket; no bucket is a hot group, as its pairs are
+distinct keys that a hash spread. What a bucket's peeling holds is bounded by its number of cells.
 """
 
 from __future__ import annotations
@@ -70,9 +70,15 @@ def snapshot_changes(rows: DataFrame, snapshot: str, keys: list[str], values: li
     if len(sizes) < 2:
         return pairs.select(F.col("snap").alias(snapshot), *keys, F.lit("").alias("change_kind")).where("false")
     order = [(new["snap"], old["snap"]) for old, new in zip(sizes, sizes[1:])]
+    # Each snapshot is the new side of one step and the old side of the next.
+    sides: dict = {}
+    for new, old in order:
+        sides.setdefault(new, []).append((new, 1))
+        sides.setdefault(old, []).append((new, -1))
     kind = dict(pairs.dtypes)["snap"]
-    # Each snapshot is the new side of one step and the old side of the next; one row per snapshot and side.
-    steps = spark.createDataFrame([(new, new, 1) for new, _ in order] + [(old, new, -1) for new, old in order], f"snap {kind}, step {kind}, sign int")
+    typed = lambda v: F.lit(v).cast(kind)
+    steps = F.create_map(*[x for snap, part in sides.items() for x in (typed(snap), F.array(*[F.struct(typed(n).alias("step"), F.lit(sign).alias("sign")) for n, sign in part]))])
+    both = lambda df: df.withColumn("_s", F.explode(steps[F.col("snap")])).select("*", "_s.step", "_s.sign").drop("_s")
     buckets = max(1, math.ceil(max(r["count"] for r in sizes) / KEYS_PER_BUCKET))
     hashed = (
         pairs.select("snap", "kh", "vh")
@@ -81,13 +87,15 @@ def snapshot_changes(rows: DataFrame, snapshot: str, keys: list[str], values: li
     )
     recovered, todo, cells = None, None, CELLS
     while True:
-        at_hand = hashed
+        # One shuffle, by bucket: building, subtracting and peeling the tables then happen where the bucket is.
+        # Buckets hold distinct keys by their hash, so none is large.
+        at_hand = hashed.repartition("bucket")
         if todo is not None:
-            at_hand = hashed.join(todo.join(steps, "step").select("snap", "bucket").distinct(), ["snap", "bucket"], "left_semi")
-        differences = _tables(at_hand, cells).join(steps, "snap")
+            at_hand = hashed.join(todo.select("bucket").distinct(), "bucket", "left_semi").repartition("bucket")
+        differences = _subtracted(both(_tables(at_hand, cells)))
         if todo is not None:
             differences = differences.join(todo, ["step", "bucket"], "left_semi")
-        peeled = materialize(_peel(_subtracted(differences), cells), "peeled")
+        peeled = materialize(_peel(differences, cells), "peeled")
         good = peeled.where("kind = 'pair'").select("step", "kh")
         recovered = good if recovered is None else recovered.union(good)
         todo = peeled.where("kind = 'failed'").select("step", "bucket")
@@ -95,7 +103,7 @@ def snapshot_changes(rows: DataFrame, snapshot: str, keys: list[str], values: li
             break
         cells *= 2
     # The recovered keys are classified by their rows in both snapshots, which also parts keys of equal hash.
-    rows_of = recovered.distinct().join(pairs.join(steps, "snap"), ["step", "kh"])
+    rows_of = recovered.distinct().join(both(pairs), ["step", "kh"])
     sides = rows_of.groupBy("step", *keys).agg(F.max(F.when(F.col("sign") > 0, F.col("vh"))).alias("new"), F.max(F.when(F.col("sign") < 0, F.col("vh"))).alias("old"))
     kind = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").when(F.col("old") != F.col("new"), "changed")
     return sides.withColumn("change_kind", kind).where("change_kind IS NOT NULL").select(F.col("step").alias(snapshot), *keys, "change_kind")
