@@ -110,7 +110,7 @@ class Classifier:
 
     def segments(self, text: str) -> list[tuple[int, int, str | None, float]]:
         """(start, end, language or None, confidence), in order; end and start without white space."""
-        cut = list(units(text))
+        cut = list(units(text)) if self.langs else []
         out: list[list] = []
         block: list[tuple[int, int, np.ndarray]] = []
 
@@ -165,7 +165,7 @@ def train(samples: DataFrame, documents: DataFrame, aliases: DataFrame, per_lang
     for r in samples.select("lang", "text").where("lang IS NOT NULL AND text IS NOT NULL").orderBy("lang", "text").limit(10_000).collect():
         base[r[0]] = base.get(r[0], "") + plain(r[1]) + "\n"
     first = Classifier({k: v.encode()[-DICTIONARY:] for k, v in base.items()})
-    known = documents.join(resolved(aliases), F.lower(F.trim("lang")) == F.col("label_form")).where(F.length("text") > 0)
+    known = documents.select("doc_id", "lang", "text").join(resolved(aliases), F.lower(F.trim("lang")) == F.col("label_form")).where(F.length("text") > 0)
     best = F.min_by(F.struct(F.col("doc_id"), F.substring("text", 1, SAMPLE_CHARS).alias("text")), F.xxhash64("doc_id"))
     # One document per (language, hash class) is a combinable aggregate, and per_language classes bound the sample.
     few = known.groupBy("known_lang", F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(per_language)).alias("k")).agg(best.alias("d"))
@@ -227,7 +227,7 @@ def present(labelled: DataFrame, run_min: int) -> DataFrame:
 def wrong_labels(labelled: DataFrame, aliases: DataFrame, run_min: int) -> DataFrame:
     """(doc_id, found_lang): documents whose label is unknown, stands for no language present, or that hold several."""
     forms = {r[0]: r[1] for r in resolved(aliases).limit(100_000).collect()}  # a fixed table
-    table = F.create_map(*[F.lit(x) for pair in forms.items() for x in pair])
+    table = F.create_map(*[F.lit(x) for pair in (forms or {"": ""}).items() for x in pair])
     trimmed = F.lower(F.regexp_replace("lang", f"^{SPACE}+|{SPACE}+$", ""))
     rows = present(labelled, run_min).withColumn("known", table[trimmed])
     case = (F.size("found") > 1) | F.col("known").isNull() | ~F.array_contains("found", F.col("known"))

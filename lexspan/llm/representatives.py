@@ -27,6 +27,10 @@ from pyspark.sql import functions as F
 from lexspan.runtime import materialize
 
 MAX_SOURCES = 10_000
+#: The string fields of an index record whose filled values are counted.
+FIELDS = (
+    "bill_id_display bill_id_normalized bill_number chamber title legal_title session status sponsor introducedDate historyLine committee source_url detail_api_path"
+).split()
 #: White space as trimmed from both ends of a value.
 BLANK = r"[\s\xa0 -  　]+"
 
@@ -83,7 +87,8 @@ def _winners(disputed: DataFrame, weights: dict[str, float]) -> DataFrame:
 def bill_records(index: DataFrame, placeholders: DataFrame, trust: DataFrame) -> DataFrame:
     """bill_index with its bill (biennium and number), filled values and trust, one row per record."""
     empty = [r[0] for r in placeholders.limit(1000).collect() if r[0] is not None]  # a fixed table
-    texts = [c for c, t in index.dtypes if t == "string" and c != "feed"]
+    texts = list(FIELDS)
+    index = index.select("record_id", "feed", "fetched_at", *texts)  # other columns may have any name
 
     def filled(c: str) -> Column:
         v = stripped(F.col(c))
