@@ -24,8 +24,7 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     """The bill corpus: a JSON array of entries; no rows where there is no file or it is damaged."""
     try:
-        rows = spark.read.schema(CORPUS + ", _corrupt string").option("columnNameOfCorruptRecord", "_corrupt").json(path, multiLine=True)
-        return rows.where("_corrupt IS NULL").drop("_corrupt")
+        return spark.read.schema(CORPUS).json(path, multiLine=True, mode="DROPMALFORMED")
     except AnalysisException:
         return spark.createDataFrame([], CORPUS)
 
