@@ -13,13 +13,14 @@ import re
 from bisect import bisect_right
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexspan.functions import kernel as k
 from lexspan.functions.rendering import Parts, render, section_text, verb_of
 from lexspan.functions.rules import MONTHS, NUMBER_WORDS, PERIOD
+from lexspan.runtime import arrow_type, spread
 
 MARKS = r"(?:\(\d{1,2}\)|\([a-z]\))+"
 BREAK = "\u0001"
@@ -112,8 +113,10 @@ def pieces(text: str) -> list[str]:
     return [s for s in parts if len(s) > 15]
 
 
-def _all(pattern: str, text: str) -> list[str]:
-    return [m[0].strip() for m in re.finditer(pattern, text, re.I)]
+def _all(pattern: str, text: str, *needs: str) -> list[str]:
+    """All matches; none where the text holds none of the parts that a match needs."""
+    low = text.lower()
+    return [m[0].strip() for m in re.finditer(pattern, text, re.I)] if not needs or any(n in low for n in needs) else []
 
 
 def _one(pattern: str, text: str, flags: int = re.I) -> str | None:
@@ -126,9 +129,9 @@ def context(text: str) -> dict:
     state = re.search(r"\b(?:rcw|revised code of washington|washington state|wa legislature)\b", text, re.I)
     federal = re.search(r"\b(?:congress|federal|u\.s\.|cfr|u\.s\.c\.)\b", text, re.I)
     return {
-        "deadlines": _all(rf"within\s+(?:{NUMBER_WORDS})\s+{PERIOD}", text) + _all(r"no later than\s+[^;.]{3,60}", text),
-        "triggers": _all(r"(?:upon|after|following|once)\s+[^,;.]{4,60}", text),
-        "sequence": _all(r"(?:before|after|then|prior to|subsequent to)\s+[^,;.]{4,60}", text),
+        "deadlines": _all(rf"within\s+(?:{NUMBER_WORDS})\s+{PERIOD}", text, "within") + _all(r"no later than\s+[^;.]{3,60}", text, "no later than"),
+        "triggers": _all(r"(?:upon|after|following|once)\s+[^,;.]{4,60}", text, "upon", "after", "following", "once"),
+        "sequence": _all(r"(?:before|after|then|prior to|subsequent to)\s+[^,;.]{4,60}", text, "before", "after", "then", "prior to", "subsequent to"),
         "jurisdiction": "Washington State" if state else "Federal" if federal else None,
         "system": "wa_legislature" if state else "federal_law" if federal else None,
         "entity": _one(r"\b(?:the\s+)?(?:department|agency|commission|board|office|secretary|director|officer|authority)\s+of\s+[A-Z][A-Za-z\s]{2,40}", text, 0),
@@ -142,8 +145,8 @@ NO_CONTEXT = {"deadlines": [], "triggers": [], "sequence": [], "jurisdiction": N
 
 def risk(text: str) -> dict:
     return {
-        "likelihood": _all(r"\b(?:may|might|could|likely|possible|probable)\b[^,;.]{0,60}", text),
-        "consequences": _all(r"\b(?:resulting? in|subject to|leading? to|cause[sd]?|consequence)\b[^,;.]{0,60}", text),
+        "likelihood": _all(r"\b(?:may|might|could|likely|possible|probable)\b[^,;.]{0,60}", text, "may", "might", "could", "likely", "possible", "probable"),
+        "consequences": _all(r"\b(?:resulting? in|subject to|leading? to|cause[sd]?|consequence)\b[^,;.]{0,60}", text, "result", "subject to", "lead", "cause", "consequence"),
     }
 
 
@@ -223,8 +226,9 @@ def _units(text, primary, inner, binding, kind, bill_number, parent, span, recor
     if why:
         return []
     norm = k.normalize(text)
-    lists, terms = k.inclusions(norm, bill_number), k.values(norm)
-    whole, short = k.instructions(norm), k.instructions(k.excise(norm, lists))
+    lists, whole = k.inclusions(norm, bill_number), k.instructions(norm)
+    terms = k.values(norm, whole[0].actor)
+    short = k.instructions(k.excise(norm, lists)) if any(x.cut for x in lists) else whole
     taken = len(short) >= len(whole) and not any(k.hollow(x.action) for x in short)
     note = "" if taken else " [kept in the sentence]"
     record(parent, text, "inclusion_list_detect", span, ",".join(x.kind for x in lists) + note if lists else "no_marker_found", bool(lists))
@@ -268,8 +272,8 @@ UNIT = (
 )
 RECORD = "struct<id:int,parent:int,text:string,produced_by:string,start:int,end:int,rule:string,matched:boolean,locate_failed:boolean>"
 RESULT = (
-    f"section_type string, effective_date string, input_length int, sentence_count int, units array<{UNIT}>, lineage array<{RECORD}>, "
-    "plain_meaning string, has_content boolean, empty_reason string"
+    f"struct<section_type:string,effective_date:string,input_length:int,sentence_count:int,units:array<{UNIT}>,lineage:array<{RECORD}>,"
+    "plain_meaning:string,has_content:boolean,empty_reason:string>"
 )
 
 
@@ -278,14 +282,14 @@ def plain_meaning(sections: DataFrame, text: Column | str = "text", bill_number:
     text = F.col(text) if isinstance(text, str) else text
     number = F.lit(None).cast("int") if bill_number is None else bill_number
 
-    @F.pandas_udf(RESULT)
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in re.split(r", (?=\w+ \w+)", RESULT)]
+    kind = arrow_type(RESULT)
+
+    @F.arrow_udf(RESULT)
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for texts, numbers in batches:
-            rows = [analyze(t, None if pd.isna(n) else int(n)) if t is not None else {} for t, n in zip(texts, numbers)]
-            yield pd.DataFrame({c: pd.Series([r.get(c) for r in rows], dtype=object) for c in names})
+            yield pa.array([None if t is None else analyze(t, n) for t, n in zip(texts.to_pylist(), numbers.to_pylist())], kind)
 
-    return sections.withColumn("result", run(text, number))
+    return spread(sections).withColumn("result", run(text, number))
 
 
 def units(analyzed: DataFrame, *keys: str) -> DataFrame:

@@ -15,7 +15,7 @@ from lexspan.core.snapshots import bill_changes
 from lexspan.functions import rules, text
 from lexspan.operators import documents, harness, search, selection
 from lexspan.plans import plain_meaning as plan
-from lexspan.runtime import table
+from lexspan.runtime import spread, table
 from lexspan.sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,7 +36,7 @@ def query(sql: str | None = None, name: str | None = None):
 
 def sections(spark: SparkSession, folder: str) -> DataFrame:
     """(entry_id, bill_number, section_pos, text) of all sections."""
-    rows = table(spark, folder, "bill_corpus").select("entry_id", "bill_number", F.posexplode("sections").alias("section_pos", "s"))
+    rows = spread(table(spark, folder, "bill_corpus").select("entry_id", "bill_number", "sections")).select("entry_id", "bill_number", F.posexplode("sections").alias("section_pos", "s"))
     return rows.select("entry_id", "bill_number", "section_pos", F.col("s.text").alias("text"))
 
 
@@ -237,7 +237,7 @@ def pages(spark: SparkSession, folder: str) -> DataFrame:
         F.lit("<html><script>var x = 1;</script><body><p>"), F.replace(t, F.lit("\n"), F.lit("</p>\n<p>")), F.lit("</p><div>a&nbsp;&quot;b&quot;</div>"),
         link("Original Bill", "pdf"), link("Substitute Bill", "htm"), link("Original Bill", "pdf"), F.lit('<a href="mailto:x@y">mail</a></body></html>'),
     )
-    return table(spark, folder, "bill_corpus").where("text IS NOT NULL").select("entry_id", F.coalesce("bill_number", F.lit("0")).alias("number"), html.alias("html"))
+    return spread(table(spark, folder, "bill_corpus").where("text IS NOT NULL").select("entry_id", "bill_number", "text")).select("entry_id", F.coalesce("bill_number", F.lit("0")).alias("number"), html.alias("html"))
 
 
 S_PAGES = """p AS (SELECT entry_id, coalesce(bill_number, '0') AS number, '<html><script>var x = 1;</script><body><p>' || replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(10), '</p>' || chr(10) || '<p>')

@@ -61,3 +61,23 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Over all cores, where the input comes in fewer partitions than there are cores.
+
+    For stages that spend their time in Python on each row. A large table has more partitions than
+    cores and stays as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.isStreaming or df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
+
+
+def arrow_type(ddl: str):
+    """The Arrow type of a Spark type."""
+    from pyspark.sql.pandas.types import to_arrow_type
+    from pyspark.sql.types import DataType
+
+    return to_arrow_type(DataType.fromDDL(ddl))
