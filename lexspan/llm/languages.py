@@ -27,17 +27,19 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexspan.core.snapshots import SPACE
+from lexspan.runtime import arrow_type, spread
 
 PER_LANGUAGE, SAMPLE_CHARS, DICTIONARY = 60, 3_000, 48 * 1024
 SWITCH, NARROW, LONG_UNIT, CACHE, FOREIGN = 8.0, 0.04, 240, 20_000, 60
 #: Where a text may change its language.
 BREAK = re.compile(r"[.!?]+[\"”’»)]*\s+|[。！？]+[”」』）]*\s*|\s*[\r\n]+\s*|\s+[/|–—]+\s+|\s*[()（）]\s*|\s+-{2,}\s+")
 DIGITS = re.compile(r"\d+")
+MARKS, SIGNS = re.compile("[\u0300-\u036f]+"), re.compile(r"[\W\d_]+")
 NUMBERS = re.compile(r"[$€£]?\d[\d.,]*")
 #: Signs that don't count as part of a segment at its ends.
 EDGES = " \t\r\n\xa0\u3000/|–—-()（）[]\"'"
@@ -68,14 +70,15 @@ def plain(text: str) -> str:
     text = DIGITS.sub("0", text.lower()).strip()
     if text.isascii():
         return text
-    return "".join(c for c in unicodedata.normalize("NFD", text) if not unicodedata.combining(c)).replace("đ", "d")
+    return MARKS.sub("", unicodedata.normalize("NFD", text)).replace("đ", "d")
 
 
 def wordy(text: str) -> bool:
     """Whether at least half of the signs of a text are letters, a number counting as one sign."""
     text = NUMBERS.sub("0", text)
-    letters = sum(c.isalpha() for c in text)
-    return letters > 0 and 2 * letters >= len(text) - sum(c.isspace() for c in text)
+    text = "".join(text.split())
+    letters = len(SIGNS.sub("", text))
+    return letters > 0 and 2 * letters >= len(text)
 
 
 class Classifier:
@@ -210,12 +213,14 @@ SEGMENTS = "array<struct<start:int,end:int,lang:string,confidence:double>>"
 def label(documents: DataFrame, text: str, classifier: Classifier) -> DataFrame:
     """Adds ``segments``: the stretches of each document with their language and confidence."""
 
-    @F.pandas_udf(SEGMENTS)
-    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    kind = arrow_type(SEGMENTS)
+
+    @F.arrow_udf(SEGMENTS)
+    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            yield pd.Series([[{"start": a, "end": b, "lang": g, "confidence": c} for a, b, g, c in classifier.segments(t)] if t else [] for t in texts])
+            yield pa.array([[dict(zip(("start", "end", "lang", "confidence"), s)) for s in classifier.segments(t)] if t else [] for t in texts.to_pylist()], kind)
 
-    return documents.withColumn("segments", of(F.col(text)))
+    return spread(documents).withColumn("segments", of(F.col(text)))
 
 
 def present(labelled: DataFrame, run_min: int) -> DataFrame:

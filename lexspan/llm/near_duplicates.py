@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexspan.llm.hashing import U, blocks_of, code_points, mix, prefix_hash, span_hash
-from lexspan.runtime import materialize
+from lexspan.runtime import materialize, spread
 
 #: Characters handled at once.
 CHUNK = 1 << 18
@@ -108,7 +108,7 @@ class NearDuplicates:
         self.threshold, self.shingle, self.symbols = threshold, shingle, blocks * rows
         self.texts = records.select(F.col(rec).cast("long").alias("rec"), F.col(text).alias("text")).where("rec IS NOT NULL")
         prints = (
-            self.texts.where(F.length("text") > 0)
+            spread(self.texts.where(F.length("text") > 0))
             .mapInArrow(_fingerprints(shingle, blocks, rows), "rec long, set_id long, set_check long, n_set int, print binary, keys array<long>")
         )
         self.prints = materialize(prints, "prints")

@@ -12,7 +12,7 @@ from lexspan.llm.representatives import represent_bills
 from lexspan.llm.shared_spans import shared_report, shared_spans
 from lexspan.llm.splitting import split_bills
 from lexspan.llm.tokens import n_tokens
-from lexspan.runtime import table
+from lexspan.runtime import spread, table
 
 
 def limit_of(spark: SparkSession, folder: str, name: str) -> float:
@@ -77,12 +77,12 @@ def p5_groups(spark: SparkSession, folder: str) -> DataFrame:
 def p6_containers(spark: SparkSession, folder: str) -> DataFrame:
     """Every container with its documents (or their parts) and its fill in tokens."""
     capacity = int(limit_of(spark, folder, "container_capacity"))
-    sizes = table(spark, folder, "documents").select("doc_id", n_tokens("text").alias("n_tokens"))
+    sizes = spread(table(spark, folder, "documents").select("doc_id", "text")).select("doc_id", n_tokens("text").alias("n_tokens"))
     return containers(pack(sizes, "doc_id", "n_tokens", capacity), capacity)
 
 
 def _mix(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    docs = table(spark, folder, "documents").select("doc_id", "text", "source")
+    docs = spread(table(spark, folder, "documents").select("doc_id", "text", "source"))
     return mixing.choose(docs, "doc_id", "text", "source", n_tokens("text"), table(spark, folder, "mix_targets"))
 
 

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexspan.llm.hashing import U, blocks_of, code_points, prefix_hash, sliding, span_hash
-from lexspan.runtime import fresh_path, materialize, shuffle_partitions
+from lexspan.runtime import fresh_path, materialize, shuffle_partitions, spread
 
 #: Characters hashed at once; longer texts go in slices that overlap.
 SLICE = 1 << 19
@@ -115,8 +115,7 @@ class SpanIndex:
     def ingest(self, records: DataFrame, rec: str, text: str) -> DataFrame:
         """Adds a batch; returns the window hashes that the batch shares within itself or with history."""
         rows = (
-            records.select(F.col(rec).cast("long").alias("rec"), F.col(text).alias("text"))
-            .where(F.col("rec").isNotNull() & (F.length("text") >= self.min_len))
+            spread(records.select(F.col(rec).cast("long").alias("rec"), F.col(text).alias("text")).where(F.col("rec").isNotNull() & (F.length("text") >= self.min_len)))
             .mapInArrow(_windows(self.min_len, self.window), "fp long, rec long, pos int")
         )
         run = self._write_run(rows)

@@ -15,10 +15,12 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexspan.runtime import arrow_type
+
 #: Where a level may cut: each match's end is a cut. The last level cuts anywhere.
 LEVELS = (
     ("section", re.compile(r"\n+(?=(?:NEW SECTION\.\s+)?Sec\.\s+\d)")),
@@ -71,9 +73,12 @@ def split_items(items: DataFrame, text: Column | str, max_chars: int = 2000, ove
     if not 0 <= overlap < max_chars:
         raise ValueError("overlap must be at least 0 and less than max_chars")
 
-    @F.pandas_udf(PIECES)
-    def cut(texts: pd.Series) -> pd.Series:
-        return pd.Series([[{"piece_no": i, "start": a, "end": b, "cut": k, "text": t[a:b]} for i, (a, b, k) in enumerate(pieces(t, max_chars, overlap))] for t in texts])
+    kind = arrow_type(PIECES)
+
+    @F.arrow_udf(PIECES)
+    def cut(texts: pa.Array) -> pa.Array:
+        rows = [[{"piece_no": i, "start": a, "end": b, "cut": k, "text": t[a:b]} for i, (a, b, k) in enumerate(pieces(t, max_chars, overlap))] for t in texts.to_pylist()]
+        return pa.array(rows, kind)
 
     text = F.col(text) if isinstance(text, str) else text
     long = items.where(F.length(text) > max_chars).withColumn("pieces", cut(text))
