@@ -63,6 +63,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def small(df: DataFrame, most: int) -> list:
+    """The rows of a table that must be small; an error if it has more than ``most``, never a part of it."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows in a table that has to be small")
+    return rows
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Over all cores, where the input comes in fewer partitions than there are cores.
 
