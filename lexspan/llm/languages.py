@@ -10,7 +10,8 @@ figures or signs belong to no language and end a segment; line breaks don't. A s
 of the smallest; the confidence is that margin over the next size.
 
 The dictionaries are made of the labelled sample texts and of a bounded sample of documents with a
-known label: at most ``PER_LANGUAGE`` a language, chosen by the hash of the id, and only those whose
+known label: at most ``PER_LANGUAGE`` a language of at most ``SAMPLE_CHARS`` characters, chosen by the
+hash of the id, and only those whose
 label the samples' dictionaries confirm. A unit goes to the language most of whose documents hold it.
 The dictionaries hold at most ``DICTIONARY`` bytes. All documents are then labelled, whole texts, in one pass without a
 shuffle.
@@ -32,9 +33,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexspan.core.snapshots import SPACE
-from lexspan.runtime import arrow_type, spread
+from lexspan.runtime import arrow_type, small, spread
 
-PER_LANGUAGE, SAMPLE_CHARS, DICTIONARY = 60, 3_000, 48 * 1024
+PER_LANGUAGE, SAMPLE_CHARS, DICTIONARY = 60, 20_000, 48 * 1024
 SWITCH, NARROW, LONG_UNIT, CACHE, FOREIGN = 8.0, 0.04, 240, 20_000, 60
 #: Where a text may change its language.
 BREAK = re.compile(r"[.!?]+[\"”’»)]*\s+|[。！？]+[”」』）]*\s*|\s*[\r\n]+\s*|\s+[/|–—]+\s+|\s*[()（）]\s*|\s+-{2,}\s+")
@@ -165,11 +166,11 @@ class Classifier:
 def train(samples: DataFrame, documents: DataFrame, aliases: DataFrame, per_language: int = PER_LANGUAGE) -> Classifier:
     """Dictionaries of the samples and of a bounded sample of labelled documents."""
     base: dict[str, str] = {}
-    for r in samples.select("lang", "text").where("lang IS NOT NULL AND text IS NOT NULL").orderBy("lang", "text").limit(10_000).collect():
+    for r in sorted(small(samples.select("lang", "text").dropna(), 10_000)):
         base[r[0]] = base.get(r[0], "") + plain(r[1]) + "\n"
     first = Classifier({k: v.encode()[-DICTIONARY:] for k, v in base.items()})
-    known = documents.select("doc_id", "lang", "text").join(resolved(aliases), F.lower(F.trim("lang")) == F.col("label_form")).where(F.length("text") > 0)
-    best = F.min_by(F.struct(F.col("doc_id"), F.substring("text", 1, SAMPLE_CHARS).alias("text")), F.xxhash64("doc_id"))
+    known = documents.select("doc_id", "lang", "text").join(resolved(aliases), F.lower(F.trim("lang")) == F.col("label_form")).where(F.length("text").between(1, SAMPLE_CHARS))
+    best = F.min_by(F.struct("doc_id", "text"), F.xxhash64("doc_id"))
     # One document per (language, hash class) is a combinable aggregate, and per_language classes bound the sample.
     few = known.groupBy("known_lang", F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(per_language)).alias("k")).agg(best.alias("d"))
     texts = [(r[0], r[1]) for r in few.select("known_lang", "d.text", "d.doc_id").orderBy("known_lang", "doc_id").collect() if r[0] in base]
@@ -231,7 +232,7 @@ def present(labelled: DataFrame, run_min: int) -> DataFrame:
 
 def wrong_labels(labelled: DataFrame, aliases: DataFrame, run_min: int) -> DataFrame:
     """(doc_id, found_lang): documents whose label is unknown, stands for no language present, or that hold several."""
-    forms = {r[0]: r[1] for r in resolved(aliases).limit(100_000).collect()}  # a fixed table
+    forms = {r[0]: r[1] for r in small(resolved(aliases), 100_000)}
     table = F.create_map(*[F.lit(x) for pair in (forms or {"": ""}).items() for x in pair])
     trimmed = F.lower(F.regexp_replace("lang", f"^{SPACE}+|{SPACE}+$", ""))
     rows = present(labelled, run_min).withColumn("known", table[trimmed])

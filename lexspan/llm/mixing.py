@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexspan.runtime import materialize
+from lexspan.runtime import materialize, small
 
 GRID, ROUNDS = 48, 4
 
@@ -77,7 +77,7 @@ def choose(documents: DataFrame, doc: str, text: str, source: str, size: Column,
     target source with its target and reached share, sizes, documents and greatest count.
     targets: (source, target_share, max_repeats), a small table; a repeated source counts once.
     """
-    goal = {r[0]: (float(r[1]), int(r[2])) for r in targets.select(plain_source("source"), "target_share", "max_repeats").dropna().limit(10_000).collect() if r[1] > 0 and r[2] > 0}
+    goal = {r[0]: (float(r[1]), int(r[2])) for r in small(targets.select(plain_source("source"), "target_share", "max_repeats").dropna(), 10_000) if r[1] > 0 and r[2] > 0}
     wanted = documents.select(F.col(doc).alias("doc"), plain_source(source).alias("source"), F.col(text).alias("text")).where(F.col("source").isin(list(goal)) & (F.length("text") > 0))
     first = wanted.groupBy(F.xxhash64("text").alias("h"), F.md5("text").alias("m")).agg(F.min(F.struct("doc", "source")).alias("d"))
     kept = first.select("d.doc", "d.source")

@@ -24,7 +24,7 @@ from itertools import chain
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexspan.runtime import materialize
+from lexspan.runtime import materialize, small
 
 MAX_SOURCES = 10_000
 #: The string fields of an index record whose filled values are counted.
@@ -50,10 +50,8 @@ def truth(claims: DataFrame, tolerance: float = 1e-6, max_rounds: int = 30) -> t
     open_keys = spread.where("low <> high").select("entity", "field")
     settled = claims.join(open_keys, ["entity", "field"], "left_anti")
     disputed = materialize(claims.join(open_keys, ["entity", "field"], "left_semi"), "disputed")
-    totals = {r["source"]: [r["n"], r["n"]] for r in settled.groupBy("source").agg(F.sum("n").alias("n")).limit(MAX_SOURCES + 1).collect()}
-    weights = {r["source"]: 1.0 for r in claims.select("source").distinct().limit(MAX_SOURCES + 1).collect()}
-    if len(weights) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
+    totals = {r["source"]: [r["n"], r["n"]] for r in small(settled.groupBy("source").agg(F.sum("n").alias("n")), MAX_SOURCES)}
+    weights = {r["source"]: 1.0 for r in small(claims.select("source").distinct(), MAX_SOURCES)}
     best = _winners(disputed, weights)
     for _ in range(max_rounds if len(weights) > 1 else 0):
         won = disputed.join(best.select("entity", "field", F.col("value").alias("best")), ["entity", "field"])
@@ -86,7 +84,7 @@ def _winners(disputed: DataFrame, weights: dict[str, float]) -> DataFrame:
 
 def bill_records(index: DataFrame, placeholders: DataFrame, trust: DataFrame) -> DataFrame:
     """bill_index with its bill (biennium and number), filled values and trust, one row per record."""
-    empty = [r[0] for r in placeholders.limit(1000).collect() if r[0] is not None]  # a fixed table
+    empty = [r[0] for r in small(placeholders, 1000) if r[0] is not None]
     texts = list(FIELDS)
     index = index.select("record_id", "feed", "fetched_at", *texts)  # other columns may have any name
 
