@@ -15,8 +15,9 @@ from lexspan.core.snapshots import bill_changes
 from lexspan.functions import rules, text
 from lexspan.operators import documents, harness, search, selection
 from lexspan.plans import plain_meaning as plan
-from lexspan.runtime import spread, table
+from lexspan.runtime import fresh_path, spread, table
 from lexspan.sources import tables
+from lexspan.streaming import sections as streaming
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -429,6 +430,44 @@ def adapter_norm(spark: SparkSession, folder: str) -> DataFrame:
     return search.adapter(table(spark, folder, "bill_index"))
 
 
+#: Words and the statute titles they stand for; a deployment passes its own (fixed here for the query and its SQL).
+TITLE_WORDS = {"tuition": ["Title 28B"], "ferry": ["Title 47"], "safety": ["Title 49", "Title 70"], "parcel": ["Title 58", "Title 84"], "inspection": ["Title 49"]}
+
+
+@query("WITH w AS (SELECT record_id, unnest(string_split(lower(title), ' ')) AS word FROM bill_index), t(word, rcw_title) AS (VALUES "
+       + ", ".join(f"({quoted(w)}, {quoted(t.removeprefix('Title '))})" for w, ts in TITLE_WORDS.items() for t in ts) + ") SELECT DISTINCT record_id, rcw_title FROM w JOIN t USING (word)")
+def expand_titles(spark: SparkSession, folder: str) -> DataFrame:
+    """The statute titles that the words of each record's title stand for."""
+    terms = tables.lexicon(spark, TITLE_WORDS).select(F.col("class").alias("word"), F.regexp_replace("term", "^Title ", "").alias("rcw_title"))
+    words = table(spark, folder, "bill_index").select("record_id", F.explode(F.split(F.lower("title"), " ")).alias("word"))
+    return words.join(F.broadcast(terms), "word").select("record_id", "rcw_title").distinct()  # a fixed list of words
+
+
+@query("SELECT record_id, coalesce(CASE WHEN feed = 'detail' THEN nullif(sponsor, '') END, upper(sponsor)) AS sponsor, coalesce(CASE WHEN feed = 'detail' THEN nullif(status, '') END, upper(status)) AS status, CASE WHEN feed = 'detail' THEN 'xml' ELSE 'html' END AS detail_source FROM bill_index")
+def detail_fallback(spark: SparkSession, folder: str) -> DataFrame:
+    """Details from the records of the detail feed, else from the scraped page, told apart here by upper case."""
+    index = table(spark, folder, "bill_index")
+    page = index.select("record_id", F.upper("sponsor").alias("sponsor"), F.upper("status").alias("status"))
+    return documents.detail(index.where("feed = 'detail'"), page, "record_id", ["sponsor", "status"])
+
+
+@query(r"""
+WITH r AS (SELECT record_id, sponsor, trim(regexp_replace(historyLine, '\s+', ' ', 'g')) AS h FROM bill_index WHERE sponsor LIKE '%. %' AND historyLine IS NOT NULL AND NOT regexp_matches(historyLine, '[<>&]'))
+SELECT record_id, trim(regexp_replace(sponsor, '\s+', ' ', 'g')) AS sponsor, nullif(regexp_extract(h, '^((?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec) \d{1,2}) (.+)$', 1), '') AS introduced,
+  CASE WHEN regexp_matches(h, '^(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec) \d{1,2} .+$') THEN regexp_replace(h, '^((?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec) \d{1,2}) (.+)$', '\1 — \2') END AS last_action FROM r
+""")
+def html_history(spark: SparkSession, folder: str) -> DataFrame:
+    """Sponsor and dated actions scraped from a page of each record that has both."""
+    index = table(spark, folder, "bill_index").where("sponsor LIKE '%. %' AND historyLine IS NOT NULL AND NOT historyLine RLIKE '[<>&]'")
+    page = F.concat(F.lit("<p>Sponsors: "), F.col("sponsor"), F.lit("</p><p>Companion: none</p><ul><li>"), F.col("historyLine"), F.lit("</li></ul>"))
+    return index.select("record_id", documents.history(page).alias("h")).select("record_id", "h.*")
+
+
+@query("SELECT count(*) AS index_count, count(*) > 0 AS healthy FROM bill_index")
+def health(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "bill_index").agg(F.count("*").alias("index_count"), (F.count("*") > 0).alias("healthy"))
+
+
 # Harness ---------------------------------------------------------------------------------------------
 
 S_LATEST = """r AS (SELECT * FROM check_results WHERE bill_number IS NOT NULL QUALIFY row_number() OVER (PARTITION BY bill_number, session, check_code ORDER BY tested_at DESC NULLS LAST, received_at DESC NULLS LAST, result_id DESC) = 1)"""
@@ -587,4 +626,19 @@ def chk_C6(spark: SparkSession, folder: str) -> DataFrame:  # noqa: N802
     return harness.repeated_paragraphs(paragraphs, "entry_id", "at", "sentence", "anchor").select("entry_id", "at.section_pos", "at.unit_no", "sentence")
 
 
+@query()
+def preamble_steps(spark: SparkSession, folder: str) -> DataFrame:
+    """How often each step of the preamble and the parse changed or found something."""
+    return lineage(spark, folder).groupBy("produced_by", "rule").agg(F.count("*").alias("n"), F.count_if("matched").alias("n_matched"), F.count_if("locate_failed").alias("n_not_located"))
+
+
+@query()
+def stream_units(spark: SparkSession, folder: str) -> DataFrame:
+    """The instructions of a stream of corpus files, run until all that is there has been read."""
+    out, state = fresh_path(spark, "stream"), fresh_path(spark, "stream-state")
+    found = streaming.corpus_units(spark, f"{folder}/bill_corpus.parquet*", table(spark, folder, "bill_corpus").schema)
+    streaming.write(found, out, state).awaitTermination()
+    return spark.read.schema(found.schema).parquet(out)
+
+
 FLAGSHIP = plain_meaning

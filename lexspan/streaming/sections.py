@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
@@ -14,10 +15,15 @@ def stream_units(spark: SparkSession, folder: str, schema: StructType | str, *ke
     return units(plain_meaning(spark.readStream.schema(schema).parquet(folder)), *keys)
 
 
+def corpus_units(spark: SparkSession, files: str, schema: StructType | str) -> DataFrame:
+    """Units of every section of the corpus entries in the files, (entry_id, section_pos, unit columns)."""
+    entries = spark.readStream.schema(schema).parquet(files)
+    rows = entries.select("entry_id", F.posexplode("sections").alias("section_pos", "s")).select("entry_id", "section_pos", F.col("s.text").alias("text"))
+    return units(plain_meaning(rows), "entry_id", "section_pos")
+
+
 def signal_counts(spark: SparkSession, folder: str, schema: StructType | str, at: str, late: str = "1 day", window: str = "1 day") -> DataFrame:
     """Units by signal and window of their section's time; sections later than ``late`` are left out."""
-    from pyspark.sql import functions as F
-
     sections = spark.readStream.schema(schema).parquet(folder).withWatermark(at, late)
     return units(plain_meaning(sections), at).groupBy(F.window(at, window), "signal").agg(F.count("*").alias("n_units"))
 
