@@ -44,7 +44,7 @@ def route(bills: DataFrame, number: str, routes: list[tuple] = ROUTES) -> DataFr
 
     The ranges are a fixed list, so the range join is a CASE without a join.
     """
-    n = F.col(number).try_cast("int")
+    n = F.col(number).try_cast("double")  # "1026.0" is 1026
 
     def pick(at: int, other: str) -> Column:
         out = None

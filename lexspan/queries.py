@@ -352,7 +352,7 @@ S_NUMBER = r"coalesce(regexp_extract(regexp_replace({}, '(?i)\bRCW\s+[\d.A-Za-z]
 
 
 def s_route(n: str, at: int, other: str) -> str:
-    return "CASE " + " ".join(f"WHEN TRY_CAST({n} AS INT) BETWEEN {r[0]} AND {r[1]} THEN '{r[at]}'" for r in search.ROUTES) + f" ELSE '{other}' END"
+    return "CASE " + " ".join(f"WHEN TRY_CAST({n} AS DOUBLE) BETWEEN {r[0]} AND {r[1]} THEN '{r[at]}'" for r in search.ROUTES) + f" ELSE '{other}' END"
 
 
 @query(f"SELECT record_id, bill_number, {s_route('bill_number', 2, 'Bill')} AS abbreviation, {s_route('bill_number', 3, 'Legislative record')} AS record_type, {s_route('bill_number', 4, 'Unknown')} AS route_chamber FROM bill_index")
