@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexspan.functions.text import WS, trim
+from lexspan.runtime import materialize
 
 #: Number ranges of record types (fixed values): first and last number, abbreviation, type, chamber.
 ROUTES = [
@@ -109,6 +110,83 @@ def search(index: DataFrame, bodies: DataFrame, query: str, phrases: dict[str, s
     return rows.select("record_id", "bill_id_display", "title", "session", "score").orderBy(F.desc("score"), F.coalesce("bill_id_display", F.lit("")), "record_id").limit(k)
 
 
+#: Lengths of the beginnings by which parts are looked up in longer strings.
+GRAMS = (16, 8, 4, 2, 1)
+
+
+def contained(parts: DataFrame, wholes: DataFrame) -> DataFrame:
+    """(part, whole) of every part that stands anywhere in a whole; both distinct, of columns part and whole.
+
+    A join on the beginning of the part, of the greatest length in GRAMS that it has, and each stretch of such a length
+    in the whole; the rest is verified. So the work grows with the characters of both, not with their product.
+    """
+    size = F.length("part")
+    length = F.coalesce(*[F.when(size >= n, n) for n in GRAMS])
+    keyed = parts.where("part <> ''").withColumn("gram", F.substring(F.col("part"), F.lit(1), length))
+
+    def stretches(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.length("whole") - n + 1, F.lit(1)))
+        return F.when(F.length("whole") >= n, F.transform(starts, lambda i: F.substring(F.col("whole"), i, F.lit(n))))
+
+    none = F.array().cast("array<string>")
+    grams = wholes.select("whole", F.explode(F.array_distinct(F.flatten(F.array(*[F.coalesce(stretches(n), none) for n in GRAMS])))).alias("gram"))
+    return grams.join(keyed, "gram").where(F.contains("whole", "part")).select("part", "whole")
+
+
+def search_many(
+    index: DataFrame, bodies: DataFrame, queries: DataFrame, phrases: dict[str, str] | None = None, session: str = "", titles: DataFrame | None = None, k: int = 10
+) -> DataFrame:
+    """The k best records of each of the queries: (query_id, query, record_id, bill_id_display, title, session, score).
+
+    As ``search``, for any number of queries (query_id, query), by an inverted index: the words of fields and bodies that
+    hold a term are found once for all queries, and each record's points are summed beside it, so only the k best of a
+    partition are shuffled. titles: (word, rcw_title), the statute titles that words stand for; with a column titled in
+    queries, only for those where it is true.
+    """
+    split = lambda c: F.filter(F.split(c, WS + "+", -1), lambda w: w != "")
+    if session:
+        index = index.where(F.coalesce("session", F.lit("")).contains(session))
+    asked = queries.where(F.length(trim(F.col("query"))) > 0)
+    low = F.lower("query")
+    parents = [F.when(low.contains(p), F.lit(phrases[p])) for p in sorted(phrases or {}, key=len, reverse=True)]
+    variants = asked.select("query_id", F.posexplode(F.array_compact(F.array("query", *parents))).alias("variant", "v"))
+    terms = variants.select("query_id", "variant", F.explode(split(F.lower("v"))).alias("key")).groupBy("query_id", "variant", "key").agg(F.count("*").alias("n"))
+    norms = variants.select("query_id", "variant", normalized(F.col("v")).alias("key")).where("key <> ''")
+    needs = terms.withColumn("kind", F.lit("term")).unionByName(norms.select("*", F.lit(1).cast("long").alias("n"), F.lit("norm").alias("kind")))
+
+    # (record_id, kind, key, points)
+    values = index.select("record_id", F.explode(F.array_compact(F.array(*FIELDS))).alias("field"))
+    plain = values.select("record_id", normalized(F.col("field")).alias("whole"))
+    found = contained(norms.select(F.col("key").alias("part")).distinct(), plain.select("whole").distinct())
+    equal, prefix = F.max(F.when(F.col("whole") == F.col("part"), 100).otherwise(0)), F.max(F.when(F.startswith("whole", "part"), 40).otherwise(0))
+    hits = plain.join(found, "whole").groupBy("record_id", F.col("part").alias("key")).agg((equal + prefix + 20).alias("points")).select("record_id", F.lit("norm").alias("kind"), "key", "points")
+    said = materialize(bodies.where("bill_number IS NOT NULL").select("bill_number", F.array_distinct(split(F.col("body"))).alias("words")), "body-words")
+    field_words, body_words = values.select("record_id", F.explode(split(F.lower("field"))).alias("whole")), said.select("bill_number", F.explode("words").alias("whole"))
+    holding = contained(terms.select(F.col("key").alias("part")).distinct(), field_words.select("whole").union(body_words.select("whole")).distinct())
+    holding = materialize(holding.withColumnRenamed("part", "key"), "holding-words")
+    hits = hits.union(field_words.join(holding, "whole").select("record_id", "key").distinct().select("record_id", F.lit("term"), "key", F.lit(10)))
+    in_body = body_words.join(holding, "whole").groupBy("bill_number").agg(F.collect_set("key").alias("keys"))
+    hits = hits.union(index.select("record_id", "bill_number").join(in_body, "bill_number").select("record_id", F.lit("term"), F.explode("keys"), F.lit(5)))
+    if titles is not None and "rcw_titles" in index.columns:
+        whole = variants.where("variant > 0").select("query_id", F.lower("v").alias("word"))
+        titled = asked.where("titled").select("query_id") if "titled" in queries.columns else asked.select("query_id")
+        words = variants.where("variant = 0").select("query_id", F.explode(split(F.lower("v"))).alias("word")).union(whole)
+        words = words.join(titled, "query_id", "left_semi")
+        wanted = words.join(titles.select(F.lower("word").alias("word"), F.col("rcw_title").alias("key")), "word").select("query_id", "key").distinct()
+        needs = needs.unionByName(wanted.select("query_id", F.lit(0).alias("variant"), "key", F.lit(1).cast("long").alias("n"), F.lit("title").alias("kind")))
+        hits = hits.union(index.select("record_id", F.lit("title"), F.explode(F.array_distinct("rcw_titles")), F.lit(0)))
+
+    shown = index.select("record_id", "bill_id_display", "title", "session")
+    each = hits.groupBy("record_id").agg(F.collect_list(F.struct("kind", "key", "points")).alias("hits")).join(shown, "record_id")
+    rows = each.select("record_id", F.struct("bill_id_display", "title", "session").alias("r"), F.explode("hits").alias("h")).select("record_id", "r", "h.*")
+    points = rows.join(needs, ["kind", "key"]).groupBy("record_id", "query_id", "variant").agg(F.sum(F.col("points") * F.col("n")).alias("score"), F.first("r").alias("r"))
+    best = points.groupBy("record_id", "query_id").agg(F.max("score").alias("score"), F.first("r").alias("r"))
+    best = best.select("query_id", "record_id", "r.*", F.greatest("score", F.lit(1)).cast("int").alias("score"))  # 0 only where nothing but a statute title meets
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.coalesce("bill_id_display", F.lit("")), "record_id")
+    top = best.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k).drop("_n")
+    return top.join(asked.select("query_id", "query"), "query_id").select("query_id", "query", "record_id", "bill_id_display", "title", "session", "score")
+
+
 def dedupe_first(rows: DataFrame, key: Column, *order: Column | str) -> DataFrame:
     """The first row of each key in the order."""
     w = Window.partitionBy(key).orderBy(*order)

@@ -402,13 +402,18 @@ def s_search(q: str) -> str:
 
 @query(f"WITH {S_BODIES} " + " UNION ALL ".join(s_search(q) for q in SEARCHES))
 def search_topk(spark: SparkSession, folder: str) -> DataFrame:
-    """The ten best records of each search."""
+    """The ten best records of each search: SEARCHES, and the title (else the display id) of every record whose id is divisible by 50.
+
+    The SQL holds SEARCHES only. The records' searches also take the statute titles that their words stand for.
+    """
     index, bodies = table(spark, folder, "bill_index"), search.corpus_bodies(table(spark, folder, "bill_corpus"))
-    out = None
-    for q in SEARCHES:
-        rows = search.search(index, bodies, q, PHRASES).select(F.lit(q).alias("query"), "record_id", "bill_id_display", "title", "session", "score")
-        out = rows if out is None else out.union(rows)
-    return out
+    fixed = spark.createDataFrame([(-1 - i, q, False) for i, q in enumerate(SEARCHES)], "query_id long, query string, titled boolean")
+    some = lambda c: F.when(F.length(text.trim(F.col(c))) > 0, F.col(c))
+    own = index.where("record_id % 50 = 0").select("record_id", F.coalesce(some("title"), some("bill_id_display")), F.lit(True))
+    titles = tables.lexicon(spark, TITLE_WORDS).select(F.col("class").alias("word"), F.regexp_replace("term", "^Title ", "").alias("rcw_title"))
+    cited = index.withColumn("rcw_titles", F.regexp_extract_all("legal_title", F.lit(r"\bRCW\s+(\d+[A-Za-z]?)\."), F.lit(1)))
+    found = search.search_many(cited, bodies, fixed.union(own), PHRASES, titles=titles)
+    return found.select("query", "record_id", "bill_id_display", "title", "session", "score")
 
 
 @query("""SELECT record_id, session, bill_id_display FROM (SELECT *, row_number() OVER (PARTITION BY regexp_replace(upper(coalesce(session, '') || coalesce(bill_id_display, '')), '[^A-Z0-9]', '', 'g') ORDER BY record_id) AS n FROM bill_index) WHERE n = 1""")
