@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexspan.core.snapshots import bill_changes
@@ -230,9 +230,13 @@ def strike_and_end_strip(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "bill_corpus").where("text IS NOT NULL").select("entry_id", F.md5(text.strip_end(text.strike(F.col("text")))).alias("digest"))
 
 
+def escaped(c: Column) -> Column:
+    return F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+
 def pages(spark: SparkSession, folder: str) -> DataFrame:
     """Markup made of the texts: paragraphs, breaks, entities, a script, and links to documents."""
-    t = F.replace(F.replace(F.replace(F.col("text"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    t = escaped(F.col("text"))
     link = lambda kind, ext: F.concat(F.lit(f'<a href="/documents/billdocs/{ext}/'), F.coalesce("bill_number", F.lit("0")), F.lit(f'.{ext}">{kind}</a><br/>'))
     html = F.concat(
         F.lit("<html><script>var x = 1;</script><body><p>"), F.replace(t, F.lit("\n"), F.lit("</p>\n<p>")), F.lit("</p><div>a&nbsp;&quot;b&quot;</div>"),
@@ -462,9 +466,10 @@ SELECT record_id, trim(regexp_replace(sponsor, '\s+', ' ', 'g')) AS sponsor, nul
   CASE WHEN regexp_matches(h, '^(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec) \d{1,2} .+$') THEN regexp_replace(h, '^((?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec) \d{1,2}) (.+)$', '\1 — \2') END AS last_action FROM r
 """)
 def html_history(spark: SparkSession, folder: str) -> DataFrame:
-    """Sponsor and dated actions scraped from a page of each record that has both."""
-    index = table(spark, folder, "bill_index").where("sponsor LIKE '%. %' AND historyLine IS NOT NULL AND NOT historyLine RLIKE '[<>&]'")
-    page = F.concat(F.lit("<p>Sponsors: "), F.col("sponsor"), F.lit("</p><p>Companion: none</p><ul><li>"), F.col("historyLine"), F.lit("</li></ul>"))
+    """Sponsor and dated actions scraped from a page of each record that has either; the SQL leaves out what has no named sponsor, no history line, or markup in it."""
+    index = table(spark, folder, "bill_index").where("sponsor IS NOT NULL OR historyLine IS NOT NULL")
+    part = lambda before, c, after: F.coalesce(F.concat(F.lit(before), escaped(F.col(c)), F.lit(after)), F.lit(""))
+    page = F.concat(part("<p>Sponsors: ", "sponsor", "</p>"), F.lit("<p>Companion: none</p>"), part("<ul><li>", "historyLine", "</li></ul>"))
     return index.select("record_id", documents.history(page).alias("h")).select("record_id", "h.*")
 
 

@@ -36,3 +36,13 @@ def test_many_searches_equal_one_by_one(spark):
     one = lambda q: search.search(index, bodies, q, phrases, titles={"46"} if "vehicle" in q else None)
     assert got == sorted((q, r["record_id"], r["score"]) for q in asked for r in one(q).collect())
     assert ("vehicle motor", 3, 1) in got
+
+
+def test_history_of_every_record_that_has_any(spark, tmp_path):
+    rows = [(1, "Rep. A", "Jan 3 Returned to Ferries & Harbors."), (2, None, "Feb 4 <b> & Passed."), (3, "Sen. B & C", None), (4, None, None), (5, " ", "Mar 5 Read.")]
+    folder = write(spark, tmp_path, bill_index=spark.createDataFrame(rows, "record_id long, sponsor string, historyLine string"))
+    got = {r["record_id"]: (r["sponsor"], r["introduced"], r["last_action"]) for r in queries.html_history(spark, folder).collect()}
+    assert got == {
+        1: ("Rep. A", "Jan 3", "Jan 3 — Returned to Ferries & Harbors."), 2: (None, "Feb 4", "Feb 4 — <b> & Passed."),
+        3: ("Sen. B & C", None, None), 5: (None, "Mar 5", "Mar 5 — Read."),
+    }
