@@ -78,11 +78,16 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return a.join(b, keys, "full").select(*keys, F.coalesce("n", "o").alias("v")).select(*keys, "v.*")
 
 
+def whole_number(c: Column) -> Column:
+    """The number as an int; null for anything but a number without a fraction."""
+    n = F.when(c.rlike(r"^\s*[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?\s*$"), c.try_cast("double"))
+    return F.when(n == F.floor(n), n.try_cast("int"))
+
+
 def coverage_pool(index: DataFrame, excluded: DataFrame) -> DataFrame:
-    """Distinct numeric bill numbers that aren't excluded."""
-    n = F.col("bill_number").try_cast("int")
-    pool = index.select(n.alias("n")).where("n IS NOT NULL").distinct()
-    return pool.join(excluded.select(F.col("bill_number").try_cast("int").alias("n")), "n", "left_anti")
+    """Distinct whole bill numbers that aren't excluded; "5154.0" is 5154."""
+    pool = index.select(whole_number(F.col("bill_number")).alias("n")).where("n IS NOT NULL").distinct()
+    return pool.join(excluded.select(whole_number(F.col("bill_number")).alias("n")), "n", "left_anti")
 
 
 def coverage_sample(pool: DataFrame, cursor: int, size: int) -> DataFrame:

@@ -46,3 +46,11 @@ def test_history_of_every_record_that_has_any(spark, tmp_path):
         1: ("Rep. A", "Jan 3", "Jan 3 — Returned to Ferries & Harbors."), 2: (None, "Feb 4", "Feb 4 — <b> & Passed."),
         3: ("Sen. B & C", None, None), 5: (None, "Mar 5", "Mar 5 — Read."),
     }
+
+
+def test_decimal_numbers_are_in_the_coverage_pool(spark, tmp_path):
+    numbers = ["5154.0", "5154", " 1017 ", "0002923", "9001.0", "12.5", "n/a", "", None, "NaN", "12d", "HB 7", "99999999999"]
+    index = spark.createDataFrame([(n,) for n in numbers], "bill_number string")
+    folder = write(spark, tmp_path, bill_index=index, sentinel_bills=spark.createDataFrame([("9001",)], "bill_number string"))
+    assert sorted(r["n"] for r in queries.cov_pool(spark, folder).collect()) == [1017, 2923, 5154]
+    assert {r["n"] for r in queries.cov_sample(spark, folder).collect()} == {1017, 2923, 5154}
