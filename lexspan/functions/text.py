@@ -89,6 +89,11 @@ def sections(c: Column) -> Column:
     return F.when(F.size(found) > 0, F.transform(found, one)).when(c.isNotNull(), F.transform(F.array(trim(c)), one))
 
 
+def section_texts(split: Column, whole: Column) -> Column:
+    """array<string>: the texts of the sections; those of the whole text where there are none, null if that is blank too."""
+    return F.when(F.size(split) > 0, F.transform(split, lambda s: s["text"])).when(F.length(trim(whole)) > 0, F.transform(sections(whole), lambda s: s["text"]))
+
+
 def matches_at(c: Column, pattern: str) -> Column:
     """array<struct<start, text>> of all matches, by interleaving matches and the text between them.
 

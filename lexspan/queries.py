@@ -36,9 +36,9 @@ def query(sql: str | None = None, name: str | None = None):
 
 
 def sections(spark: SparkSession, folder: str) -> DataFrame:
-    """(entry_id, bill_number, section_pos, text) of all sections."""
-    rows = spread(table(spark, folder, "bill_corpus").select("entry_id", "bill_number", "sections")).select("entry_id", "bill_number", F.posexplode("sections").alias("section_pos", "s"))
-    return rows.select("entry_id", "bill_number", "section_pos", F.col("s.text").alias("text"))
+    """(entry_id, bill_number, section_pos, text) of all sections, those of ``text`` where an entry has none; the SQL holds no such entry."""
+    rows = spread(table(spark, folder, "bill_corpus").select("entry_id", "bill_number", text.section_texts(F.col("sections"), F.col("text")).alias("texts")))
+    return rows.select("entry_id", "bill_number", F.posexplode("texts").alias("section_pos", "text"))
 
 
 def sentences(spark: SparkSession, folder: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from lexspan.functions.text import section_texts
 from lexspan.plans.plain_meaning import plain_meaning, units
 
 
@@ -16,9 +17,9 @@ def stream_units(spark: SparkSession, folder: str, schema: StructType | str, *ke
 
 
 def corpus_units(spark: SparkSession, files: str, schema: StructType | str) -> DataFrame:
-    """Units of every section of the corpus entries in the files, (entry_id, section_pos, unit columns)."""
+    """Units of every section of the corpus entries in the files, those of the text where there are none: (entry_id, section_pos, unit columns)."""
     entries = spark.readStream.schema(schema).parquet(files)
-    rows = entries.select("entry_id", F.posexplode("sections").alias("section_pos", "s")).select("entry_id", "section_pos", F.col("s.text").alias("text"))
+    rows = entries.select("entry_id", F.posexplode(section_texts(F.col("sections"), F.col("text"))).alias("section_pos", "text"))
     return units(plain_meaning(rows), "entry_id", "section_pos")
 
 

@@ -54,3 +54,15 @@ def test_decimal_numbers_are_in_the_coverage_pool(spark, tmp_path):
     folder = write(spark, tmp_path, bill_index=index, sentinel_bills=spark.createDataFrame([("9001",)], "bill_number string"))
     assert sorted(r["n"] for r in queries.cov_pool(spark, folder).collect()) == [1017, 2923, 5154]
     assert {r["n"] for r in queries.cov_sample(spark, folder).collect()} == {1017, 2923, 5154}
+
+
+def test_texts_without_sections_are_read(spark, tmp_path):
+    schema = "entry_id long, bill_number string, text string, sections array<struct<text string>>"
+    two = "Title\nSec. 1. The board shall adopt fair rules.\nSec. 2. The agency may act on the rules."
+    rows = [(1, "1", "unused", [("The owner must notify the board.",)]), (2, "2", two, None), (3, "3", "The buyer shall keep records.", []), (4, "4", " \n", None), (5, "5", None, None), (6, "6", "x", [(None,)])]
+    folder = write(spark, tmp_path, bill_corpus=spark.createDataFrame(rows, schema))
+    assert sorted((r["entry_id"], r["section_pos"], (r["text"] or "")[:12]) for r in queries.sections(spark, folder).collect()) == [
+        (1, 0, "The owner mu"), (2, 0, "Sec. 1. The "), (2, 1, "Sec. 2. The "), (3, 0, "The buyer sh"), (6, 0, ""),
+    ]
+    keys = lambda df: sorted((r["entry_id"], r["section_pos"], r["signal"]) for r in df.collect())
+    assert keys(queries.stream_units(spark, folder)) == keys(queries.isc_units(spark, folder)) == [(1, 0, "obligation"), (2, 0, "obligation"), (2, 1, "permission"), (3, 0, "obligation")]
