@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexspan.functions.rules import has
-from lexspan.functions.text import HEADING, decode, HTML_ENTITIES, matches_at, strip_tags
+from lexspan.functions.text import HEADING, decode, html_clean, HTML_ENTITIES, matches_at, sections, strike, strip_end, strip_tags, trim
 
 #: Kinds of documents and the words that tell them, in order (fixed values).
 KINDS = [
@@ -104,6 +107,47 @@ def struck_sections(corpus: DataFrame, key: str, text: str) -> DataFrame:
     )
 
 
+P_BREAK = re.compile(r"<br\s*/?>|</p>|</div>|</tr>", re.I)
+P_STRUCK = re.compile(r"\(\([\s\S]*?\)\)")
+P_HTML_HEAD = re.compile(r"(?:NEW SECTION\.\s*)?Sec\.\s+(\d+)\.?", re.I)
+P_TEXT_HEAD = re.compile(r"(?:\A|\n)\s*(?:NEW SECTION\.\s*)?Sec\.\s+(\d+)\.?", re.I)
+
+
+def deletions(html: str | None, cleaned: str | None, numbers: list[str | None]) -> list[tuple]:
+    """(section_pos, section_number, log_no, type, removed, location) of what was deleted before the sections were made.
+
+    numbers: those of the sections. What stands before the first heading is the document's, without a section_pos; a
+    single section without a number takes all. Sections of the same number share their log, and what stands under a
+    number that no section has is in none.
+    """
+    by_number: dict[str | None, list[tuple]] = {None: []}
+    for source, pattern, head, kind in ((html or "", P_BREAK, P_HTML_HEAD, "structural_break"), (cleaned or "", P_STRUCK, P_TEXT_HEAD, "struck_text")):
+        heads = [(m.start(), m[1]) for m in head.finditer(source)]
+        starts = [h[0] for h in heads]
+        for m in pattern.finditer(source):
+            at = bisect_right(starts, m.start())
+            number = heads[at - 1][1] if at else None
+            where = f"raw HTML offset {m.start()}" if kind == "structural_break" else f"{f'Sec. {number}' if at else 'before first section'} (pre-strip offset {m.start()})"
+            by_number.setdefault(number, []).append((kind, m[0], where))
+    if len(numbers) == 1 and numbers[0] is None:
+        logs = [(0, None, [e for log in by_number.values() for e in log])]
+    else:
+        logs = [(None, None, by_number[None])] + [(i, n, by_number.get(n, [])) for i, n in enumerate(numbers) if n is not None]
+    return [(pos, number, i, *e) for pos, number, log in logs for i, e in enumerate(log)]
+
+
+def presource_log(pages: DataFrame, key: str, html: str) -> DataFrame:
+    """(key, section_pos, section_number, log_no, type, removed, location): the deletions of each page; see ``deletions``.
+
+    Structural breaks are of the raw markup, struck text of the cleaned text. One crossing to Python a page, no shuffle.
+    """
+    found = F.udf(deletions, "array<struct<section_pos:int,section_number:string,log_no:int,type:string,removed:string,location:string>>", useArrow=True)
+    rows = pages.select(key, F.col(html).alias("html"), html_clean(F.col(html)).alias("cleaned"))
+    left = strip_end(trim(strike(F.col("cleaned"))))
+    numbers = F.when(F.length(left) > 0, F.transform(sections(left), lambda s: s["sectionNumber"])).otherwise(F.array().cast("array<string>"))
+    return rows.select(key, F.explode(found("html", "cleaned", numbers)).alias("d")).select(key, "d.*")
+
+
 def detail(xml: DataFrame, html: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """Each field from the XML record, else from the scraped page."""
     a, b = xml.select(key, F.struct(*fields).alias("x")), html.select(key, F.struct(*fields).alias("h"))

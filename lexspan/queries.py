@@ -303,10 +303,18 @@ l AS (SELECT entry_id, section_pos, s.sectionNumber AS section_number, unnest(s.
 SELECT section_number, p.type AS type, count(*) AS n, sum(length(p.removed)) AS removed_chars FROM l GROUP BY 1, 2
 """)
 def presource_log(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts of the log that the corpus was delivered with; ``presource_build`` makes one."""
     rows = table(spark, folder, "bill_corpus").select(F.explode("sections").alias("s")).select(F.col("s.sectionNumber").alias("section_number"), F.explode("s.preSourceLog").alias("p"))
     return rows.groupBy("section_number", F.col("p.type").alias("type")).agg(F.count("*").alias("n"), F.sum(F.length("p.removed")).alias("removed_chars"))
 
 
+@query()
+def presource_build(spark: SparkSession, folder: str) -> DataFrame:
+    """What is deleted from the page of each text before its sections are made; citations are taken as struck."""
+    marked = pages(spark, folder).select("entry_id", F.regexp_replace("html", r"(RCW \d[\d.]*)", "(($1))").alias("html"))
+    return documents.presource_log(marked, "entry_id", "html")
+
+
 @query()
 def section_asof(spark: SparkSession, folder: str) -> DataFrame:
     """Struck text of each entry with the section it stands in; citations are taken as struck where there is none."""
