@@ -112,6 +112,8 @@ def search(index: DataFrame, bodies: DataFrame, query: str, phrases: dict[str, s
 
 #: Lengths of the beginnings by which parts are looked up in longer strings.
 GRAMS = (16, 8, 4, 2, 1)
+#: Up to so many parts are sent to all executors, so that the stretches of the longer strings aren't shuffled; more are joined by a shuffle.
+FEW_PARTS = 200_000
 
 
 def contained(parts: DataFrame, wholes: DataFrame) -> DataFrame:
@@ -129,6 +131,7 @@ def contained(parts: DataFrame, wholes: DataFrame) -> DataFrame:
         return F.when(F.length("whole") >= n, F.transform(starts, lambda i: F.substring(F.col("whole"), i, F.lit(n))))
 
     none = F.array().cast("array<string>")
+    keyed = F.broadcast(keyed) if keyed.limit(FEW_PARTS + 1).count() <= FEW_PARTS else keyed
     grams = wholes.select("whole", F.explode(F.array_distinct(F.flatten(F.array(*[F.coalesce(stretches(n), none) for n in GRAMS])))).alias("gram"))
     return grams.join(keyed, "gram").where(F.contains("whole", "part")).select("part", "whole")
 
