@@ -28,6 +28,20 @@ MODALS = [
 MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December"
 NUMBER_WORDS = r"\d+|one|two|three|four|five|six|seven|eight|nine|ten|fifteen|twenty|thirty|forty|fifty|sixty|ninety|one hundred"
 PERIOD = r"(?:business\s+)?(?:days?|months?|years?|hours?|weeks?)"
+# Patterns, fixed values too; the Columns below and the scan of ``plans.plain_meaning`` are built of the same ones.
+DATED = rf"\b(?:effective|takes?\s+effect)\s+([^.;\n]{{0,60}}?(?:{MONTHS})\s+\d{{1,2}},?\s+\d{{4}})"
+TYPES = [
+    ("addition", r"\bNEW\s+SECTION\b"), ("amendment", r"\bis\s+amended\s+to\s+read\s+as\s+follows\b"), ("repeal", r"\b(?:are\s+each\s+repealed|is\s+repealed)\b"),
+    ("delayed", DATED), ("appropriation", r"\bis\s+(?:hereby\s+)?appropriated\b|\bsum\s+of\s+\$"),
+]
+WITHIN, NO_LATER = rf"within\s+(?:{NUMBER_WORDS})\s+{PERIOD}", r"no later than\s+[^;.]{3,60}"
+TRIGGER, SEQUENCE = r"(?:upon|after|following|once)\s+[^,;.]{4,60}", r"(?:before|after|then|prior to|subsequent to)\s+[^,;.]{4,60}"
+STATE, FEDERAL = r"\b(?:rcw|revised code of washington|washington state|wa legislature)\b", r"\b(?:congress|federal|u\.s\.|cfr|u\.s\.c\.)\b"
+ENTITY = r"\b(?:the\s+)?(?:department|agency|commission|board|office|secretary|director|officer|authority)\s+of\s+[A-Z][A-Za-z\s]{2,40}"
+MECHANISM = r"\b(?:by|through|via|using|pursuant to)\s+[^,;.]{4,80}"
+ENFORCEMENT = r"\b(?:penalty|fine|violation|failure to comply|subject to\s+(?:a\s+)?(?:fine|penalty)|enforcement)\b[^.;]*"
+LIKELIHOOD = r"\b(?:may|might|could|likely|possible|probable)\b[^,;.]{0,60}"
+CONSEQUENCE = r"\b(?:resulting? in|subject to|leading? to|cause[sd]?|consequence)\b[^,;.]{0,60}"
 LENSES = [
     ("obligation_removal", r"\b(?:no longer required|not required|no obligation|(?:requirement|obligation|restriction|prohibition|fee)s?\s+(?:is|are|has been|have been|was|were)\s+(?:removed|waived|exempted|eliminated)|no longer\s+\w+)\b"),
     ("threshold_shift", r"\b(?:\d+|one|two|three|four|five|six|seven|eight|nine|ten|fifteen|twenty|thirty|forty|fifty|sixty|ninety)\s*(?:percent|%|business days?|days?|months?|years?|hours?|weeks?)\b|\bno (?:less|more|fewer) than\b|\bat (?:least|most)\b|\bminimum\b|\bmaximum\b|\bno later than\b|\bthreshold\b|\bstandard\b|\b(?:round(?:ed|ing)|adjust(?:ed|ing|ment))\b"),
@@ -61,16 +75,8 @@ def signal(c: Column) -> Column:
 
 def section_type(c: Column) -> Column:
     """struct<type, effective_date>: the first of six rules that holds."""
-    dated = rf"\b(?:effective|takes?\s+effect)\s+([^.;\n]{{0,60}}?(?:{MONTHS})\s+\d{{1,2}},?\s+\d{{4}})"
-    date = F.regexp_replace(F.regexp_extract(c, "(?i)" + dated, 1), r"\s+", " ")
-    kind = (
-        F.when(has(c, r"\bNEW\s+SECTION\b"), "addition")
-        .when(has(c, r"\bis\s+amended\s+to\s+read\s+as\s+follows\b"), "amendment")
-        .when(has(c, r"\b(?:are\s+each\s+repealed|is\s+repealed)\b"), "repeal")
-        .when(has(c, dated), "delayed")
-        .when(has(c, r"\bis\s+(?:hereby\s+)?appropriated\b|\bsum\s+of\s+\$"), "appropriation")
-        .otherwise("standard")
-    )
+    date = F.regexp_replace(F.regexp_extract(c, "(?i)" + DATED, 1), r"\s+", " ")
+    kind = reduce(lambda acc, r: acc.when(has(c, r[1]), r[0]), TYPES[1:], F.when(has(c, TYPES[0][1]), TYPES[0][0])).otherwise("standard")
     return F.struct(kind.alias("type"), F.when(kind == "delayed", trim(F.substring(trim(date), 1, 40))).alias("effective_date"))
 
 
@@ -90,21 +96,21 @@ def modal(c: Column) -> Column:
 
 
 def deadlines(c: Column) -> Column:
-    return F.concat(every(c, rf"within\s+(?:{NUMBER_WORDS})\s+{PERIOD}"), every(c, r"no later than\s+[^;.]{3,60}"))
+    return F.concat(every(c, WITHIN), every(c, NO_LATER))
 
 
 def triggers(c: Column) -> Column:
-    return every(c, r"(?:upon|after|following|once)\s+[^,;.]{4,60}")
+    return every(c, TRIGGER)
 
 
 def sequence(c: Column) -> Column:
-    return every(c, r"(?:before|after|then|prior to|subsequent to)\s+[^,;.]{4,60}")
+    return every(c, SEQUENCE)
 
 
 def jurisdiction(c: Column) -> Column:
     """struct<jurisdiction, system, entity>."""
-    state, federal = has(c, r"\b(?:rcw|revised code of washington|washington state|wa legislature)\b"), has(c, r"\b(?:congress|federal|u\.s\.|cfr|u\.s\.c\.)\b")
-    entity = first(c, r"\b(?:the\s+)?(?:department|agency|commission|board|office|secretary|director|officer|authority)\s+of\s+[A-Z][A-Za-z\s]{2,40}", ignore_case=False)
+    state, federal = has(c, STATE), has(c, FEDERAL)
+    entity = first(c, ENTITY, ignore_case=False)
     return F.struct(
         F.when(state, "Washington State").when(federal, "Federal").alias("jurisdiction"),
         F.when(state, "wa_legislature").when(federal, "federal_law").alias("system"),
@@ -113,19 +119,19 @@ def jurisdiction(c: Column) -> Column:
 
 
 def mechanism(c: Column) -> Column:
-    return first(c, r"\b(?:by|through|via|using|pursuant to)\s+[^,;.]{4,80}")
+    return first(c, MECHANISM)
 
 
 def enforcement(c: Column) -> Column:
-    return first(c, r"\b(?:penalty|fine|violation|failure to comply|subject to\s+(?:a\s+)?(?:fine|penalty)|enforcement)\b[^.;]*")
+    return first(c, ENFORCEMENT)
 
 
 def likelihood(c: Column) -> Column:
-    return every(c, r"\b(?:may|might|could|likely|possible|probable)\b[^,;.]{0,60}")
+    return every(c, LIKELIHOOD)
 
 
 def consequences(c: Column) -> Column:
-    return every(c, r"\b(?:resulting? in|subject to|leading? to|cause[sd]?|consequence)\b[^,;.]{0,60}")
+    return every(c, CONSEQUENCE)
 
 
 def lens(anchor: Column, conditions: Column) -> Column:

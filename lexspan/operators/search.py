@@ -91,11 +91,18 @@ def expand(query: str, phrases: dict[str, str]) -> list[str]:
     return [query, *[phrases[p] for p in sorted(phrases, key=len, reverse=True) if p in query.lower()]]
 
 
-def search(index: DataFrame, bodies: DataFrame, query: str, phrases: dict[str, str] | None = None, session: str = "", titles: set[str] | None = None, k: int = 10) -> DataFrame:
+def in_session(session: str, year: int) -> Column:
+    """Whether a record's session holds the one asked for, or its biennium."""
+    has = F.coalesce("session", F.lit(""))
+    return has.contains(session) | F.contains(has, biennium(F.lit(session), year))
+
+
+def search(index: DataFrame, bodies: DataFrame, query: str, phrases: dict[str, str] | None = None, session: str = "", titles: set[str] | None = None, k: int = 10, year: int = 2026) -> DataFrame:
     """The k best records: (record_id, bill_id_display, title, session, score), by score, display id and record id.
 
     titles: statute titles that the query's words stand for; a record whose ``rcw_titles`` has one and
-    whose score is 0 gets 1. An empty query finds nothing.
+    whose score is 0 gets 1. An empty query finds nothing. session keeps records whose session holds it or its
+    biennium; one that names no year stands for the biennium of ``year``.
     """
     if not query.strip():
         return index.select("record_id", "bill_id_display", "title", "session", F.lit(0).alias("score")).where("false")
@@ -106,7 +113,7 @@ def search(index: DataFrame, bodies: DataFrame, query: str, phrases: dict[str, s
         points = F.when((points == 0) & F.arrays_overlap("rcw_titles", F.array(*[F.lit(t) for t in sorted(titles)])), 1).otherwise(points)
     rows = rows.withColumn("score", points).where("score > 0")
     if session:
-        rows = rows.where(F.coalesce("session", F.lit("")).contains(session))
+        rows = rows.where(in_session(session, year))
     return rows.select("record_id", "bill_id_display", "title", "session", "score").orderBy(F.desc("score"), F.coalesce("bill_id_display", F.lit("")), "record_id").limit(k)
 
 
@@ -137,7 +144,7 @@ def contained(parts: DataFrame, wholes: DataFrame) -> DataFrame:
 
 
 def search_many(
-    index: DataFrame, bodies: DataFrame, queries: DataFrame, phrases: dict[str, str] | None = None, session: str = "", titles: DataFrame | None = None, k: int = 10
+    index: DataFrame, bodies: DataFrame, queries: DataFrame, phrases: dict[str, str] | None = None, session: str = "", titles: DataFrame | None = None, k: int = 10, year: int = 2026
 ) -> DataFrame:
     """The k best records of each of the queries: (query_id, query, record_id, bill_id_display, title, session, score).
 
@@ -148,7 +155,7 @@ def search_many(
     """
     split = lambda c: F.filter(F.split(c, WS + "+", -1), lambda w: w != "")
     if session:
-        index = index.where(F.coalesce("session", F.lit("")).contains(session))
+        index = index.where(in_session(session, year))
     asked = queries.where(F.length(trim(F.col("query"))) > 0)
     low = F.lower("query")
     parents = [F.when(low.contains(p), F.lit(phrases[p])) for p in sorted(phrases or {}, key=len, reverse=True)]

@@ -11,15 +11,15 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexspan.functions import kernel as k
+from lexspan.functions import rules
 from lexspan.functions.rendering import Parts, render, section_text, verb_of
-from lexspan.functions.rules import MONTHS, NUMBER_WORDS, PERIOD
 from lexspan.runtime import arrow_type, spread
 
 MARKS = r"(?:\(\d{1,2}\)|\([a-z]\))+"
@@ -91,14 +91,7 @@ class Edited:
         return inner.cut([(m.start(), m.end(), "") for m in re.finditer(r"\A\s+|\s+\Z", inner.text)])
 
 
-P_DATE = re.compile(rf"\b(?:effective|takes?\s+effect)\s+([^.;\n]{{0,60}}?(?:{MONTHS})\s+\d{{1,2}},?\s+\d{{4}})", re.I)
-P_TYPES = [
-    ("addition", re.compile(r"\bNEW\s+SECTION\b", re.I)),
-    ("amendment", re.compile(r"\bis\s+amended\s+to\s+read\s+as\s+follows\b", re.I)),
-    ("repeal", re.compile(r"\b(?:are\s+each\s+repealed|is\s+repealed)\b", re.I)),
-    ("delayed", P_DATE),
-    ("appropriation", re.compile(r"\bis\s+(?:hereby\s+)?appropriated\b|\bsum\s+of\s+\$", re.I)),
-]
+P_TYPES = [(kind, re.compile(p, re.I)) for kind, p in rules.TYPES]
 
 
 def section_kind(text: str) -> tuple[str, str | None]:
@@ -126,17 +119,16 @@ def _one(pattern: str, text: str, flags: int = re.I) -> str | None:
 
 def context(text: str) -> dict:
     """When, where, how and risk of a sentence."""
-    state = re.search(r"\b(?:rcw|revised code of washington|washington state|wa legislature)\b", text, re.I)
-    federal = re.search(r"\b(?:congress|federal|u\.s\.|cfr|u\.s\.c\.)\b", text, re.I)
+    state, federal = re.search(rules.STATE, text, re.I), re.search(rules.FEDERAL, text, re.I)
     return {
-        "deadlines": _all(rf"within\s+(?:{NUMBER_WORDS})\s+{PERIOD}", text, "within") + _all(r"no later than\s+[^;.]{3,60}", text, "no later than"),
-        "triggers": _all(r"(?:upon|after|following|once)\s+[^,;.]{4,60}", text, "upon", "after", "following", "once"),
-        "sequence": _all(r"(?:before|after|then|prior to|subsequent to)\s+[^,;.]{4,60}", text, "before", "after", "then", "prior to", "subsequent to"),
+        "deadlines": _all(rules.WITHIN, text, "within") + _all(rules.NO_LATER, text, "no later than"),
+        "triggers": _all(rules.TRIGGER, text, "upon", "after", "following", "once"),
+        "sequence": _all(rules.SEQUENCE, text, "before", "after", "then", "prior to", "subsequent to"),
         "jurisdiction": "Washington State" if state else "Federal" if federal else None,
         "system": "wa_legislature" if state else "federal_law" if federal else None,
-        "entity": _one(r"\b(?:the\s+)?(?:department|agency|commission|board|office|secretary|director|officer|authority)\s+of\s+[A-Z][A-Za-z\s]{2,40}", text, 0),
-        "mechanism": _one(r"\b(?:by|through|via|using|pursuant to)\s+[^,;.]{4,80}", text),
-        "enforcement": _one(r"\b(?:penalty|fine|violation|failure to comply|subject to\s+(?:a\s+)?(?:fine|penalty)|enforcement)\b[^.;]*", text),
+        "entity": _one(rules.ENTITY, text, 0),
+        "mechanism": _one(rules.MECHANISM, text),
+        "enforcement": _one(rules.ENFORCEMENT, text),
     }
 
 
@@ -145,13 +137,17 @@ NO_CONTEXT = {"deadlines": [], "triggers": [], "sequence": [], "jurisdiction": N
 
 def risk(text: str) -> dict:
     return {
-        "likelihood": _all(r"\b(?:may|might|could|likely|possible|probable)\b[^,;.]{0,60}", text, "may", "might", "could", "likely", "possible", "probable"),
-        "consequences": _all(r"\b(?:resulting? in|subject to|leading? to|cause[sd]?|consequence)\b[^,;.]{0,60}", text, "result", "subject to", "lead", "cause", "consequence"),
+        "likelihood": _all(rules.LIKELIHOOD, text, "may", "might", "could", "likely", "possible", "probable"),
+        "consequences": _all(rules.CONSEQUENCE, text, "result", "subject to", "lead", "cause", "consequence"),
     }
 
 
-def analyze(original: str, bill_number: int | None = None) -> dict:
-    """Everything of one section: its type, units, lineage and plain meaning."""
+def analyze(original: str, bill_number: int | None = None, verbs: frozenset[str] = k.VERBS) -> dict:
+    """Everything of one section: its type, units, lineage and plain meaning.
+
+    detected_type is that of the section's own words. section_type and the prefix are of what comes out: a section
+    without units is standard. verbs tell which words may be verbs.
+    """
     lineage: list[dict] = []
 
     def record(parent: int | None, text: str, by: str, span: tuple[int, int] | None, rule: str | None = None, matched: bool = True) -> int:
@@ -182,14 +178,14 @@ def analyze(original: str, bill_number: int | None = None) -> dict:
     step("white_space_runs", t.squeezed(2))
 
     found = pieces(t.text)
-    bound = k.bindings(marked) if len(marked) == len(found) else [None] * len(found)
+    bound = k.bindings(marked, verbs) if len(marked) == len(found) else [None] * len(found)
     units: list[dict] = []
     cursor = kept = 0
     for text, binding in zip(found, bound):
         place = t.text.find(text, cursor)
         span = t.span(place, place + len(text)) if place >= 0 else None
         cursor = place + len(text) if place >= 0 else cursor
-        primary, inner = k.signals(text)
+        primary, inner = k.signals(text, verbs)
         opens, defines = bool(k.lead_in(text)), bool(k.P_DEFINES.search(text))
         rule = (
             {"prohibition": "PROHIBITION_RE", "obligation": "OBLIGATION_RE", "permission": "PERMISSION_RE"}[primary] if primary
@@ -203,13 +199,15 @@ def analyze(original: str, bill_number: int | None = None) -> dict:
         own = record(at, text, "sentence_split", span, rule, survives)
         kept += survives
         if survives:
-            units += _units(text, primary, inner, binding, kind, bill_number, own, span, record)
+            units += _units(text, primary, inner, binding, kind, bill_number, own, span, record, verbs)
     for n, u in enumerate(units):
         u["unit_no"] = n + 1
-    plain, content, why = section_text(kind, effective, [u["sentence"] for u in units], len(units))
+    shown, date = (kind, effective) if units else ("standard", None)
+    plain, content, why = section_text(shown, date, [u["sentence"] for u in units], len(units))
     return {
-        "section_type": kind,
-        "effective_date": effective,
+        "section_type": shown,
+        "effective_date": date,
+        "detected_type": kind,
         "input_length": len(t.text),
         "sentence_count": kept,
         "units": units,
@@ -220,15 +218,15 @@ def analyze(original: str, bill_number: int | None = None) -> dict:
     }
 
 
-def _units(text, primary, inner, binding, kind, bill_number, parent, span, record) -> list[dict]:
+def _units(text, primary, inner, binding, kind, bill_number, parent, span, record, verbs) -> list[dict]:
     why = k.purpose(text)
     record(parent, text, "constraint_filter", span, why, why is not None)
     if why:
         return []
     norm = k.normalize(text)
-    lists, whole = k.inclusions(norm, bill_number), k.instructions(norm)
+    lists, whole = k.inclusions(norm, bill_number), k.instructions(norm, verbs)
     terms = k.values(norm, whole[0].actor)
-    short = k.instructions(k.excise(norm, lists)) if any(x.cut for x in lists) else whole
+    short = k.instructions(k.excise(norm, lists), verbs) if any(x.cut for x in lists) else whole
     taken = len(short) >= len(whole) and not any(k.hollow(x.action) for x in short)
     note = "" if taken else " [kept in the sentence]"
     record(parent, text, "inclusion_list_detect", span, ",".join(x.kind for x in lists) + note if lists else "no_marker_found", bool(lists))
@@ -271,23 +269,26 @@ UNIT = (
     "missing:array<string>,status:string,lens:string,sentence:string,start:int,end:int,lineage_id:int>"
 )
 RECORD = "struct<id:int,parent:int,text:string,produced_by:string,start:int,end:int,rule:string,matched:boolean,locate_failed:boolean>"
-RESULT = (
-    f"struct<section_type:string,effective_date:string,input_length:int,sentence_count:int,units:array<{UNIT}>,lineage:array<{RECORD}>,"
-    "plain_meaning:string,has_content:boolean,empty_reason:string>"
-)
+FIELDS = {
+    "section_type": "string", "effective_date": "string", "detected_type": "string", "input_length": "int", "sentence_count": "int", "units": f"array<{UNIT}>",
+    "lineage": f"array<{RECORD}>", "plain_meaning": "string", "has_content": "boolean", "empty_reason": "string",
+}
+
 
+def plain_meaning(sections: DataFrame, text: Column | str = "text", bill_number: Column | None = None, fields: Sequence[str] = tuple(FIELDS), verbs: frozenset[str] = k.VERBS) -> DataFrame:
+    """Adds the column ``result`` to sections, with those fields of what ``analyze`` finds that are asked for.
 
-def plain_meaning(sections: DataFrame, text: Column | str = "text", bill_number: Column | None = None) -> DataFrame:
-    """Adds the column ``result`` to sections, with everything that ``analyze`` finds."""
+    Only they are sent back from Python; an Arrow UDF's result can't be pruned afterwards.
+    """
     text = F.col(text) if isinstance(text, str) else text
     number = F.lit(None).cast("int") if bill_number is None else bill_number
+    result = "struct<" + ",".join(f"{f}:{FIELDS[f]}" for f in fields) + ">"
+    kind = arrow_type(result)
 
-    kind = arrow_type(RESULT)
-
-    @F.arrow_udf(RESULT)
+    @F.arrow_udf(result)
     def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for texts, numbers in batches:
-            yield pa.array([None if t is None else analyze(t, n) for t, n in zip(texts.to_pylist(), numbers.to_pylist())], kind)
+            yield pa.array([None if t is None else analyze(t, n, verbs) for t, n in zip(texts.to_pylist(), numbers.to_pylist())], kind)
 
     return spread(sections).withColumn("result", run(text, number))
 
@@ -300,22 +301,24 @@ def lineage(analyzed: DataFrame, *keys: str) -> DataFrame:
     return analyzed.select(*keys, F.explode("result.lineage").alias("r")).select(*keys, "r.*")
 
 
-def trace(records: DataFrame, *keys: str) -> DataFrame:
+def trace(analyzed: DataFrame, *keys: str) -> DataFrame:
     """(keys, leaf_id, depth, record): every record that reports a sentence, with its ancestors up to the root.
 
-    The chain of a section has a fixed depth, so its records are walked in the array they come in,
-    without a join.
+    All sentences of a section have the same parent, the last step of its preamble; so that step's ancestors are walked
+    once in the array they come in, and each sentence takes them over. An error if a section breaks that rule.
     """
-    nodes = records.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("id", "parent", "produced_by", "start", "end", "locate_failed"))).alias("nodes"))
-    start = F.transform(F.filter("nodes", lambda n: n["produced_by"] == "sentence_split"), lambda n: F.struct(n["id"].alias("leaf"), n["id"].alias("id"), F.lit(0).alias("depth")))
-    walk = nodes.select(*keys, "nodes", F.explode(start).alias("w")).select(*keys, "nodes", "w.leaf")
+    nodes = F.col("result.lineage")
+    leaves = F.filter(nodes, lambda n: n["produced_by"] == "sentence_split")
+    parents = F.array_distinct(F.transform(leaves, lambda n: n["parent"]))
+    steps = F.size(F.filter(nodes, lambda n: ~n["produced_by"].isin("sentence_split", "constraint_filter", "inclusion_list_detect")))
+    parent_of = lambda i: F.element_at(nodes, i + 1)["parent"]
     up = F.aggregate(
-        F.sequence(F.lit(1), F.lit(12)),
-        F.array(F.col("leaf")),
-        lambda acc, _: F.when(
-            F.element_at("nodes", F.element_at(acc, -1) + 1)["parent"].isNotNull(), F.concat(acc, F.array(F.element_at("nodes", F.element_at(acc, -1) + 1)["parent"]))
-        ).otherwise(acc),
-    )
-    return walk.select(*keys, F.col("leaf").alias("leaf_id"), "nodes", F.posexplode(up).alias("depth", "id")).select(
-        *keys, "leaf_id", "depth", F.element_at("nodes", F.col("id") + 1).alias("record")
+        F.sequence(F.lit(1), steps),
+        F.array(F.element_at(parents, 1)),
+        lambda acc, _: F.when(parent_of(F.element_at(acc, -1)).isNull(), acc).otherwise(F.concat(acc, F.array(parent_of(F.element_at(acc, -1))))),
     )
+    chain = F.transform(up, lambda i: F.element_at(nodes, i + 1))
+    whole = (F.size(parents) == 1) & F.element_at(chain, -1)["parent"].isNull()
+    rows = analyzed.where(F.size(leaves) > 0).select(*keys, leaves.alias("leaves"), F.when(whole, chain).otherwise(F.raise_error(F.lit("a sentence's lineage doesn't end at the root"))).alias("chain"))
+    walk = rows.select(*keys, F.explode("leaves").alias("leaf"), "chain").select(*keys, F.col("leaf.id").alias("leaf_id"), F.posexplode(F.concat(F.array("leaf"), "chain")).alias("depth", "record"))
+    return walk

@@ -11,11 +11,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexspan import oracle as o
 from lexspan.core.snapshots import bill_changes
 from lexspan.functions import rules, text
 from lexspan.operators import documents, harness, search, selection
 from lexspan.plans import plain_meaning as plan
-from lexspan.runtime import fresh_path, spread, table
+from lexspan.runtime import fresh_path, materialize, spread, table
 from lexspan.sources import tables
 from lexspan.streaming import sections as streaming
 
@@ -36,57 +37,16 @@ def query(sql: str | None = None, name: str | None = None):
 
 
 def sections(spark: SparkSession, folder: str) -> DataFrame:
-    """(entry_id, bill_number, section_pos, text) of all sections, those of ``text`` where an entry has none; the SQL holds no such entry."""
+    """(entry_id, bill_number, section_pos, text) of all sections, those of ``text`` where an entry has none."""
     rows = spread(table(spark, folder, "bill_corpus").select("entry_id", "bill_number", text.section_texts(F.col("sections"), F.col("text")).alias("texts")))
     return rows.select("entry_id", "bill_number", F.posexplode("texts").alias("section_pos", "text"))
 
 
 def sentences(spark: SparkSession, folder: str) -> DataFrame:
-    return sections(spark, folder).select(*KEYS, F.posexplode(text.sentences(F.col("text"))).alias("pos", "sentence"))
+    """The sentences of all sections, white space collapsed first, as phrases of the rules may stand over a line break."""
+    return sections(spark, folder).select(*KEYS, F.posexplode(text.sentences(text.squeeze(F.col("text")))).alias("pos", "sentence"))
 
 
-# SQL fragments -------------------------------------------------------------------------------------
-
-S_SECTIONS = """s AS (
-  SELECT entry_id, bill_number, unnest(range(len(sections)))::INT AS section_pos, unnest(list_transform(sections, lambda x: x.text)) AS text
-  FROM bill_corpus WHERE sections IS NOT NULL)"""
-
-
-def sql_split(source: str, least: int, starts: str) -> str:
-    """Sentences by inserting a mark after each sentence end and splitting at it."""
-    parts = f"string_split(regexp_replace({source}, '([.!?])\\s+([{starts}])', '\\1' || chr(2) || '\\2', 'g'), chr(2))"
-    return f"list_filter(list_transform({parts}, lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: length(x) > {least})"
-
-
-S_SENTENCES = (
-    S_SECTIONS
-    + f""", l AS (SELECT entry_id, section_pos, {sql_split("text", 15, 'A-Z("')} AS l FROM s WHERE text IS NOT NULL),
-sent AS (SELECT entry_id, section_pos, unnest(range(len(l)))::INT AS pos, unnest(l) AS sentence FROM l)"""
-)
-
-
-def quoted(pattern: str) -> str:
-    return "'" + pattern.replace("'", "''") + "'"
-
-
-def has(c: str, pattern: str) -> str:
-    return f"regexp_matches({c}, {quoted('(?i)' + pattern)})"
-
-
-def first(c: str, pattern: str, group: int = 0, flags: str = "(?i)") -> str:
-    return f"nullif(trim(regexp_extract({c}, {quoted(flags + pattern)}, {group}), ' \t\n\r'), '')"
-
-
-def every(c: str, pattern: str) -> str:
-    return f"list_transform(regexp_extract_all({c}, {quoted('(?i)' + pattern)}), lambda m: regexp_replace(m, '^\\s+|\\s+$', '', 'g'))"
-
-
-def case(c: str, pairs: list[tuple[str, str]], otherwise: str = "NULL") -> str:
-    return "CASE " + " ".join(f"WHEN {has(c, p)} THEN '{n}'" for n, p in pairs) + f" ELSE {otherwise} END"
-
-
-S_SIGNAL = case("sentence", [(n, rules.any_word(w)) for n, w in (("prohibition", rules.PROHIBITION), ("obligation", rules.OBLIGATION), ("permission", rules.PERMISSION))])
-
 # Training data, general ------------------------------------------------------------------------------
 
 
@@ -115,86 +75,81 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 # Sentences and their rules ---------------------------------------------------------------------------
 
 
-@query(f"WITH {S_SENTENCES} SELECT * FROM sent")
+@query(f"WITH {o.SENTENCES} SELECT * FROM sent")
 def split_sentences(spark: SparkSession, folder: str) -> DataFrame:
     return sentences(spark, folder)
 
 
-@query(f"WITH {S_SENTENCES} SELECT entry_id, section_pos, pos, {S_SIGNAL} AS signal FROM sent")
+@query(f"WITH {o.SENTENCES} SELECT entry_id, section_pos, pos, {o.SIGNAL} AS signal FROM sent")
 def signal(spark: SparkSession, folder: str) -> DataFrame:
     return sentences(spark, folder).select(*KEYS, "pos", rules.signal(F.col("sentence")).alias("signal"))
 
 
-@query(f"WITH {S_SENTENCES} SELECT {S_SIGNAL} AS signal, count(*) AS n_sentences, count(DISTINCT entry_id) AS n_entries FROM sent GROUP BY 1")
+@query(f"WITH {o.SENTENCES} SELECT {o.SIGNAL} AS signal, count(*) AS n_sentences, count(DISTINCT entry_id) AS n_entries FROM sent GROUP BY 1")
 def signal_counts(spark: SparkSession, folder: str) -> DataFrame:
     rows = sentences(spark, folder).select("entry_id", rules.signal(F.col("sentence")).alias("signal"))
     return rows.groupBy("signal").agg(F.count("*").alias("n_sentences"), F.countDistinct("entry_id").alias("n_entries"))
 
 
-S_DATE = rf"\b(?:effective|takes?\s+effect)\s+([^.;\n]{{0,60}}?(?:{rules.MONTHS})\s+\d{{1,2}},?\s+\d{{4}})"
-
-
-@query(f"""WITH {S_SECTIONS}, t AS (SELECT entry_id, section_pos, text, {case("text", [
-    ("addition", r"\bNEW\s+SECTION\b"), ("amendment", r"\bis\s+amended\s+to\s+read\s+as\s+follows\b"), ("repeal", r"\b(?:are\s+each\s+repealed|is\s+repealed)\b"),
-    ("delayed", S_DATE), ("appropriation", r"\bis\s+(?:hereby\s+)?appropriated\b|\bsum\s+of\s+\$")], "'standard'")} AS section_type FROM s WHERE text IS NOT NULL)
+@query(f"""WITH {o.SECTIONS}, t AS (SELECT entry_id, section_pos, text, {o.section_type("text")} AS section_type FROM s WHERE text IS NOT NULL)
 SELECT entry_id, section_pos, section_type,
-  CASE WHEN section_type = 'delayed' THEN trim(left(trim(regexp_replace({first("text", S_DATE, 1)}, '\\s+', ' ', 'g')), 40)) END AS effective_date FROM t""")
+  CASE WHEN section_type = 'delayed' THEN trim(left(trim(regexp_replace({o.first("text", o.DATE, 1)}, '\\s+', ' ', 'g')), 40)) END AS effective_date FROM t""")
 def section_type(spark: SparkSession, folder: str) -> DataFrame:
     return sections(spark, folder).where("text IS NOT NULL").select(*KEYS, rules.section_type(F.col("text")).alias("k")).select(*KEYS, F.col("k.type").alias("section_type"), "k.effective_date")
 
 
-@query(f"WITH {S_SENTENCES} SELECT entry_id, section_pos, pos, rule FROM (SELECT *, {case('sentence', rules.PURPOSE)} AS rule FROM sent) WHERE rule IS NULL AND {S_SIGNAL} IS NOT NULL")
+@query(f"WITH {o.SENTENCES} SELECT entry_id, section_pos, pos, rule FROM (SELECT *, {o.PURPOSES} AS rule FROM sent) WHERE rule IS NULL AND {o.SIGNAL} IS NOT NULL")
 def constraint_filter(spark: SparkSession, folder: str) -> DataFrame:
     """Sentences with a signal that do more than state a purpose."""
     rows = sentences(spark, folder).where(rules.signal(F.col("sentence")).isNotNull())
     return rows.select(*KEYS, "pos", rules.purpose_rule(F.col("sentence")).alias("rule")).where("rule IS NULL")
 
 
-@query(f"""WITH {S_SENTENCES} SELECT entry_id, section_pos, pos,
+@query(f"""WITH {o.SENTENCES} SELECT entry_id, section_pos, pos,
   trim(regexp_replace(regexp_replace(regexp_replace(sentence, '(?i)^\\s*(?:NEW SECTION\\.\\s+)?Sec\\.\\s+\\d+\\.?\\s*', ''), '(?i)^\\s*Section\\s+\\d+[.:)]\\s*', ''), '\\s+', ' ', 'g')) AS normalized FROM sent""")
 def normalize(spark: SparkSession, folder: str) -> DataFrame:
     return sentences(spark, folder).select(*KEYS, "pos", rules.normalize(F.col("sentence")).alias("normalized"))
 
 
-@query(f"WITH {S_SENTENCES} SELECT entry_id, section_pos, pos, lower({first('sentence', chr(92) + 'b(?:' + '|'.join(rules.MODALS) + ')' + chr(92) + 'b')}) AS modal FROM sent")
+@query(f"WITH {o.SENTENCES} SELECT entry_id, section_pos, pos, {o.MODAL} AS modal FROM sent")
 def modal_find(spark: SparkSession, folder: str) -> DataFrame:
     return sentences(spark, folder).select(*KEYS, "pos", rules.modal(F.col("sentence")).alias("modal"))
 
 
-@query(f"""WITH {S_SENTENCES} SELECT entry_id, section_pos, pos,
-  array_to_string(list_concat({every("sentence", rf"within\s+(?:{rules.NUMBER_WORDS})\s+{rules.PERIOD}")}, {every("sentence", r"no later than\s+[^;.]{3,60}")}), '|') AS deadlines,
-  array_to_string({every("sentence", r"(?:upon|after|following|once)\s+[^,;.]{4,60}")}, '|') AS triggers,
-  array_to_string({every("sentence", r"(?:before|after|then|prior to|subsequent to)\s+[^,;.]{4,60}")}, '|') AS sequence FROM sent""")
+@query(f"""WITH {o.SENTENCES} SELECT entry_id, section_pos, pos,
+  array_to_string(list_concat({o.every("sentence", o.WITHIN)}, {o.every("sentence", r"no later than\s+[^;.]{3,60}")}), '|') AS deadlines,
+  array_to_string({o.every("sentence", r"(?:upon|after|following|once)\s+[^,;.]{4,60}")}, '|') AS triggers,
+  array_to_string({o.every("sentence", r"(?:before|after|then|prior to|subsequent to)\s+[^,;.]{4,60}")}, '|') AS sequence FROM sent""")
 def temporal(spark: SparkSession, folder: str) -> DataFrame:
     s = F.col("sentence")
     kinds = {"deadlines": rules.deadlines(s), "triggers": rules.triggers(s), "sequence": rules.sequence(s)}
     return sentences(spark, folder).select(*KEYS, "pos", *[F.array_join(c, "|").alias(n) for n, c in kinds.items()])
 
 
-@query(f"""WITH {S_SENTENCES}, j AS (SELECT *, {case("sentence", [("Washington State", r"\b(?:rcw|revised code of washington|washington state|wa legislature)\b"), ("Federal", r"\b(?:congress|federal|u\.s\.|cfr|u\.s\.c\.)\b")])} AS jurisdiction FROM sent)
+@query(f"""WITH {o.SENTENCES}, j AS (SELECT *, CASE WHEN {o.has("sentence", r"\b(?:rcw|revised code of washington|washington state|wa legislature)\b")} THEN 'Washington State' WHEN {o.has("sentence", r"\b(?:congress|federal|u\.s\.|cfr|u\.s\.c\.)\b")} THEN 'Federal' END AS jurisdiction FROM sent)
 SELECT entry_id, section_pos, pos, jurisdiction, CASE jurisdiction WHEN 'Washington State' THEN 'wa_legislature' WHEN 'Federal' THEN 'federal_law' END AS system,
-  {first("sentence", r"\b(?:the\s+)?(?:department|agency|commission|board|office|secretary|director|officer|authority)\s+of\s+[A-Z][A-Za-z\s]{2,40}", 0, "")} AS entity,
-  {first("sentence", r"\b(?:by|through|via|using|pursuant to)\s+[^,;.]{4,80}")} AS mechanism,
-  {first("sentence", r"\b(?:penalty|fine|violation|failure to comply|subject to\s+(?:a\s+)?(?:fine|penalty)|enforcement)\b[^.;]*")} AS enforcement FROM j""")
+  {o.first("sentence", r"\b(?:the\s+)?(?:department|agency|commission|board|office|secretary|director|officer|authority)\s+of\s+[A-Z][A-Za-z\s]{2,40}", 0, "")} AS entity,
+  {o.first("sentence", r"\b(?:by|through|via|using|pursuant to)\s+[^,;.]{4,80}")} AS mechanism,
+  {o.first("sentence", r"\b(?:penalty|fine|violation|failure to comply|subject to\s+(?:a\s+)?(?:fine|penalty)|enforcement)\b[^.;]*")} AS enforcement FROM j""")
 def jurisdiction_and_mechanism(spark: SparkSession, folder: str) -> DataFrame:
     s = F.col("sentence")
     return sentences(spark, folder).select(*KEYS, "pos", rules.jurisdiction(s).alias("j"), rules.mechanism(s).alias("mechanism"), rules.enforcement(s).alias("enforcement")).select(*KEYS, "pos", "j.*", "mechanism", "enforcement")
 
 
-@query(f"""WITH {S_SENTENCES} SELECT entry_id, section_pos, pos,
-  array_to_string({every("sentence", r"\b(?:may|might|could|likely|possible|probable)\b[^,;.]{0,60}")}, '|') AS likelihood,
-  array_to_string({every("sentence", r"\b(?:resulting? in|subject to|leading? to|cause[sd]?|consequence)\b[^,;.]{0,60}")}, '|') AS consequences FROM sent""")
+@query(f"""WITH {o.SENTENCES} SELECT entry_id, section_pos, pos,
+  array_to_string({o.every("sentence", r"\b(?:may|might|could|likely|possible|probable)\b[^,;.]{0,60}")}, '|') AS likelihood,
+  array_to_string({o.every("sentence", r"\b(?:resulting? in|subject to|leading? to|cause[sd]?|consequence)\b[^,;.]{0,60}")}, '|') AS consequences FROM sent""")
 def risk(spark: SparkSession, folder: str) -> DataFrame:
     s = F.col("sentence")
     return sentences(spark, folder).select(*KEYS, "pos", F.array_join(rules.likelihood(s), "|").alias("likelihood"), F.array_join(rules.consequences(s), "|").alias("consequences"))
 
 
-@query(f"WITH {S_SENTENCES} SELECT entry_id, section_pos, pos, {case('sentence', rules.LENSES, chr(39) + 'modality_shift' + chr(39))} AS lens FROM sent")
+@query(f"WITH {o.SENTENCES} SELECT entry_id, section_pos, pos, {o.LENS} AS lens FROM sent")
 def lens(spark: SparkSession, folder: str) -> DataFrame:
     return sentences(spark, folder).select(*KEYS, "pos", rules.lens(F.col("sentence"), F.array().cast("array<string>")).alias("lens"))
 
 
-@query(f"""WITH {S_SENTENCES}, m AS (SELECT entry_id, section_pos, pos, lower({first('sentence', chr(92) + 'b(?:' + '|'.join(rules.MODALS) + ')' + chr(92) + 'b')}) AS modal, {S_SIGNAL} AS signal FROM sent)
+@query(f"""WITH {o.SENTENCES}, m AS (SELECT entry_id, section_pos, pos, {o.MODAL} AS modal, {o.SIGNAL} AS signal FROM sent)
 SELECT entry_id, section_pos, pos, CASE WHEN regexp_matches(coalesce(modal, signal, ''), '(?:shall|must|may) not') OR modal = 'cannot' OR signal = 'prohibition' THEN 'cannot'
   WHEN signal = 'obligation' THEN 'must' WHEN coalesce(modal, signal) = 'may' OR coalesce(modal, signal) LIKE '%permitted%' OR coalesce(modal, signal) LIKE '%authorized%' OR signal = 'permission' THEN 'may' ELSE 'must' END AS verb FROM m""")
 def modal_verb(spark: SparkSession, folder: str) -> DataFrame:
@@ -202,7 +157,7 @@ def modal_verb(spark: SparkSession, folder: str) -> DataFrame:
     return sentences(spark, folder).select(*KEYS, "pos", rules.modal_verb(rules.modal(s), rules.signal(s)).alias("verb"))
 
 
-@query(f"""WITH {S_SENTENCES}, c AS (SELECT entry_id, section_pos, pos, trim(regexp_replace(sentence, '\\s+', ' ', 'g')) AS s FROM sent)
+@query(f"""WITH {o.SENTENCES}, c AS (SELECT entry_id, section_pos, pos, trim(regexp_replace(sentence, '\\s+', ' ', 'g')) AS s FROM sent)
 SELECT entry_id, section_pos, pos, upper(left(s, 1)) || substr(s, 2) || CASE WHEN s LIKE '%.' OR s LIKE '%:' THEN '' ELSE '.' END AS final FROM c""")
 def finalize(spark: SparkSession, folder: str) -> DataFrame:
     return sentences(spark, folder).select(*KEYS, "pos", rules.finalize(F.col("sentence")).alias("final"))
@@ -324,27 +279,17 @@ def section_asof(spark: SparkSession, folder: str) -> DataFrame:
 
 # Selection -------------------------------------------------------------------------------------------
 
-S_CLASSES = "list_filter([" + ", ".join(f"CASE WHEN {has('x', p)}{' AND NOT ' + has('x', chr(92) + 'bmay not' + chr(92) + 'b') if n == 'permission' else ''} THEN '{n}' END" for n, p in selection.CLASSES) + "], lambda z: z IS NOT NULL)"
-S_SELECTED = (
-    S_SECTIONS
-    + f""", l AS (SELECT entry_id, section_pos, {sql_split("trim(regexp_replace(text, '\\s+', ' ', 'g'))", 20, "A-Z(")} AS l FROM s WHERE text IS NOT NULL),
-x AS (SELECT entry_id, section_pos, unnest(range(len(l)))::INT AS pos, unnest(l) AS x FROM l),
-c AS (SELECT *, {S_CLASSES} AS types FROM x),
-sel AS (SELECT *, coalesce({", ".join(f"CASE WHEN list_contains(types, '{p}') THEN '{p}' END" for p in selection.PRIORITY)}) AS primary_type FROM c WHERE len(types) > 0)"""
-)
-
-
-@query(f"WITH {S_SELECTED} SELECT entry_id, section_pos, pos, primary_type, array_to_string(types, '|') AS signal_types, x AS source_span FROM sel")
+@query(f"WITH {o.SELECTED} SELECT entry_id, section_pos, pos, primary_type, array_to_string(types, '|') AS signal_types, x AS source_span FROM sel")
 def sel_units(spark: SparkSession, folder: str) -> DataFrame:
     return selection.units(sections(spark, folder), *KEYS).select(*KEYS, "pos", "primary_type", F.array_join("signal_types", "|").alias("signal_types"), "source_span")
 
 
-@query("WITH " + S_SELECTED + ", r AS (" + " UNION ALL ".join(f"SELECT entry_id, section_pos, pos, '{n}' AS type, unnest({every('x', p)}) AS text FROM sel" for n, p in selection.REFERENCES) + ") SELECT * FROM r")
+@query("WITH " + o.SELECTED + ", r AS (" + " UNION ALL ".join(f"SELECT entry_id, section_pos, pos, '{n}' AS type, unnest({o.every('x', p)}) AS text FROM sel" for n, p in o.REFERENCES) + ") SELECT * FROM r")
 def sel_references(spark: SparkSession, folder: str) -> DataFrame:
     return selection.units(sections(spark, folder), *KEYS).select(*KEYS, "pos", F.explode("references").alias("r")).select(*KEYS, "pos", "r.*")
 
 
-@query(f"""WITH {S_SELECTED}, n AS (SELECT *, sum(CASE WHEN primary_type IN ('obligation', 'prohibition', 'permission') THEN 1 ELSE 0 END) OVER (PARTITION BY entry_id ORDER BY section_pos, pos) AS rule_no FROM sel)
+@query(f"""WITH {o.SELECTED}, n AS (SELECT *, sum(CASE WHEN primary_type IN ('obligation', 'prohibition', 'permission') THEN 1 ELSE 0 END) OVER (PARTITION BY entry_id ORDER BY section_pos, pos) AS rule_no FROM sel)
 SELECT entry_id, rule_no::BIGINT AS rule_no, arg_min(primary_type, section_pos * 1000000 + pos) AS rule_type, count(*) AS n_units,
   count(*) FILTER (WHERE list_contains(types, 'condition')) AS n_conditions, count(*) FILTER (WHERE list_contains(types, 'exception')) AS n_exceptions
 FROM n WHERE rule_no > 0 GROUP BY 1, 2""")
@@ -353,7 +298,7 @@ def sel_rules(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("entry_id", "rule_no", "rule_type", "n_units", F.size("conditions").cast("long").alias("n_conditions"), F.size("exceptions").cast("long").alias("n_exceptions"))
 
 
-@query(f"WITH {S_SELECTED} SELECT primary_type, count(*) AS n_units FROM sel GROUP BY 1")
+@query(f"WITH {o.SELECTED} SELECT primary_type, count(*) AS n_units FROM sel GROUP BY 1")
 def sel_summary(spark: SparkSession, folder: str) -> DataFrame:
     return selection.summary(selection.units(sections(spark, folder), *KEYS))
 
@@ -363,11 +308,11 @@ def sel_summary(spark: SparkSession, folder: str) -> DataFrame:
 S_NUMBER = r"coalesce(regexp_extract(regexp_replace({}, '(?i)\bRCW\s+[\d.A-Za-z]+', '', 'g'), '\b(\d{{3,4}})\b', 1), '')"
 
 
-def s_route(n: str, at: int, other: str) -> str:
-    return "CASE " + " ".join(f"WHEN TRY_CAST({n} AS DOUBLE) BETWEEN {r[0]} AND {r[1]} THEN '{r[at]}'" for r in search.ROUTES) + f" ELSE '{other}' END"
+S_RANGES = f"ranges(lo, hi, abbreviation, record_type, chamber) AS (VALUES {o.RANGES})"
 
 
-@query(f"SELECT record_id, bill_number, {s_route('bill_number', 2, 'Bill')} AS abbreviation, {s_route('bill_number', 3, 'Legislative record')} AS record_type, {s_route('bill_number', 4, 'Unknown')} AS route_chamber FROM bill_index")
+@query(f"""WITH {S_RANGES} SELECT record_id, bill_number, coalesce(abbreviation, 'Bill') AS abbreviation, coalesce(record_type, 'Legislative record') AS record_type, coalesce(ranges.chamber, 'Unknown') AS route_chamber
+FROM bill_index LEFT JOIN ranges ON TRY_CAST(bill_number AS DOUBLE) BETWEEN lo AND hi""")
 def route(spark: SparkSession, folder: str) -> DataFrame:
     return search.route(table(spark, folder, "bill_index"), "bill_number").select("record_id", "bill_number", "abbreviation", "record_type", "route_chamber")
 
@@ -382,17 +327,15 @@ def query_number_and_biennium(spark: SparkSession, folder: str) -> DataFrame:
 #: Searches of the query ``search_topk``: the words and the phrases with a parent word.
 SEARCHES = ["HB 1552", "tuition credits", "5057", "ferry crossing safety plan"]
 PHRASES = {"ferry crossing": "transportation", "safety plan": "safety"}
+#: Words and the statute titles they stand for; a deployment reads its own (``tables.read_synonyms``).
+TITLE_WORDS = {"tuition": ["Title 28B"], "ferry": ["Title 47"], "safety": ["Title 49", "Title 70"], "parcel": ["Title 58", "Title 84"], "inspection": ["Title 49"]}
+
 
+def title_words(spark: SparkSession) -> DataFrame:
+    return tables.lexicon(spark, TITLE_WORDS).select(F.col("class").alias("word"), F.regexp_replace("term", "^Title ", "").alias("rcw_title"))
 
-def s_score(q: str) -> str:
-    norm, terms = "".join(c for c in q.upper() if c.isalnum()), q.lower().split()
-    plain = [f"regexp_replace(upper(coalesce({f}, '')), '[^A-Z0-9]', '', 'g')" for f in search.FIELDS]
-    low = [f"lower(coalesce({f}, ''))" for f in search.FIELDS]
-    some = lambda xs, test: "(" + " OR ".join(test.format(x) for x in xs) + ")"
-    parts = [f"CASE WHEN {some(plain, t)} THEN {n} ELSE 0 END" for n, t in ((100, "{} = '%s'" % norm), (40, "starts_with({}, '%s')" % norm), (20, "contains({}, '%s')" % norm))]
-    for t in terms:
-        parts += [f"CASE WHEN {some(low, 'contains({}, ' + quoted(t) + ')')} THEN 10 ELSE 0 END", f"CASE WHEN contains(coalesce(body, ''), {quoted(t)}) THEN 5 ELSE 0 END"]
-    return " + ".join(parts)
+
+S_TITLES = "titles(word, rcw_title) AS (VALUES " + ", ".join(f"({o.quoted(w)}, {o.quoted(t.removeprefix('Title '))})" for w, ts in TITLE_WORDS.items() for t in ts) + ")"
 
 
 S_BODIES = """b AS (SELECT bill_number, entry_id, lower(array_to_string(list_transform(sections, lambda x: coalesce(x.text, '')), chr(10))) AS body FROM bill_corpus WHERE len(sections) > 0),
@@ -405,24 +348,39 @@ def corpus_bodies(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("bill_number", F.md5("body").alias("digest"), F.length("body").alias("n_chars"))
 
 
-def s_search(q: str) -> str:
-    best = [s_score(x) for x in search.expand(q, PHRASES)]
-    points = f"greatest({', '.join(best)})" if len(best) > 1 else best[0]
-    return f"""(SELECT {quoted(q)} AS query, record_id, bill_id_display, title, session, score FROM (SELECT i.*, {points} AS score FROM bill_index i LEFT JOIN bodies USING (bill_number))
-  WHERE score > 0 ORDER BY score DESC, coalesce(bill_id_display, ''), record_id LIMIT 10)"""
-
-
-@query(f"WITH {S_BODIES} " + " UNION ALL ".join(s_search(q) for q in SEARCHES))
+_SHOWN = ["bill_id_display", "bill_id_normalized", "bill_number", "chamber", "title", "session", "status"]
+S_SEARCH = (
+    S_BODIES + ", " + S_TITLES + """,
+asked AS (SELECT * FROM (VALUES """ + ", ".join(f"({-1 - i}, {o.quoted(q)}, false)" for i, q in enumerate(SEARCHES)) + """) v(query_id, query, titled)
+  UNION ALL SELECT record_id, coalesce(CASE WHEN """ + o.trimmed("title") + """ <> '' THEN title END, CASE WHEN """ + o.trimmed("bill_id_display") + """ <> '' THEN bill_id_display END), true FROM bill_index WHERE record_id % 50 = 0),
+phrases(phrase, parent) AS (VALUES """ + ", ".join(f"({o.quoted(p)}, {o.quoted(w)})" for p, w in PHRASES.items()) + """),
+said AS (SELECT query_id, query, titled, query AS v FROM asked UNION ALL SELECT query_id, query, titled, parent FROM asked, phrases WHERE contains(lower(query), phrase)),
+t AS (SELECT *, regexp_replace(upper(v), '[^A-Z0-9]', '', 'g') AS norm, list_filter(string_split(regexp_replace(lower(v), '\\s+', ' ', 'g'), ' '), lambda x: x <> '') AS terms FROM said),
+r AS (SELECT i.*, body, [""" + ", ".join(f"regexp_replace(upper(coalesce({f}, '')), '[^A-Z0-9]', '', 'g')" for f in _SHOWN) + "] AS plain, [" + ", ".join(f"lower(coalesce({f}, ''))" for f in _SHOWN) + """] AS low,
+  regexp_extract_all(legal_title, '\\bRCW\\s+(\\d+[A-Za-z]?)\\.', 1) AS cited FROM bill_index i LEFT JOIN bodies USING (bill_number)),
+points AS (SELECT query_id, query, record_id, titled, v,
+  CASE WHEN norm = '' THEN 0 ELSE (list_contains(plain, norm))::INT * 100 + (len(list_filter(plain, lambda f: starts_with(f, norm))) > 0)::INT * 40 + (len(list_filter(plain, lambda f: contains(f, norm))) > 0)::INT * 20 END
+  + coalesce(list_sum(list_transform(terms, lambda x: (len(list_filter(low, lambda f: contains(f, x))) > 0)::INT * 10 + contains(coalesce(body, ''), x)::INT * 5)), 0) AS n FROM t, r),
+wanted AS (SELECT DISTINCT query_id, rcw_title FROM (SELECT query_id, unnest(terms) AS word FROM t WHERE titled) JOIN titles USING (word)),
+boosted AS (SELECT DISTINCT query_id, record_id FROM wanted JOIN (SELECT record_id, unnest(cited) AS rcw_title FROM r) USING (rcw_title)),
+best AS (SELECT query_id, any_value(query) AS query, record_id, max(n)::INT AS n FROM points GROUP BY 1, 3),
+scored AS (SELECT b.query_id, b.query, b.record_id, CASE WHEN b.n = 0 AND x.record_id IS NOT NULL THEN 1 ELSE b.n END AS score FROM best b LEFT JOIN boosted x USING (query_id, record_id)),
+top AS (SELECT s.*, i.bill_id_display, i.title, i.session FROM scored s JOIN bill_index i USING (record_id) WHERE score > 0
+  QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, coalesce(i.bill_id_display, ''), record_id) <= 10)"""
+)
+
+
+@query(f"WITH {S_SEARCH} SELECT query, record_id, bill_id_display, title, session, score FROM top")
 def search_topk(spark: SparkSession, folder: str) -> DataFrame:
     """The ten best records of each search: SEARCHES, and the title (else the display id) of every record whose id is divisible by 50.
 
-    The SQL holds SEARCHES only. The records' searches also take the statute titles that their words stand for.
+    The records' searches also take the statute titles that their words stand for.
     """
     index, bodies = table(spark, folder, "bill_index"), search.corpus_bodies(table(spark, folder, "bill_corpus"))
     fixed = spark.createDataFrame([(-1 - i, q, False) for i, q in enumerate(SEARCHES)], "query_id long, query string, titled boolean")
     some = lambda c: F.when(F.length(text.trim(F.col(c))) > 0, F.col(c))
     own = index.where("record_id % 50 = 0").select("record_id", F.coalesce(some("title"), some("bill_id_display")), F.lit(True))
-    titles = tables.lexicon(spark, TITLE_WORDS).select(F.col("class").alias("word"), F.regexp_replace("term", "^Title ", "").alias("rcw_title"))
+    titles = title_words(spark)
     cited = index.withColumn("rcw_titles", F.regexp_extract_all("legal_title", F.lit(r"\bRCW\s+(\d+[A-Za-z]?)\."), F.lit(1)))
     found = search.search_many(cited, bodies, fixed.union(own), PHRASES, titles=titles)
     return found.select("query", "record_id", "bill_id_display", "title", "session", "score")
@@ -434,9 +392,10 @@ def dedupe(spark: SparkSession, folder: str) -> DataFrame:
     return search.dedupe_first(table(spark, folder, "bill_index"), key, "record_id").select("record_id", "session", "bill_id_display")
 
 
-@query(f"""WITH n AS (SELECT *, coalesce(nullif(bill_number, ''), nullif({S_NUMBER.format("bill_id_display")}, '')) AS n FROM bill_index)
-SELECT record_id, coalesce(nullif(bill_id_display, ''), {s_route('n', 2, 'Bill')} || ' ' || n) AS bill_id_display, n AS bill_number, CASE WHEN n IS NOT NULL THEN {s_route('n', 2, 'Bill')} END AS abbreviation,
-  coalesce(nullif(chamber, ''), CASE WHEN n IS NOT NULL THEN {s_route('n', 4, 'Unknown')} END) AS chamber, coalesce(nullif(title, ''), nullif(bill_id_display, ''), 'Untitled') AS title, nullif(session, '') AS session FROM n""")
+@query(f"""WITH {S_RANGES}, m AS (SELECT *, coalesce(nullif(bill_number, ''), nullif({S_NUMBER.format("bill_id_display")}, '')) AS n FROM bill_index),
+n AS (SELECT m.*, CASE WHEN n IS NOT NULL THEN coalesce(abbreviation, 'Bill') END AS abbreviation, CASE WHEN n IS NOT NULL THEN coalesce(ranges.chamber, 'Unknown') END AS of_range FROM m LEFT JOIN ranges ON TRY_CAST(n AS DOUBLE) BETWEEN lo AND hi)
+SELECT record_id, coalesce(nullif(bill_id_display, ''), abbreviation || ' ' || n) AS bill_id_display, n AS bill_number, abbreviation, coalesce(nullif(chamber, ''), of_range) AS chamber,
+  coalesce(nullif(title, ''), nullif(bill_id_display, ''), 'Untitled') AS title, nullif(session, '') AS session FROM n""")
 def map_record(spark: SparkSession, folder: str) -> DataFrame:
     return search.map_record(table(spark, folder, "bill_index")).select("record_id", "bill_id_display", "bill_number", "abbreviation", "chamber", "title", "session")
 
@@ -447,15 +406,10 @@ def adapter_norm(spark: SparkSession, folder: str) -> DataFrame:
     return search.adapter(table(spark, folder, "bill_index"))
 
 
-#: Words and the statute titles they stand for; a deployment passes its own (fixed here for the query and its SQL).
-TITLE_WORDS = {"tuition": ["Title 28B"], "ferry": ["Title 47"], "safety": ["Title 49", "Title 70"], "parcel": ["Title 58", "Title 84"], "inspection": ["Title 49"]}
-
-
-@query("WITH w AS (SELECT record_id, unnest(string_split(lower(title), ' ')) AS word FROM bill_index), t(word, rcw_title) AS (VALUES "
-       + ", ".join(f"({quoted(w)}, {quoted(t.removeprefix('Title '))})" for w, ts in TITLE_WORDS.items() for t in ts) + ") SELECT DISTINCT record_id, rcw_title FROM w JOIN t USING (word)")
+@query(f"WITH {S_TITLES}, w AS (SELECT record_id, unnest(string_split(lower(title), ' ')) AS word FROM bill_index) SELECT DISTINCT record_id, rcw_title FROM w JOIN titles USING (word)")
 def expand_titles(spark: SparkSession, folder: str) -> DataFrame:
     """The statute titles that the words of each record's title stand for."""
-    terms = tables.lexicon(spark, TITLE_WORDS).select(F.col("class").alias("word"), F.regexp_replace("term", "^Title ", "").alias("rcw_title"))
+    terms = title_words(spark)
     words = table(spark, folder, "bill_index").select("record_id", F.explode(F.split(F.lower("title"), " ")).alias("word"))
     return words.join(F.broadcast(terms), "word").select("record_id", "rcw_title").distinct()  # a fixed list of words
 
@@ -468,13 +422,15 @@ def detail_fallback(spark: SparkSession, folder: str) -> DataFrame:
     return documents.detail(index.where("feed = 'detail'"), page, "record_id", ["sponsor", "status"])
 
 
-@query(r"""
-WITH r AS (SELECT record_id, sponsor, trim(regexp_replace(historyLine, '\s+', ' ', 'g')) AS h FROM bill_index WHERE sponsor LIKE '%. %' AND historyLine IS NOT NULL AND NOT regexp_matches(historyLine, '[<>&]'))
-SELECT record_id, trim(regexp_replace(sponsor, '\s+', ' ', 'g')) AS sponsor, nullif(regexp_extract(h, '^((?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec) \d{1,2}) (.+)$', 1), '') AS introduced,
-  CASE WHEN regexp_matches(h, '^(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec) \d{1,2} .+$') THEN regexp_replace(h, '^((?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec) \d{1,2}) (.+)$', '\1 — \2') END AS last_action FROM r
+S_DAY = r"(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec) \d{1,2}"
+
+
+@query(rf"""
+WITH r AS (SELECT record_id, nullif({o.squeezed("sponsor")}, '') AS sponsor, {o.squeezed("historyLine")} AS h FROM bill_index WHERE sponsor IS NOT NULL OR historyLine IS NOT NULL)
+SELECT record_id, sponsor, nullif(regexp_extract(h, '\b({S_DAY}) (.+)$', 1), '') AS introduced, CASE WHEN regexp_matches(h, '\b{S_DAY} .+$') THEN regexp_replace(h, '^(?:.* )?({S_DAY}) (.+)$', '\1 — \2') END AS last_action FROM r
 """)
 def html_history(spark: SparkSession, folder: str) -> DataFrame:
-    """Sponsor and dated actions scraped from a page of each record that has either; the SQL leaves out what has no named sponsor, no history line, or markup in it."""
+    """Sponsor and dated actions scraped from a page of each record that has either."""
     index = table(spark, folder, "bill_index").where("sponsor IS NOT NULL OR historyLine IS NOT NULL")
     part = lambda before, c, after: F.coalesce(F.concat(F.lit(before), escaped(F.col(c)), F.lit(after)), F.lit(""))
     page = F.concat(part("<p>Sponsors: ", "sponsor", "</p>"), F.lit("<p>Companion: none</p>"), part("<ul><li>", "historyLine", "</li></ul>"))
@@ -488,7 +444,7 @@ def health(spark: SparkSession, folder: str) -> DataFrame:
 
 # Harness ---------------------------------------------------------------------------------------------
 
-S_LATEST = """r AS (SELECT * FROM check_results WHERE bill_number IS NOT NULL QUALIFY row_number() OVER (PARTITION BY bill_number, session, check_code ORDER BY tested_at DESC NULLS LAST, received_at DESC NULLS LAST, result_id DESC) = 1)"""
+S_LATEST = """r AS (SELECT * FROM check_results QUALIFY row_number() OVER (PARTITION BY bill_number, session, check_code ORDER BY tested_at DESC NULLS LAST, received_at DESC NULLS LAST, result_id DESC) = 1)"""
 
 
 @query(f"WITH {S_LATEST} SELECT bill_number, session, check_code, result_id, passed FROM r")
@@ -506,13 +462,12 @@ def xfail(spark: SparkSession, folder: str) -> DataFrame:
     return harness.expected_failures(harness.latest(table(spark, folder, "check_results"))).where("note IS NOT NULL").select("result_id", "note")
 
 
-S_NUMERIC = "SELECT DISTINCT TRY_CAST(bill_number AS INT) AS n FROM bill_index WHERE TRY_CAST(bill_number AS INT) IS NOT NULL AND regexp_matches(trim(bill_number, ' '), '^[+-]?[0-9]+$')"
+S_NUMERIC = r"SELECT DISTINCT TRY_CAST(bill_number AS DOUBLE)::INT AS n FROM bill_index WHERE regexp_matches(bill_number, '^\s*[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?\s*$') AND TRY_CAST(bill_number AS DOUBLE) = floor(TRY_CAST(bill_number AS DOUBLE)) AND abs(TRY_CAST(bill_number AS DOUBLE)) < 2147483648"
 S_POOL = f"pool AS (SELECT n FROM ({S_NUMERIC}) WHERE n NOT IN (SELECT bill_number::INT FROM sentinel_bills))"
 
 
 @query(f"WITH {S_POOL} SELECT n FROM pool")
 def cov_pool(spark: SparkSession, folder: str) -> DataFrame:
-    """The SQL leaves out numbers written as decimals."""
     return harness.coverage_pool(table(spark, folder, "bill_index"), table(spark, folder, "sentinel_bills"))
 
 
@@ -528,7 +483,7 @@ def testing_stats(spark: SparkSession, folder: str) -> DataFrame:
     return bills.join(tested, "k").select("n_bills", "n_tested", "n_records")
 
 
-S_UPSERT = """r AS (SELECT *, run_no = (SELECT max(run_no) FROM check_results) AS is_new FROM check_results WHERE bill_number IS NOT NULL),
+S_UPSERT = """r AS (SELECT *, run_no = (SELECT max(run_no) FROM check_results) AS is_new FROM check_results),
 o AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY bill_number, session, check_code, is_new ORDER BY tested_at DESC NULLS LAST, received_at DESC NULLS LAST, result_id DESC) = 1)"""
 
 
@@ -556,93 +511,71 @@ def corpus_dedupe(spark: SparkSession, folder: str) -> DataFrame:
 # Plain meaning ---------------------------------------------------------------------------------------
 
 
-def analyzed(spark: SparkSession, folder: str) -> DataFrame:
+def analyzed(spark: SparkSession, folder: str, *fields: str) -> DataFrame:
     rows = sections(spark, folder).where("text IS NOT NULL")
-    return plan.plain_meaning(rows, "text", F.col("bill_number").try_cast("int"))
+    return plan.plain_meaning(rows, "text", F.col("bill_number").try_cast("int"), fields)
 
 
 @query()
 def plain_meaning(spark: SparkSession, folder: str) -> DataFrame:
     """The plain meaning of every section."""
-    return analyzed(spark, folder).select(*KEYS, "result.section_type", "result.effective_date", "result.sentence_count", "result.plain_meaning", "result.has_content", "result.empty_reason")
+    fields = ("section_type", "effective_date", "detected_type", "sentence_count", "plain_meaning", "has_content", "empty_reason")
+    return analyzed(spark, folder, *fields).select(*KEYS, "result.*")
 
 
 @query()
 def isc_units(spark: SparkSession, folder: str) -> DataFrame:
     """Every instruction: who, must, what, when, where, how, with its sentence."""
-    return plan.units(analyzed(spark, folder), *KEYS)
+    return plan.units(analyzed(spark, folder, "units"), *KEYS)
 
 
 @query()
 def inclusion_lists(spark: SparkSession, folder: str) -> DataFrame:
-    return plan.units(analyzed(spark, folder), *KEYS).where("split_no = 0").select(*KEYS, "unit_no", F.posexplode("inclusion_lists").alias("list_no", "l")).select(*KEYS, "unit_no", "list_no", "l.*")
-
-
-#: Sentences over orders whose parse is known: text around the order's key, and what it must give (fixed cases).
-CASES = [
-    ("The board shall adopt fair rules for lot {}.", "obligation", "The board", "shall", "fair/open", 1, ""),
-    ("The agency may not waive fee {}, and the director shall issue a notice.", "prohibition", "The agency", "may not", "", 2, ""),
-    ("If lot {} is damaged, the owner must notify the board unless the board waives notice.", "obligation", "the owner", "must", "", 1, ""),
-    ("The office may suspend permit {} if the director finds that good cause exists.", "permission", "The office", "may", "good cause/delegated", 1, ""),
-    ("The buyer shall keep records, including invoices, receipts, and letters; lot {} is exempt.", "obligation", "The buyer", "shall", "", 1, "COMMA_BOUNDED"),
-    ('"reasonable notice {}" means a notice sent by mail before the sale of the lot.', None, None, None, "reasonable notice/internal", 1, ""),
-    ("The seller which must register lot {} may appeal the decision.", "permission", "The seller which", "must", "", 1, ""),
-]
-
-
-def _case_sql(at: int, cast: str = "VARCHAR") -> str:
-    value = lambda v: "NULL" if v is None else quoted(v) if isinstance(v, str) else str(v)
-    return "CASE o_orderkey % 7 " + " ".join(f"WHEN {i} THEN {value(c[at])}" for i, c in enumerate(CASES)) + f" END::{cast}"
-
-
-@query(f"""SELECT o_orderkey, {_case_sql(1)} AS signal, {_case_sql(2)} AS actor, {_case_sql(3)} AS modal,
-  CASE o_orderkey % 7 WHEN 5 THEN 'reasonable notice ' || o_orderkey || '/internal' ELSE {_case_sql(4)} END AS value_terms, {_case_sql(5, "INT")} AS n_units, {_case_sql(6)} AS lists FROM orders""")
-def known_cases(spark: SparkSession, folder: str) -> DataFrame:
-    """The whole scan over one sentence for each order, which falls on every kind of sentence in turn."""
-    key = F.pmod("o_orderkey", F.lit(len(CASES)))
-    said = F.coalesce(*[F.when(key == i, F.replace(F.lit(c[0]), F.lit("{}"), F.col("o_orderkey").cast("string"))) for i, c in enumerate(CASES)])
-    rows = plan.plain_meaning(table(spark, folder, "orders").select("o_orderkey", said.alias("text")))
-    one = rows.select("o_orderkey", F.col("result.units")[0].alias("u"), F.size("result.units").alias("n_units"))
-    return one.select(
-        "o_orderkey", "u.signal", "u.actor", "u.modal",
-        F.array_join(F.transform("u.values", lambda v: F.concat_ws("/", v["value_term"], v["resolution_state"])), "|").alias("value_terms"),
-        "n_units", F.array_join(F.transform("u.inclusion_lists", lambda x: x["classification"]), "|").alias("lists"),
-    )
+    return plan.units(analyzed(spark, folder, "units"), *KEYS).where("split_no = 0").select(*KEYS, "unit_no", F.posexplode("inclusion_lists").alias("list_no", "l")).select(*KEYS, "unit_no", "list_no", "l.*")
 
 
 @query()
 def lineage(spark: SparkSession, folder: str) -> DataFrame:
-    return plan.lineage(analyzed(spark, folder), *KEYS)
+    return plan.lineage(analyzed(spark, folder, "lineage"), *KEYS)
 
 
 @query()
 def trace(spark: SparkSession, folder: str) -> DataFrame:
     """Each sentence's record and its ancestors up to the untouched section."""
-    return plan.trace(lineage(spark, folder), *KEYS).select(*KEYS, "leaf_id", "depth", "record.id", "record.produced_by", "record.start", "record.end")
+    return plan.trace(analyzed(spark, folder, "lineage"), *KEYS).select(*KEYS, "leaf_id", "depth", "record.id", "record.produced_by", "record.start", "record.end")
 
 
-@query(f"WITH {S_SECTIONS} SELECT entry_id, section_pos, 0::BIGINT AS n_wrong FROM s WHERE text IS NOT NULL")
+@query(f"WITH {o.SECTIONS} SELECT entry_id, section_pos, 0::BIGINT AS n_wrong FROM s WHERE text IS NOT NULL")
 def chk_L1(spark: SparkSession, folder: str) -> DataFrame:  # noqa: N802
-    """Lineage records whose span isn't their text: none in any section."""
-    return harness.positions(lineage(spark, folder), sections(spark, folder), *KEYS).select(*KEYS, "n_wrong")
+    """Lineage records whose span isn't their text and sentences that aren't located: none in any section."""
+    return harness.positions(analyzed(spark, folder, "lineage"), "text", *KEYS).select(*KEYS, "n_wrong")
 
 
 @query()
 def chk_C4(spark: SparkSession, folder: str) -> DataFrame:  # noqa: N802
-    return harness.anchored(isc_units(spark, folder), sections(spark, folder), *KEYS)
+    """Units whose anchor isn't in their section, and where their lineage leaves it."""
+    return harness.anchored(analyzed(spark, folder, "units", "lineage"), "text", *KEYS)
 
 
-@query()
+@query(f"WITH {o.SECTIONS} SELECT count(*) AS n, 0::BIGINT AS n_malformed, 0::BIGINT AS n_artefact FROM s WHERE text IS NOT NULL")
 def chk_C1_C5(spark: SparkSession, folder: str) -> DataFrame:  # noqa: N802
     rows = plain_meaning(spark, folder)
-    return rows.groupBy("section_type").agg(F.count("*").alias("n"), F.count_if(~harness.well_formed(F.col("plain_meaning"))).alias("n_malformed"), F.count_if(harness.dollar_artefact(F.col("plain_meaning"))).alias("n_artefact"))
+    return rows.agg(F.count("*").alias("n"), F.count_if(~harness.well_formed(F.col("plain_meaning"))).alias("n_malformed"), F.count_if(harness.dollar_artefact(F.col("plain_meaning"))).alias("n_artefact"))
+
+
+@query()
+def para_anchor(spark: SparkSession, folder: str) -> DataFrame:
+    """Every paragraph of every section with the anchor it comes from."""
+    return harness.paragraphs(analyzed(spark, folder, "units", "plain_meaning"), *KEYS)
 
 
 @query()
 def chk_C6(spark: SparkSession, folder: str) -> DataFrame:  # noqa: N802
-    """Paragraphs that repeat another of their entry."""
-    paragraphs = isc_units(spark, folder).where("sentence IS NOT NULL").select("entry_id", F.struct("section_pos", "unit_no").alias("at"), "sentence", "anchor")
-    return harness.repeated_paragraphs(paragraphs, "entry_id", "at", "sentence", "anchor").select("entry_id", "at.section_pos", "at.unit_no", "sentence")
+    """Paragraphs that repeat another of their entry, and those that look damaged."""
+    parts = materialize(para_anchor(spark, folder), "paragraphs").withColumn("at", F.struct("section_pos", "pos"))
+    twice = harness.repeated_paragraphs(parts, "entry_id", "at", "paragraph", "anchor").select("entry_id", "section_pos", "pos", F.lit("duplicate").alias("finding"), "paragraph")
+    sign = harness.corruption(F.col("paragraph"))
+    return twice.unionByName(parts.select("entry_id", "section_pos", "pos", sign.alias("finding"), "paragraph").where("finding IS NOT NULL"))
 
 
 @query()

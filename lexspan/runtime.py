@@ -72,15 +72,13 @@ def small(df: DataFrame, most: int) -> list:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Over all cores, where the input comes in fewer partitions than there are cores.
+    """Over as many tasks as ``spark.lexspan.spread`` names; unchanged, without a shuffle, where that is unset.
 
-    For stages that spend their time in Python on each row. A large table has more partitions than
-    cores and stays as it is, without a shuffle.
+    For stages that spend their time in Python on each row, over tables that come in one file of one row group, which
+    Spark can't split. Tables of many files or row groups need no such setting.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.isStreaming or df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores)
+    tasks = int(df.sparkSession.conf.get("spark.lexspan.spread", "0"))
+    return df if df.isStreaming or tasks <= 0 else df.repartition(tasks)
 
 
 def arrow_type(ddl: str):

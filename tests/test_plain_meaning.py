@@ -4,7 +4,7 @@ import pytest
 
 from lexspan.functions import kernel as k
 from lexspan.functions.rendering import gerund
-from lexspan.plans.plain_meaning import Edited, analyze, lineage, plain_meaning, trace, units
+from lexspan.plans.plain_meaning import Edited, analyze, plain_meaning, trace, units
 
 
 def test_relative_clause_does_not_set_the_main_signal():
@@ -96,5 +96,5 @@ def test_frames(spark):
     rows = plain_meaning(df)
     assert {r["doc"]: r["result"] and r["result"]["sentence_count"] for r in rows.collect()} == {1: 2, 2: None, 3: 0}
     assert [(r["actor"], r["signal"]) for r in units(rows, "doc").orderBy("unit_no").collect()] == [("The board", "obligation"), ("The agency", "permission")]
-    walk = trace(lineage(rows, "doc"), "doc").where("doc = 1").collect()
+    walk = trace(rows, "doc").where("doc = 1").collect()
     assert {w["record"]["produced_by"] for w in walk if w["depth"] == 0} == {"sentence_split"} and any(w["record"]["produced_by"] == "root" for w in walk)
