@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -55,8 +57,47 @@ def drop_table_files(df: DataFrame) -> None:
             drop_path(df.sparkSession, folder)
 
 
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def _at(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def file_exists(spark: SparkSession, path: str) -> bool:
+    at, fs = _at(spark, path)
+    return fs.exists(at)
+
+
+def write_file(spark: SparkSession, path: str, content: str) -> None:
+    """A small file, there as a whole or not at all."""
+    beside, fs = _at(spark, f"{path.rpartition('/')[0]}/.{uuid.uuid4().hex}")
+    out = fs.create(beside)
+    out.write(bytearray(content.encode()))
+    out.close()
+    if not fs.rename(beside, _at(spark, path)[0]):
+        raise OSError(f"{path} could not be written")
+
+
+def read_file(spark: SparkSession, path: str) -> str:
+    return spark.read.text(path, wholetext=True).first()[0]
+
+
+def last_file(spark: SparkSession, folder: str) -> str | None:
+    """The file of a folder whose name comes last; None where there is none."""
+    at, fs = _at(spark, folder)
+    names = [f.getPath() for f in fs.listStatus(at)] if fs.exists(at) else []
+    shown = sorted((p.getName(), p.toString()) for p in names if not p.getName().startswith("."))
+    return shown[-1][1] if shown else None
+
+
+@contextmanager
+def shuffled_by(spark: SparkSession, partitions: int) -> Iterator[None]:
+    """Within it shuffles have so many partitions."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
