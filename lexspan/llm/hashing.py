@@ -36,11 +36,11 @@ def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def prefix_hash(cp: np.ndarray) -> np.ndarray:
-    """P with P[b] - P[a] = the hash of cp[a:b], times BASE**a."""
+def prefix_hash(cp: np.ndarray, salt: int = 0) -> np.ndarray:
+    """P with P[b] - P[a] = the hash of cp[a:b], times BASE**a; another salt is another hash function."""
     pw, _ = powers(len(cp))
     out = np.zeros(len(cp) + 1, U)
-    np.cumsum(mix(cp) * pw[: len(cp)], out=out[1:])
+    np.cumsum(mix(cp + U(salt)) * pw[: len(cp)], out=out[1:])
     return out
 
 

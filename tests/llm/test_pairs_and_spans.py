@@ -66,10 +66,41 @@ def test_compaction_changes_nothing(spark):
     index = SpanIndex(spark, 30, max_runs=1)
     for b in range(3):
         index.ingest(df.where(f"entry_id % 3 = {b}"), "entry_id", "text")
-    assert len(index.runs) == 1
+    assert len(index.state["runs"]) == 1
     assert {tuple(r) for r in index.spans(df, "entry_id", "text").collect()} == brute_spans(rows, 30)
 
 
+@pytest.mark.parametrize("limits", [{"slice_chars": 90}, {"contexts": 1}])
+def test_slices_and_keys_change_nothing(spark, limits):
+    rows = texts(7)
+    assert {tuple(r) for r in shared_spans(corpus(spark, rows), "entry_id", "text", 30, 1, **limits).collect()} == brute_spans(rows, 30)
+
+
+def test_an_index_is_opened_again(spark, tmp_path):
+    rows = texts(8)
+    df = corpus(spark, rows)
+    path = f"file://{tmp_path}/index"
+    for b in range(3):
+        SpanIndex(spark, 30, max_runs=2, path=path).ingest(df.where(f"entry_id % 3 = {b}"), "entry_id", "text")
+    again = SpanIndex(spark, path=path)
+    assert again.min_len == 30 and len(again.state["runs"]) == 1 and len(again.state["places"]) == 3
+    assert {tuple(r) for r in again.spans(df, "entry_id", "text").collect()} == brute_spans(rows, 30)
+    again.drop()
+    assert not (tmp_path / "index").exists()
+
+
+def test_a_window_of_a_third_of_all_records_is_one_row_of_a_run(spark):
+    rng, common = random.Random(4), words(random.Random(5), 12)
+    rows = [(i, (common if i % 3 == 0 else "") + words(rng, 25)) for i in range(300)]
+    index = SpanIndex(spark, 30)
+    index.ingest(corpus(spark, rows), "entry_id", "text")
+    (run,) = index.state["runs"]
+    heads = spark.read.parquet(run["path"])
+    places = spark.read.parquet(*index.state["places"])
+    assert places.groupBy("fp").count().agg({"count": "max"}).first()[0] >= 100 and heads.count() == heads.select("fp").distinct().count()
+    assert {tuple(r) for r in index.spans(corpus(spark, rows), "entry_id", "text").collect()} == brute_spans(rows, 30)
+
+
 def test_ingest_reports_what_a_batch_shares_with_history(spark):
     t = words(random.Random(1), 40)
     index = SpanIndex(spark, 30)
