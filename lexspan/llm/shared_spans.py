@@ -114,7 +114,7 @@ class SpanIndex:
     ):
         self.spark, self.max_runs, self.slice_chars, self.contexts = spark, max_runs, slice_chars, contexts
         self.path = path or fresh_path(spark, "span-index")
-        self.tables: list[str] = []
+        self.tables: dict[str, str] = {}
         self.state = {"no": 0, "min_len": min_len, "window": window or max(1, min_len * 2 // 3), "runs": [], "places": [], "hits": []}
         newest = last_file(spark, f"{self.path}/manifest")
         if newest:
@@ -130,10 +130,11 @@ class SpanIndex:
 
     def _run(self, entry: dict) -> DataFrame:
         """A run as a bucketed table; its name in the catalog is only for this session."""
-        name = f"span_run_{uuid.uuid4().hex}"
-        columns = RUN.replace("long", "bigint")
-        self.spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY (fp) SORTED BY (fp) INTO {entry['buckets']} BUCKETS LOCATION '{entry['path']}'")
-        self.tables.append(name)
+        name = self.tables.get(entry["path"])
+        if not name:
+            name = self.tables[entry["path"]] = f"span_run_{uuid.uuid4().hex}"
+            columns = RUN.replace("long", "bigint")
+            self.spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY (fp) SORTED BY (fp) INTO {entry['buckets']} BUCKETS LOCATION '{entry['path']}'")
         return self.spark.table(name)
 
     def _write_run(self, rows: DataFrame, size: int) -> dict:
@@ -144,7 +145,7 @@ class SpanIndex:
         with shuffled_by(self.spark, buckets):
             one = rows.groupBy("fp").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
             one.sortWithinPartitions("fp").write.bucketBy(buckets, "fp").sortBy("fp").option("path", entry["path"]).saveAsTable(name)
-        self.spark.sql(f"DROP TABLE {name}")  # an external table: its files stay
+        self.tables[entry["path"]] = name
         return entry
 
     def windows(self, records: DataFrame, rec: str, text: str) -> DataFrame:
@@ -184,14 +185,15 @@ class SpanIndex:
             rows = part if rows is None else rows.union(part)
         if rows is not None:
             self._commit(runs=[self._write_run(rows, rows.count())])
-            self._forget()
+            self._forget(self.state["runs"][0]["path"])
             for entry in old:
                 drop_path(self.spark, entry["path"])
 
-    def _forget(self) -> None:
-        for name in self.tables:
-            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
-        self.tables = []
+    def _forget(self, *kept: str) -> None:
+        for path, name in list(self.tables.items()):
+            if path not in kept:
+                self.spark.sql(f"DROP TABLE IF EXISTS {name}")  # an external table: its files stay
+                del self.tables[path]
 
     def drop(self) -> None:
         """Removes the index and all its files."""
@@ -348,7 +350,7 @@ def merge_intervals(rows: DataFrame) -> DataFrame:
     )
 
 
-def shared_spans(records: DataFrame, rec: str, text: str, min_len: int = 300, batches: int = 6, window: int | None = None, max_runs: int = 4, **limits: int) -> DataFrame:
+def shared_spans(records: DataFrame, rec: str, text: str, min_len: int = 300, batches: int = 5, window: int | None = None, max_runs: int = 3, **limits: int) -> DataFrame:
     """All shared spans of the records, through a fresh index that takes them in batches and is removed at the end.
 
     The windows of all batches are made in one pass over the texts. With more batches than max_runs the runs are compacted
