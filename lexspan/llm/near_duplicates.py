@@ -15,6 +15,14 @@ are a third of all rows, make no candidate pairs. Results come as pairs of class
 plus membership (``classes``, ``links``), as one row per record with its group (``groups``), or as
 all pairs of records (``pairs``).
 
+Groups are the connected components of all links, but don't need all of them. First each member of
+a block is compared with the block's smallest only, one pair a member. Then only pairs of a block that
+lie in different components are, as others can't join anything. So a family of near copies, even if
+it is a third of all rows, makes as many pairs as it has members.
+
+Texts are read again only to verify: the sets of those records that a near pair names are made once a
+record, and pairs carry sets. No side of these joins is broadcast, as none has a bound.
+
 Null texts and those of fewer than ``shingle`` words form no set and are in no pair; in ``groups``
 each is a group of its own. Other columns are ignored, whatever their names.
 """
@@ -24,13 +32,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexspan.llm.hashing import U, blocks_of, code_points, mix, prefix_hash, span_hash
-from lexspan.runtime import materialize, spread
+from lexspan.runtime import drop_table_files, materialize, spread
 
 #: Characters handled at once.
 CHUNK = 1 << 18
@@ -117,30 +124,58 @@ class NearDuplicates:
         self.classes = materialize(self.prints.select("rec", "set_id", "set_check").join(rep, ["set_id", "set_check"]).select("rec", "cls").distinct(), "classes")
         self._links: DataFrame | None = None
 
+    def _blocks(self) -> DataFrame:
+        """(rec, key): the blocks of the smallest record of each class."""
+        reps = self.classes.where("rec = cls").select(F.col("cls").alias("rec"))
+        return self.prints.join(reps, "rec", "left_semi").select("rec", F.explode("keys").alias("key"))
+
+    def _verified(self, met: DataFrame) -> DataFrame:
+        """(cls_a, cls_b, similarity) of those of the distinct pairs (a, b) that reach the threshold."""
+        # Five standard deviations of the number of equal symbols at the threshold; chance matches only add.
+        p = self.threshold
+        least = int(self.symbols * p - 5 * (self.symbols * p * (1 - p)) ** 0.5)
+        marks = self.prints.select("rec", "print", "n_set").distinct().hint("merge")
+        both = met.join(marks.select(F.col("rec").alias("a"), F.col("print").alias("pa"), F.col("n_set").alias("na")), "a").join(
+            marks.select(F.col("rec").alias("b"), F.col("print").alias("pb"), F.col("n_set").alias("nb")), "b"
+        )
+        # A set can't reach the threshold with one of less than its share of the size.
+        both = both.where(F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(p) - 1e-9)
+        near = materialize(both.mapInArrow(_hamming(least), "a long, b long"), "near")
+        stored = materialize(self.sets_of(near), "sets")
+        sets = stored.hint("merge")
+        full = near.join(sets.select(F.col("rec").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("rec").alias("b"), F.col("set").alias("sb")), "b")
+        links = materialize(full.mapInArrow(_jaccard(p), "cls_a long, cls_b long, similarity double").distinct(), "links")
+        for done in (near, stored):
+            drop_table_files(done)
+        return links
+
+    def sets_of(self, near: DataFrame) -> DataFrame:
+        """(rec, set) of each record that a pair (a, b) names."""
+        named = near.select(F.col("a").alias("rec")).union(near.select(F.col("b").alias("rec"))).distinct()
+        return self.texts.hint("merge").join(named, "rec").mapInArrow(_sets(self.shingle), "rec long, set binary")
+
     def links(self) -> DataFrame:
         """(cls_a, cls_b, similarity) of all pairs of different classes of at least the threshold."""
         if self._links is None:
-            # Five standard deviations of the number of equal symbols at the threshold; chance matches only add.
-            p = self.threshold
-            least = int(self.symbols * p - 5 * (self.symbols * p * (1 - p)) ** 0.5)
-            reps = self.classes.where("rec = cls").select(F.col("cls").alias("rec"))
-            own = self.prints.join(reps, "rec", "left_semi")
-            blocks = own.select("rec", F.explode("keys").alias("key"))
+            blocks = self._blocks()
             a, b = blocks.select("key", F.col("rec").alias("a")), blocks.select("key", F.col("rec").alias("b"))
-            met = a.join(b, "key").where("a < b").select("a", "b").distinct()
-            marks = own.select("rec", "print", "n_set")
-            both = met.join(marks.select(F.col("rec").alias("a"), F.col("print").alias("pa"), F.col("n_set").alias("na")), "a").join(
-                marks.select(F.col("rec").alias("b"), F.col("print").alias("pb"), F.col("n_set").alias("nb")), "b"
-            )
-            # A set can't reach the threshold with one of less than its share of the size.
-            both = both.where(F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(p) - 1e-9)
-            near = materialize(both.mapInArrow(_hamming(least), "a long, b long"), "near")
-            with_a = near.join(self.texts.select(F.col("rec").alias("a"), F.col("text").alias("ta")), "a")
-            full = with_a.join(self.texts.select(F.col("rec").alias("b"), F.col("text").alias("tb")), "b")
-            exact = full.mapInPandas(_jaccard(self.shingle, p), "cls_a long, cls_b long, similarity double")
-            self._links = materialize(exact.distinct(), "links")
+            self._links = self._verified(a.join(b, "key").where("a < b").select("a", "b").distinct())
         return self._links
 
+    def star(self) -> DataFrame:
+        """(a, b): each member of a block with the smallest of the block."""
+        blocks = self._blocks()
+        first = blocks.groupBy("key").agg(F.min("rec").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a")
+        return blocks.join(first, "key").where("rec <> a").select("a", F.col("rec").alias("b")).distinct()
+
+    def across(self, roots: DataFrame, done: DataFrame) -> DataFrame:
+        """(a, b): pairs of a block with different roots (node, root), without those that are done."""
+        blocks = self._blocks().join(roots.select(F.col("node").alias("rec"), "root"), "rec", "left").withColumn("root", F.coalesce("root", "rec"))
+        mixed = blocks.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
+        rest = blocks.join(mixed, "key", "left_semi")
+        a, b = (rest.select("key", F.col("rec").alias(n), F.col("root").alias(f"r{n}")) for n in "ab")
+        return a.join(b, "key").where("a < b AND ra <> rb").select("a", "b").distinct().join(done, ["a", "b"], "left_anti")
+
     def pairs(self) -> DataFrame:
         """(a, b) with a < b: every pair of records of at least the threshold, copies included."""
         m = self.classes
@@ -150,20 +185,18 @@ class NearDuplicates:
         return across.union(within)
 
     def groups(self) -> DataFrame:
-        """One row per record: its class, its number of linked classes, its group (smallest class id).
+        """(rec, class_id, group_id), one row per record: its class of equal sets, and its group, named by the smallest class in it.
 
-        A record without a set is its own class and group, with no links.
+        A record without a set is its own class and group.
         """
-        links = self.links()
-        ends = links.select(F.col("cls_a").alias("u"), F.col("cls_b").alias("v")).union(links.select(F.col("cls_b").alias("u"), F.col("cls_a").alias("v")))
-        degree = ends.groupBy("u").agg(F.count("*").alias("n_links"))
-        group = components(links.select(F.col("cls_a").alias("u"), F.col("cls_b").alias("v")))
+        ends = lambda links: links.select(F.col("cls_a").alias("u"), F.col("cls_b").alias("v"))
+        star = materialize(self.star(), "star")
+        near = ends(self._verified(star))
+        roots = components(near)
+        group = components(near.union(ends(self._verified(self.across(roots, star)))))
+        drop_table_files(star)
         ids = self.texts.select("rec").distinct().join(self.classes, "rec", "left").withColumn("cls", F.coalesce("cls", "rec"))
-        return (
-            ids.join(degree.withColumnRenamed("u", "cls"), "cls", "left")
-            .join(group.select(F.col("node").alias("cls"), "root"), "cls", "left")
-            .select("rec", F.col("cls").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("root", "cls").alias("group_id"))
-        )
+        return ids.join(group.select(F.col("node").alias("cls"), "root"), "cls", "left").select("rec", F.col("cls").alias("class_id"), F.coalesce("root", "cls").alias("group_id"))
 
 
 def _hamming(least: int):
@@ -179,16 +212,31 @@ def _hamming(least: int):
     return run
 
 
-def _jaccard(shingle: int, threshold: float):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
+def _sets(shingle: int):
+    """The distinct sequences of each text, as sorted hashes of 64 bits."""
+    schema = pa.schema([("rec", pa.int64()), ("set", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+            sets = [np.unique(_shingles([t], shingle)[0]).tobytes() for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("rec")), pa.array(sets, pa.binary())], schema=schema)
+
+    return run
+
+
+def _jaccard(threshold: float):
+    schema = pa.schema([("cls_a", pa.int64()), ("cls_b", pa.int64()), ("similarity", pa.float64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             out = []
-            for a, b, ta, tb in zip(pdf["a"], pdf["b"], pdf["ta"], pdf["tb"]):
-                x, y = (set(_shingles([t], shingle)[0].tolist()) for t in (ta, tb))
-                both = len(x & y)
+            for a, b, x, y in zip(*(batch.column(batch.schema.get_field_index(n)).to_pylist() for n in ("a", "b", "sa", "sb"))):
+                x, y = np.frombuffer(x, U), np.frombuffer(y, U)
+                both = len(np.intersect1d(x, y, assume_unique=True))
                 if both and both >= threshold * (len(x) + len(y) - both) - 1e-9:
                     out.append((a, b, both / (len(x) + len(y) - both)))
-            yield pd.DataFrame(out, columns=["cls_a", "cls_b", "similarity"]).astype({"cls_a": "int64", "cls_b": "int64", "similarity": "float64"})
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*out)) or [[]] * 3, schema)], schema=schema)
 
     return run
 
@@ -201,6 +249,9 @@ def components(edges: DataFrame) -> DataFrame:
     of the longest path. A node's neighbours are never gathered in one place.
     """
     cur = materialize(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges")
+    # The number of distinct edges and two sums of hashes of them tell whether a round changed any, without a shuffle.
+    digest = lambda df: df.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u", F.lit(1)))).first()
+    seen = digest(cur)
     while True:
         both = cur.union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -208,8 +259,9 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         nxt = materialize(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        same = nxt.exceptAll(cur).isEmpty() and cur.exceptAll(nxt).isEmpty()
-        cur = nxt
+        now = digest(nxt)
+        drop_table_files(cur)
+        cur, same, seen = nxt, now == seen, now
         if same:
             break
     roots = cur.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root")

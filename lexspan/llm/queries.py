@@ -69,7 +69,7 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p5_groups(spark: SparkSession, folder: str) -> DataFrame:
-    """Each entry with its bill number, its class of equal texts, its links and its group."""
+    """Each entry with its bill number, its class of equal texts and its group."""
     groups = _near(spark, folder).groups().withColumnRenamed("rec", "entry_id")
     return groups.join(table(spark, folder, "bill_corpus").select("entry_id", "bill_number"), "entry_id")
 

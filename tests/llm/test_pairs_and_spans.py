@@ -3,6 +3,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from lexspan.llm.near_duplicates import NearDuplicates, components
 from lexspan.llm.shared_spans import SpanIndex, shared_report, shared_spans
@@ -152,7 +153,7 @@ def test_pairs_are_those_of_brute_force(spark, n, least):
     copies = [groups[i]["class_id"] for i, t in rows if (t or "").rstrip("!") == rows[0][1]]
     assert len(copies) == 3 and len(set(copies)) == 1
     last = rows[-2][0]
-    assert (groups[last]["class_id"], groups[last]["n_links"], groups[last]["group_id"]) == (last, 0, last)
+    assert (groups[last]["class_id"], groups[last]["group_id"]) == (last, last)
 
 
 def test_many_copies_make_no_candidates(spark):
@@ -161,6 +162,45 @@ def test_many_copies_make_no_candidates(spark):
     assert nd.links().isEmpty() and nd.classes.select("cls").distinct().count() == 1
 
 
+def test_a_family_of_a_third_of_the_rows_makes_as_many_pairs_as_members(spark):
+    rng = random.Random(11)
+    base = words(rng, 150).split()
+    rows = []
+    for i in range(240):
+        other = list(base) if i % 3 == 0 else words(rng, 60).split()
+        other[rng.randrange(len(other))] = f"edit{i}"
+        rows.append((i, " ".join(other)))
+    nd = NearDuplicates(corpus(spark, rows), "entry_id", "text")
+    star = nd.star()
+    assert star.count() < 6 * 80
+    near = nd._verified(star).select(F.col("cls_a").alias("u"), F.col("cls_b").alias("v"))
+    assert nd.across(components(near), star).count() < 80
+    groups = {r["rec"]: r["group_id"] for r in nd.groups().collect()}
+    assert {groups[i] for i in range(0, 240, 3)} == {0} and len(set(groups.values())) == 161
+
+
+def test_groups_are_the_components_of_all_pairs(spark):
+    rng, rows = random.Random(12), []
+    for _ in range(8):  # chains: each text a few edits further from the first
+        text = words(rng, 60).split()
+        for _ in range(6):
+            text = list(text)
+            text[rng.randrange(60)] = f"zz{rng.randrange(999)}"
+            rows.append(" ".join(text))
+    rows = list(enumerate(rows))
+    df = corpus(spark, rows)
+    pairs = brute_pairs(rows, 3, 0.75)
+    want = components(spark.createDataFrame(sorted(pairs), "u long, v long")).collect()
+    groups = {r["rec"]: r["group_id"] for r in NearDuplicates(df, "entry_id", "text", 0.75, 3).groups().collect()}
+    assert groups == {i: i for i, _ in rows} | {r["node"]: r["root"] for r in want}
+
+
+def test_no_text_is_broadcast(spark, capsys):
+    nd = NearDuplicates(corpus(spark, near_texts()), "entry_id", "text", 0.7, 3)
+    nd.sets_of(spark.createDataFrame([(0, 1), (1, 2)], "a long, b long")).explain()
+    assert "Broadcast" not in capsys.readouterr().out
+
+
 def test_empty_table_has_no_pairs(spark):
     nd = NearDuplicates(corpus(spark, []), "entry_id", "text")
     assert nd.pairs().isEmpty() and nd.groups().isEmpty()
