@@ -1,16 +1,19 @@
 """What changed between full snapshots, by subtracting invertible Bloom lookup tables.
 
 The rows of each snapshot are reduced to one per key, and each to a pair of a key hash and a hash of
-its values. Pairs fall into buckets by key hash; a bucket of a snapshot is summarised as a table of
-``cells`` cells, each pair entering three of them with a count and exclusive ors of its hashes. The
-tables of consecutive snapshots are subtracted cell by cell, which leaves only the pairs that
-differ, and these are peeled from the cells that hold a single one. A bucket that can't be peeled
-(too many differences) is built again with twice as many cells, until none fails. The digest of all
-pairs of a bucket verifies what was recovered. A key with a recovered new pair only was added, with
+its values (``delivery_pairs``). Pairs fall into buckets by key hash; a bucket of a snapshot is
+summarised as a table of ``cells`` cells, each pair entering three of them with a count and exclusive
+ors of its hashes (``delivery_tables``). The tables of a delivery are written once; a later delivery is
+compared with them alone, not with the rows they were made of. The tables of consecutive snapshots
+are subtracted cell by cell, which leaves only the pairs that differ, and these are peeled from the
+cells that hold a single one; the digest of all pairs of a bucket verifies what was recovered
+(``differences``). A bucket that can't be peeled (too many differences) is built again with four times
+as many cells, ``ROUNDS`` times at most, and then its pairs are compared one by one. The recovered
+pairs name the rows they come from, which give the keys: a key with a new pair only was added, with
 an old one only removed, with both changed.
 
-Rows are shuffled once as a pair of hashes, by bucket; no bucket is a hot group, as its pairs are
-distinct keys that a hash spread. What a bucket's peeling holds is bounded by its number of cells.
+Pairs are shuffled once, by bucket, to build the tables; no bucket is hot, as its pairs are distinct
+keys that a hash spread. What a bucket's peeling holds is bounded by its number of cells.
 """
 
 from __future__ import annotations
@@ -22,10 +25,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexspan.runtime import materialize
+from lexspan.runtime import drop_table_files, materialize
 
-#: Keys that a bucket holds on average, and its cells at first; both fixed, so that a bucket's work is bounded.
-KEYS_PER_BUCKET, CELLS = 512, 96
+#: Keys that a bucket holds on average, its cells at first, and how often they are enlarged; all fixed, so that a bucket's work is bounded.
+KEYS_PER_BUCKET, CELLS, ROUNDS = 512, 96, 3
 
 
 def latest_rows(rows: DataFrame, keys: list[str], at: str) -> DataFrame:
@@ -47,74 +50,96 @@ def plain(c: str) -> Column:
     return F.lower(F.trim(F.regexp_replace(F.coalesce(F.col(c), F.lit("")), SPACE + "+", " ")))
 
 
-def snapshot_changes(rows: DataFrame, snapshot: str, keys: list[str], values: list[str], at: str) -> DataFrame:
+def delivery_pairs(rows: DataFrame, snapshot: str, keys: list[str], values: list[str], at: str) -> DataFrame:
+    """(snap, *keys, kh, vh): one row per snapshot and key, with hashes of the key and of the plain values."""
+    clean = rows.dropna(subset=[snapshot, *keys])
+    one = latest_rows(clean.select(snapshot, *keys, at, *[plain(v).alias(v) for v in values]), [snapshot, *keys], at)
+    return one.select(
+        F.col(snapshot).alias("snap"),
+        *keys,
+        F.xxhash64(*keys).alias("kh"),
+        F.xxhash64(*[x for i, v in enumerate(values) for x in (F.lit(i), F.col(v))]).alias("vh"),
+    )
+
+
+def bucketed(pairs: DataFrame, buckets: int) -> DataFrame:
+    """(snap, bucket, kh, vh, ck) of pairs; the same number of buckets has to be used for all deliveries that are compared."""
+    return pairs.select("snap", F.pmod(F.xxhash64("kh", F.lit("bucket")), F.lit(buckets)).alias("bucket"), "kh", "vh", F.xxhash64("kh", "vh").alias("ck"))
+
+
+def delivery_tables(hashed: DataFrame, cells: int) -> DataFrame:
+    """The table of each snapshot and bucket: a row per cell, and one of cell -1 with the digest of all pairs.
+
+    One shuffle of the pairs, by bucket, and not of the four times as many cell entries.
+    """
+    third = cells // 3
+    at = [F.pmod(_part(i), F.lit(third)) + i * third for i in range(3)]
+    spread = hashed.repartition("bucket").withColumn("cell", F.explode(F.array(*at, F.lit(-1).cast("long"))))
+    return spread.groupBy("snap", "bucket", "cell").agg(F.count("*").alias("n"), F.bit_xor("kh").alias("kx"), F.bit_xor("vh").alias("vx"), F.bit_xor("ck").alias("cx"))
+
+
+def differences(tables: DataFrame, order: list[tuple], cells: int, only: DataFrame | None = None) -> DataFrame:
+    """(step, bucket, kind, kh, vh, sign) of the pairs that differ between the tables of each (new, old) of order.
+
+    sign is 1 for a pair of the new side and -1 for one of the old. A bucket that can't be peeled is one row of kind
+    "failed". only: (step, bucket), the ones to compare.
+    """
+    left = _subtracted(_sides(tables, order))
+    if only is not None:
+        left = left.join(only, ["step", "bucket"], "left_semi")
+    return _peel(left, cells)
+
+
+def snapshot_changes(rows: DataFrame, snapshot: str, keys: list[str], values: list[str], at: str, cells: int = CELLS, rounds: int = ROUNDS) -> DataFrame:
     """(snapshot, *keys, change_kind) of each snapshot against the nearest earlier one in rows.
 
     keys, as given, must be no longer than they are to be compared; values are compared by ``plain``.
     Of several rows of a key in a snapshot the one with the latest ``at`` counts. Rows with a null
     snapshot or key are left out. An empty table and one with a single snapshot have no change.
     """
-    spark = rows.sparkSession
-    clean = rows.dropna(subset=[snapshot, *keys])
-    one = latest_rows(clean.select(snapshot, *keys, at, *[plain(v).alias(v) for v in values]), [snapshot, *keys], at)
-    pairs = materialize(
-        one.select(
-            F.col(snapshot).alias("snap"),
-            *keys,
-            F.xxhash64(*keys).alias("kh"),
-            F.xxhash64(*[x for i, v in enumerate(values) for x in (F.lit(i), F.col(v))]).alias("vh"),
-        ),
-        "pairs",
-    )
+    pairs = materialize(delivery_pairs(rows, snapshot, keys, values, at), "pairs")
     sizes = pairs.groupBy("snap").count().orderBy("snap").collect()  # one row per snapshot
     if len(sizes) < 2:
         return pairs.select(F.col("snap").alias(snapshot), *keys, F.lit("").alias("change_kind")).where("false")
     order = [(new["snap"], old["snap"]) for old, new in zip(sizes, sizes[1:])]
-    # Each snapshot is the new side of one step and the old side of the next.
-    sides: dict = {}
-    for new, old in order:
-        sides.setdefault(new, []).append((new, 1))
-        sides.setdefault(old, []).append((new, -1))
-    kind = dict(pairs.dtypes)["snap"]
-    typed = lambda v: F.lit(v).cast(kind)
-    steps = F.create_map(*[x for snap, part in sides.items() for x in (typed(snap), F.array(*[F.struct(typed(n).alias("step"), F.lit(sign).alias("sign")) for n, sign in part]))])
-    both = lambda df: df.withColumn("_s", F.explode(steps[F.col("snap")])).select("*", "_s.step", "_s.sign").drop("_s")
-    buckets = max(1, math.ceil(max(r["count"] for r in sizes) / KEYS_PER_BUCKET))
-    hashed = (
-        pairs.select("snap", "kh", "vh")
-        .withColumn("bucket", F.pmod(F.xxhash64("kh", F.lit("bucket")), F.lit(buckets)))
-        .withColumn("ck", F.xxhash64("kh", "vh"))
-    )
-    recovered, todo, cells = None, None, CELLS
-    while True:
-        # One shuffle, by bucket: building, subtracting and peeling the tables then happen where the bucket is.
-        # Buckets hold distinct keys by their hash, so none is large.
-        at_hand = hashed.repartition("bucket")
-        if todo is not None:
-            at_hand = hashed.join(todo.select("bucket").distinct(), "bucket", "left_semi").repartition("bucket")
-        differences = _subtracted(both(_tables(at_hand, cells)))
-        if todo is not None:
-            differences = differences.join(todo, ["step", "bucket"], "left_semi")
-        peeled = materialize(_peel(differences, cells), "peeled")
-        good = peeled.where("kind = 'pair'").select("step", "kh")
+    hashed = bucketed(pairs, max(1, math.ceil(max(r["count"] for r in sizes) / KEYS_PER_BUCKET)))
+    recovered, todo = None, None
+    for _ in range(rounds + 1):
+        part = hashed if todo is None else hashed.join(todo.select("bucket").distinct(), "bucket", "left_semi")
+        tables = materialize(delivery_tables(part, cells), "tables")
+        peeled = materialize(differences(tables, order, cells, todo), "peeled")
+        drop_table_files(tables)
+        good = peeled.where("kind = 'pair'").select("step", "kh", "vh", "sign")
         recovered = good if recovered is None else recovered.union(good)
         todo = peeled.where("kind = 'failed'").select("step", "bucket")
         if todo.isEmpty():
             break
-        cells *= 2
-    # The recovered keys are classified by their rows in both snapshots, which also parts keys of equal hash.
-    rows_of = recovered.distinct().join(both(pairs), ["step", "kh"])
-    sides = rows_of.groupBy("step", *keys).agg(F.max(F.when(F.col("sign") > 0, F.col("vh"))).alias("new"), F.max(F.when(F.col("sign") < 0, F.col("vh"))).alias("old"))
-    kind = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").when(F.col("old") != F.col("new"), "changed")
-    return sides.withColumn("change_kind", kind).where("change_kind IS NOT NULL").select(F.col("step").alias(snapshot), *keys, "change_kind")
-
-
-def _tables(pairs: DataFrame, cells: int) -> DataFrame:
-    """The table of each snapshot and bucket: a row per cell, and one of cell -1 with the digest of all pairs."""
-    third = cells // 3
-    at = [F.pmod(_part(i), F.lit(third)) + i * third for i in range(3)]
-    spread = pairs.withColumn("cell", F.explode(F.array(*at, F.lit(-1).cast("long"))))
-    return spread.groupBy("snap", "bucket", "cell").agg(F.count("*").alias("n"), F.bit_xor("kh").alias("kx"), F.bit_xor("vh").alias("vx"), F.bit_xor("ck").alias("cx"))
+        cells *= 4
+    else:
+        # Buckets of too many differences for any of these tables: pair by pair, those of one side are left.
+        rest = _sides(hashed, order).join(todo, ["step", "bucket"], "left_semi")
+        recovered = recovered.union(rest.groupBy("step", "kh", "vh").agg(F.sum("sign").cast("int").alias("sign")).where("sign <> 0"))
+    # A recovered pair is of one row of its side, which parts keys of equal hash too.
+    before = dict(order)
+    old_of = F.create_map(*[_typed(pairs, x) for pair in before.items() for x in pair])
+    named = recovered.withColumn("snap", F.when(F.col("sign") > 0, F.col("step")).otherwise(old_of[F.col("step")]))
+    rows_of = pairs.join(named, ["snap", "kh", "vh"]).groupBy("step", *keys).agg(F.max("sign").alias("most"), F.min("sign").alias("least"))
+    kind = F.when(F.col("most") < 0, "removed").when(F.col("least") > 0, "added").otherwise("changed")
+    return rows_of.select(F.col("step").alias(snapshot), *keys, kind.alias("change_kind"))
+
+
+def _typed(df: DataFrame, value: object) -> Column:
+    return F.lit(value).cast(dict(df.dtypes)["snap"])
+
+
+def _sides(df: DataFrame, order: list[tuple]) -> DataFrame:
+    """Adds step and sign: each snapshot is the new side of one step and the old side of the next."""
+    sides: dict = {}
+    for new, old in order:
+        sides.setdefault(new, []).append((new, 1))
+        sides.setdefault(old, []).append((new, -1))
+    steps = F.create_map(*[x for snap, part in sides.items() for x in (_typed(df, snap), F.array(*[F.struct(_typed(df, n).alias("step"), F.lit(sign).alias("sign")) for n, sign in part]))])
+    return df.withColumn("_s", F.explode(steps[F.col("snap")])).select("*", "_s.step", "_s.sign").drop("_s")
 
 
 def _subtracted(tables: DataFrame) -> DataFrame:
@@ -149,17 +174,17 @@ def _peel(tables: DataFrame, cells: int) -> DataFrame:
             n, k, v, x = table[ready.pop()]
             if n not in (1, -1) or _check(k, v) != x:
                 continue
-            found.append((step, bucket, "pair", k, n))
+            found.append((step, bucket, "pair", k, v, n))
             for row, at in [(digest, None)] + [(None, ((k ^ v) >> 20 * i & 0xFFFFF) % third + i * third) for i in range(3)]:
                 row = table.setdefault(at, [0, 0, 0, 0]) if row is None else row
                 row[:] = row[0] - n, row[1] ^ k, row[2] ^ v, row[3] ^ x
                 if at is not None:
                     ready.append(at)
         if any(digest) or any(any(row) for row in table.values()):
-            found = [(step, bucket, "failed", 0, 0)]
-        return pd.DataFrame(found, columns=["step", "bucket", "kind", "kh", "sign"])
+            found = [(step, bucket, "failed", 0, 0, 0)]
+        return pd.DataFrame(found, columns=["step", "bucket", "kind", "kh", "vh", "sign"])
 
-    return tables.groupBy("step", "bucket").applyInPandas(peel, f"step {kind}, bucket long, kind string, kh long, sign int")
+    return tables.groupBy("step", "bucket").applyInPandas(peel, f"step {kind}, bucket long, kind string, kh long, vh long, sign int")
 
 
 def bill_changes(snapshots: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@ import datetime as dt
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from lexspan.core import snapshots
 from lexspan.core.snapshots import bill_changes, latest_rows, snapshot_changes
@@ -42,9 +43,8 @@ def test_empty_and_single(spark):
     assert bill_changes(spark.createDataFrame([row(2, "HB 1", "a")], SCHEMA)).isEmpty()
 
 
-@pytest.mark.parametrize("change", [0.02, 0.6])
-def test_against_brute_force_with_failing_buckets(spark, change, monkeypatch):
-    monkeypatch.setattr(snapshots, "CELLS", 24)
+@pytest.mark.parametrize("change,rounds", [(0.02, 3), (0.6, 3), (0.6, 0)])
+def test_against_brute_force_with_failing_buckets(spark, change, rounds):
     rng = random.Random(4)
     state, rows, want = {f"HB {i}": "s" for i in range(900)}, [], set()
     for snap in (1, 2, 5):
@@ -62,7 +62,17 @@ def test_against_brute_force_with_failing_buckets(spark, change, monkeypatch):
                     want.add((snap, "2025-26", k.replace(" ", ""), kind))
         state = new
         rows += [row(snap, k, v) for k, v in state.items()]
-    assert found(bill_changes(spark.createDataFrame(rows, SCHEMA))) == want
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("bill_key", F.replace("bill_id_display", F.lit(" "), F.lit("")))
+    assert found(snapshot_changes(df, "snapshot_no", ["session", "bill_key"], ["status", "historyLine", "committee"], "delivered_at", 24, rounds)) == want
+
+
+def test_a_stored_table_is_compared_without_its_rows(spark, tmp_path):
+    day = lambda snap, values: snapshots.bucketed(snapshots.delivery_pairs(spark.createDataFrame([(snap, k, v, 1) for k, v in values.items()], "snap int, k string, v string, t int"), "snap", ["k"], ["v"], "t"), 1)
+    first = {f"k{i}": "a" for i in range(200)}
+    snapshots.delivery_tables(day(1, first), 96).write.parquet(str(tmp_path / "first"))
+    second = snapshots.delivery_tables(day(2, {**first, "k3": "b", "new": "c"}), 96)
+    got = snapshots.differences(spark.read.parquet(str(tmp_path / "first")).union(second), [(2, 1)], 96).collect()
+    assert sorted(r["sign"] for r in got) == [-1, 1, 1] and {r["kind"] for r in got} == {"pair"}
 
 
 def test_other_key_types(spark):
