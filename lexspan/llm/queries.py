@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lexspan.llm import languages, mixing
 from lexspan.llm.near_duplicates import NearDuplicates
 from lexspan.llm.packing import containers, pack
-from lexspan.llm.representatives import represent_bills
+from lexspan.llm.representatives import checked, represent_bills
 from lexspan.llm.shared_spans import shared_report, shared_spans
 from lexspan.llm.splitting import split_bills
 from lexspan.llm.tokens import n_tokens
@@ -33,8 +33,12 @@ def p1_report(spark: SparkSession, folder: str) -> DataFrame:
     return shared_report(corpus, spans, "entry_id", "text").withColumnRenamed("rec", "entry_id")
 
 
+def _index(spark: SparkSession, folder: str) -> list[DataFrame]:
+    return [table(spark, folder, name) for name in ("bill_index", "placeholder_values", "feed_trust")]
+
+
 def _bills(spark: SparkSession, folder: str) -> DataFrame:
-    return represent_bills(table(spark, folder, "bill_index"), table(spark, folder, "placeholder_values"), table(spark, folder, "feed_trust"))
+    return represent_bills(*_index(spark, folder))
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -46,6 +50,11 @@ def p2_representatives(spark: SparkSession, folder: str) -> DataFrame:
     return _bills(spark, folder)
 
 
+def p2_check(spark: SparkSession, folder: str) -> DataFrame:
+    """What must hold of the representatives of all bills."""
+    return checked(*_index(spark, folder))
+
+
 def _pieces(spark: SparkSession, folder: str) -> DataFrame:
     most, overlap = (int(limit_of(spark, folder, n)) for n in ("piece_max", "piece_overlap"))
     return split_bills(table(spark, folder, "bill_corpus"), most, overlap)
@@ -130,6 +139,7 @@ QUERIES = {
     "p1_report": p1_report,
     "p2_found": p2_found,
     "p2_representatives": p2_representatives,
+    "p2_check": p2_check,
     "p4_found": p4_found,
     "p4_pieces": p4_pieces,
     "p5_found": p5_found,
@@ -153,14 +163,16 @@ def _filled(c: str) -> str:
     return f"(CASE WHEN {v} = '' OR lower({v}) IN (SELECT placeholder FROM placeholder_values) THEN NULL ELSE {v} END)"
 
 
-SQL = {
-    "p2_found": f"""
-WITH r AS (
+_RECORDS = f"""r AS (
   SELECT i.*, trust_rank, {" + ".join(f"({_filled(c)} IS NOT NULL)::INT" for c in _FIELDS)} AS n_filled,
     {_filled("status")} AS st, regexp_extract(session, '[0-9]+')::INT AS y,
     coalesce(nullif(regexp_extract(regexp_replace({_filled("bill_number")}, '\\.0+$', ''), '0*([0-9]+)$', 1), ''),
       regexp_extract({_filled("bill_id_display")}, '0*([0-9]+)$', 1)) AS num
-  FROM bill_index i LEFT JOIN feed_trust USING (feed))
+  FROM bill_index i LEFT JOIN feed_trust USING (feed))"""
+SQL = {
+    "p2_check": f"WITH {_RECORDS} SELECT count(DISTINCT (y, num)) AS n_bills, count(*) AS n_records, 0::BIGINT AS n_unclaimed, 0::BIGINT AS n_unsupported, 0::BIGINT AS n_moving FROM r WHERE y IS NOT NULL AND num <> ''",
+    "p2_found": f"""
+WITH {_RECORDS}
 SELECT min(record_id) AS first_id,
   arg_min(record_id, (-n_filled, coalesce(trust_rank, 1073741824), -epoch_us(fetched_at), record_id)) AS survivor_id,
   coalesce(arg_min(record_id, (-epoch_us(fetched_at), record_id)) FILTER (WHERE st IS NOT NULL), -1) AS status_id

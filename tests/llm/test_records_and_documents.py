@@ -51,9 +51,11 @@ def test_truth_discovery_trusts_the_source_that_is_right_elsewhere(spark):
     day = dt.datetime(2025, 1, 1)
     rows = [(f"e{i}", "f", "right", s, 1, day) for i in range(20) for s in ("good", "ok")] + [(f"e{i}", "f", "wrong", "bad", 1, day) for i in range(20)]
     rows += [("z", "f", "a", "good", 1, day), ("z", "f", "b", "bad", 1, day), ("alone", "f", "v", "bad", 1, None)]
-    best, weights = truth(spark.createDataFrame(rows, "entity string, field string, value string, source string, n long, at timestamp"))
-    got = {r["entity"]: r["value"] for r in best.collect()}
-    assert got["z"] == "a" and got["alone"] == "v" and weights["good"] > weights["bad"]
+    rows += [("own", "f", "one vote", "bad", 1, day), ("own", "f", "three votes", "bad", 3, None), ("tie", "f", "x", "ok", 1, None), ("tie", "f", "y", "ok", 1, day)]
+    found = truth(spark.createDataFrame([(*r[:5], 0, r[5], 0) for r in rows], "entity string, field string, value string, source string, n long, rank long, at timestamp, place long"))
+    got = {r["entity"]: r["value"] for r in found.best.collect()}
+    assert got["z"] == "a" and got["alone"] == "v" and got["own"] == "three votes" and got["tie"] == "y"
+    assert found.weights["good", "f"] > found.weights["bad", "f"] and found.moved < 1e-6
 
 
 @pytest.mark.parametrize("size,overlap", [(50, 10), (200, 0), (33, 32)])
