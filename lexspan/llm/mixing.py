@@ -5,8 +5,11 @@ the Poisson distribution with the source's rate at that number, capped at the so
 ``max_repeats``; so counts need no state, are the same wherever they are computed, and grow with the
 rate. The rate of a source is its target repetition, the share of the total size divided by what the
 source has; where the cap or the chance of few documents moves the realised size off the target, the
-rate is corrected: as realised sizes never fall when a rate rises, it is found by narrowing an
-interval, ``GRID`` rates of every source in one aggregation a round.
+rate is corrected. The realised size at any rate follows from how much of the source stands above each
+step of the distribution. So one aggregation gives the driver the size by source and bin of the uniform
+number, which is enough for the rate to one part in ``BINS``; a second one splits only the bins that a
+step falls into, once more by ``BINS``, and the rate is found again on both by bisection, as realised
+sizes never fall when a rate rises. The driver holds at most ``BINS`` numbers a source, and as many a step.
 
 The total is the greatest at which no source needs more than ``use`` of what its cap allows, so the
 scarcest source sets it. Documents are exploded by their count and shuffled globally, by sorting on
@@ -15,12 +18,15 @@ a hash of id, copy and seed.
 Texts sent again under another id are one document: the smallest id is used, so no text exceeds the
 cap. Sources are matched in lower case with spaces and hyphens as underscores. Documents of other or
 null sources, null or empty texts (size 0) and sources with a share of 0 are not chosen. A target
-source without documents gets the share 0 and the rest keep their proportions.
+source without documents gets the share 0 and the rest keep their proportions. ``target_met`` says for
+each source whether its reached share is within ``TOLERANCE`` of its target; few and large documents
+can make that impossible.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -28,7 +34,8 @@ from pyspark.sql import functions as F
 
 from lexspan.runtime import materialize, small
 
-GRID, ROUNDS = 48, 4
+#: Bins of the uniform number; sources at most; the greatest difference of shares that counts as met.
+BINS, MAX_SOURCES, TOLERANCE = 1024, 1000, 0.005
 
 
 def plain_source(c: Column | str) -> Column:
@@ -51,19 +58,6 @@ def poisson_steps(rate: float, cap: int) -> list[float]:
     return out
 
 
-def expected(rate: float, cap: int) -> float:
-    """The mean of a Poisson number capped at cap."""
-    return sum(1 - s for s in poisson_steps(rate, cap))
-
-
-def rate_for(mean: float, cap: int) -> float:
-    lo, hi = 0.0, 700.0
-    for _ in range(200):
-        mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if expected(mid, cap) < mean else (lo, mid)
-    return hi
-
-
 def counts_of(rates: dict[str, tuple[float, int]]) -> Column:
     """The capped Poisson count of a row by its columns source and u; rates: source -> (rate, cap)."""
     table = F.create_map(*[x for s, (rate, cap) in rates.items() for x in (F.lit(s), F.array(*[F.lit(v) for v in poisson_steps(rate, cap)]))])
@@ -77,7 +71,7 @@ def choose(documents: DataFrame, doc: str, text: str, source: str, size: Column,
     target source with its target and reached share, sizes, documents and greatest count.
     targets: (source, target_share, max_repeats), a small table; a repeated source counts once.
     """
-    goal = {r[0]: (float(r[1]), int(r[2])) for r in small(targets.select(plain_source("source"), "target_share", "max_repeats").dropna(), 10_000) if r[1] > 0 and r[2] > 0}
+    goal = {r[0]: (float(r[1]), int(r[2])) for r in small(targets.select(plain_source("source"), "target_share", "max_repeats").dropna(), MAX_SOURCES) if r[1] > 0 and r[2] > 0}
     wanted = documents.select(F.col(doc).alias("doc"), plain_source(source).alias("source"), F.col(text).alias("text")).where(F.col("source").isin(list(goal)) & (F.length("text") > 0))
     first = wanted.groupBy(F.xxhash64("text").alias("h"), F.md5("text").alias("m")).agg(F.min(F.struct("doc", "source")).alias("d"))
     kept = first.select("d.doc", "d.source")
@@ -93,32 +87,49 @@ def choose(documents: DataFrame, doc: str, text: str, source: str, size: Column,
     share = {s: g[0] / all_shares for s, g in goal.items()}
     total = min(use * have[s] * goal[s][1] / share[s] for s in goal)
     want = {s: share[s] * total for s in goal}
-    rates = {s: (rate_for(want[s] / have[s], goal[s][1]), goal[s][1]) for s in goal}
-    spans = {s: (r * 0.5, r * 2.0 + 0.01) for s, (r, _) in rates.items()}
-    for _ in range(ROUNDS):
-        grids = {s: np.linspace(a, b, GRID).tolist() for s, (a, b) in spans.items()}
-        reached = {r["source"]: r["got"] for r in _realised(docs, grids, {s: g[1] for s, g in goal.items()}).collect()}
-        for s, grid in grids.items():
-            off = [abs(g - want[s]) for g in reached[s]]
-            best = int(np.argmin(off))
-            rates[s] = (grid[best], goal[s][1])
-            over = next((i for i, g in enumerate(reached[s]) if g >= want[s]), GRID - 1)
-            spans[s] = (grid[max(0, over - 1)], grid[over] + (grid[1] - grid[0]) * (over == GRID - 1))
+    rates = {s: (_calibrated(coarse, want[s], goal[s][1]), goal[s][1]) for s, coarse in _histograms(docs, {}).items() if s in goal}
+    # With their neighbours, as the second calibration may move a step a little.
+    edges = {s: sorted({b for x in poisson_steps(*rate) for b in range(int(x * BINS) - 1, int(x * BINS) + 2) if 0 <= b < BINS}) for s, rate in rates.items()}
+    fine = _histograms(docs, edges)
+    rates = {s: (_calibrated(fine[s], want[s], cap), cap) for s, (_, cap) in rates.items()}
     chosen = docs.withColumn("n_used", counts_of(rates)).where("n_used > 0").select("doc", "source", "size", "n_used")
     return chosen, _shares(chosen, targets)
 
 
-def _realised(docs: DataFrame, grids: dict[str, list[float]], caps: dict[str, int]) -> DataFrame:
-    """(source, got): the realised size at each rate of the source's grid, in one aggregation.
+def _histograms(docs: DataFrame, split: dict[str, list[int]]) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """Of each source the upper ends of its bins of u, ascending, and the size in each; bins in split are split once more."""
+    at = F.floor(F.col("u") * BINS)
+    sub = F.lit(0).cast("long")
+    if split:
+        inside = F.create_map(*[x for s, bins in split.items() for x in (F.lit(s), F.array(*[F.lit(b).cast("long") for b in bins]))])[F.col("source")]
+        sub = F.when(F.array_contains(inside, at), F.floor((F.col("u") * BINS - at) * BINS) + 1).otherwise(0)
+    rows = docs.groupBy("source", at.alias("at"), sub.alias("sub")).agg(F.sum("size").alias("size")).collect()  # at most BINS a source, and BINS a split bin
+    out: dict[str, list[tuple[float, int]]] = {}
+    for r in rows:
+        out.setdefault(r["source"], []).append(((r["at"] + (r["sub"] / BINS if r["sub"] else 1)) / BINS, int(r["size"])))
+    return {s: tuple(np.array(c) for c in zip(*sorted(v))) for s, v in out.items()}
 
-    A document's count at the i-th rate is the number of steps of that rate below its u.
-    """
-    steps = F.create_map(
-        *[x for s, grid in grids.items() for x in (F.lit(s), F.array(*[F.array(*[F.lit(v) for v in poisson_steps(r, caps[s])]) for r in grid]))]
-    )
-    row = docs.withColumn("steps", steps[F.col("source")])
-    cols = [F.sum(F.col("size") * F.size(F.filter(F.col("steps")[i], lambda st: st < F.col("u")))).alias(f"g{i}") for i in range(GRID)]
-    return row.groupBy("source").agg(*cols).select("source", F.array(*[f"g{i}" for i in range(GRID)]).alias("got"))
+
+def _calibrated(histogram: tuple[np.ndarray, np.ndarray], want: float, cap: int) -> float:
+    """The rate at which the capped counts of the histogram's documents sum up to about want."""
+    ends, sizes = histogram
+    above = np.concatenate([np.cumsum(sizes[::-1])[::-1], [0]])
+
+    def realised(rate: float) -> float:
+        return float(sum(above[np.searchsorted(ends, step, side="right")] for step in poisson_steps(rate, cap)))
+
+    def least(test: Callable[[float], bool]) -> float:
+        lo, hi = 0.0, 700.0
+        for _ in range(60):
+            mid = (lo + hi) / 2
+            lo, hi = (lo, mid) if test(realised(mid)) else (mid, hi)
+        return hi
+
+    enough = least(lambda got: got >= want)
+    over, under = realised(enough), realised(enough * (1 - 1e-9))
+    best = over if over - want <= want - under else under
+    # The middle of all rates that give it, as a document's number is only known to the width of its bin.
+    return (least(lambda got: got >= best) + least(lambda got: got > best)) / 2
 
 
 def _shares(chosen: DataFrame, targets: DataFrame) -> DataFrame:
@@ -138,6 +149,7 @@ def _shares(chosen: DataFrame, targets: DataFrame) -> DataFrame:
             F.coalesce("n_documents", F.lit(0)).alias("n_documents"),
             F.coalesce("most_used", F.lit(0)).alias("most_used"),
             "max_repeats",
+            (F.abs(F.coalesce(F.col("used_size") / F.col("whole"), F.lit(0.0)) - F.col("target_share")) <= TOLERANCE).alias("target_met"),
         )
     )
 

@@ -1,6 +1,7 @@
 import datetime as dt
 import random
 
+import numpy as np
 import numpy as np
 import pytest
 
@@ -147,6 +148,7 @@ def test_mixture_reaches_its_shares(spark):
     assert len({r["doc"] for r in rows}) == len(rows) and not {0, 3001} <= {r["doc"] for r in rows}
     got = {r["source"]: r["reached_share"] for r in shares.collect()}
     assert all(abs(got[s] - w) < 0.01 for s, w in (("big_source", 0.6), ("small", 0.2), ("tiny", 0.2))) and got["absent"] == 0
+    assert {r["source"]: r["target_met"] for r in shares.collect()}["absent"]
     order = [(r["doc"], r["copy_no"]) for r in mixing.mixture(chosen).collect()]
     assert len(order) == sum(r["n_used"] for r in rows) and order != sorted(order)
 
@@ -160,8 +162,11 @@ def test_mixture_of_nothing(spark):
 
 
 def test_poisson_counts_have_their_mean():
-    assert abs(mixing.expected(mixing.rate_for(0.8, 1), 1) - 0.8) < 1e-9
-    assert abs(mixing.expected(mixing.rate_for(2.5, 4), 4) - 2.5) < 1e-9
+    even = (np.arange(1, 10001) / 10000, np.ones(10000, int))
+    for mean, cap in ((0.8, 1), (2.5, 4), (0.05, 3)):
+        rate = mixing._calibrated(even, mean * 10000, cap)
+        assert abs(sum(1 - s for s in mixing.poisson_steps(rate, cap)) - mean) < 0.001
+    assert mixing._calibrated(even, 0, 2) < 0.001
 
 
 @pytest.fixture(scope="module")
