@@ -58,21 +58,18 @@ def truth(claims: DataFrame, tolerance: float = 1e-6, max_rounds: int = 30) -> T
     claims: (entity, field, value, source, n, rank, at, place), one row per distinct combination of the first four; n
     are its votes. Ties go to the smaller rank, the later at, the smaller place, the smaller value.
     """
-    claims = materialize(claims, "claims")
-    span = claims.groupBy("entity", "field").agg(F.min("value").alias("low"), F.max("value").alias("high"), F.min("source").alias("one"), F.max("source").alias("other"))
-    keys = materialize(span.select("entity", "field", "low", F.when(F.col("low") == F.col("high"), "agreed").when(F.col("one") == F.col("other"), "alone").otherwise("open").alias("state")), "keys")
-    agreed = keys.where("state = 'agreed'").select("entity", "field", F.col("low").alias("value"), F.lit(1.0).alias("support"))
-    of = lambda state: claims.join(keys.where(F.col("state") == state).select("entity", "field"), ["entity", "field"], "left_semi")
-    alone = materialize(_winners(of("alone"), {}), "alone")
-    disputed = materialize(of("open"), "disputed")
+    base = _winners(claims, {}, F.when(F.col("low") == F.col("high"), "agreed").when(F.col("one") == F.col("other"), "alone").otherwise("open").alias("state"))
+    base = materialize(base.withColumn("support", F.when(F.col("state") == "agreed", 1.0).otherwise(F.col("support"))), "base")
+    tagged = materialize(claims.join(base.select("entity", "field", F.col("value").alias("won"), "state"), ["entity", "field"]), "tagged")
+    settled, disputed = base.where("state <> 'open'").drop("state"), tagged.where("state = 'open'").drop("won", "state")
     # What doesn't change from round to round: the claims of agreed and lone fields that were right.
-    fixed = _rates(claims.join(keys.where("state <> 'open'").select("entity", "field"), ["entity", "field"], "left_semi"), agreed.union(alone))
-    rated = {(r[0], r[1]) for r in small(claims.select("source", "field").distinct(), MAX_WEIGHTS)}
+    fixed = _rates(tagged.where("state <> 'open'"))
+    rated = set(fixed) | {(r[0], r[1]) for r in small(disputed.select("source", "field").distinct(), MAX_WEIGHTS)}
     weights = {k: 1.0 for k in rated}
     best, moved = _winners(disputed, weights), 0.0
     for _ in range(max_rounds if not disputed.isEmpty() else 0):
         raw = {}
-        now = _rates(disputed, best)
+        now = _rates(disputed.join(best.select("entity", "field", F.col("value").alias("won")), ["entity", "field"]))
         for k in rated:
             n, ok = (a + b for a, b in zip(fixed.get(k, (0.0, 0.0)), now.get(k, (0.0, 0.0))))
             # Half a lost vote is added, so that a source that never lost keeps a finite weight.
@@ -83,27 +80,30 @@ def truth(claims: DataFrame, tolerance: float = 1e-6, max_rounds: int = 30) -> T
         best = _winners(disputed, weights)
         if moved < tolerance:
             break
-    return Truth(agreed.unionByName(alone).unionByName(best), weights, moved)
+    return Truth(settled.unionByName(best), weights, moved)
 
 
-def _rates(claims: DataFrame, best: DataFrame) -> dict[tuple[str, str], tuple[float, float]]:
-    """(votes, votes for the winner) of each source and field."""
-    won = claims.join(best.select("entity", "field", F.col("value").alias("won")), ["entity", "field"])
-    sums = won.groupBy("source", "field").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("value") == F.col("won"), F.col("n")).otherwise(0)).alias("ok"))
+def _rates(claims: DataFrame) -> dict[tuple[str, str], tuple[float, float]]:
+    """(votes, votes for the winner, the column won) of each source and field."""
+    sums = claims.groupBy("source", "field").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("value") == F.col("won"), F.col("n")).otherwise(0)).alias("ok"))
     return {(r["source"], r["field"]): (float(r["n"]), float(r["ok"])) for r in small(sums, MAX_WEIGHTS)}
 
 
-def _winners(claims: DataFrame, weights: dict[tuple[str, str], float]) -> DataFrame:
-    """The value with the greatest sum of weighted votes of each entity and field; a weight that isn't given is 1."""
+def _winners(claims: DataFrame, weights: dict[tuple[str, str], float], *more: Column) -> DataFrame:
+    """The value with the greatest sum of weighted votes of each entity and field; with no weights each is 1.
+
+    more: further columns of the least and greatest value (low, high) and source (one, other).
+    """
     weight = F.lit(1.0)
     if weights:
         table = claims.sparkSession.createDataFrame([(s, f, w) for (s, f), w in sorted(weights.items())], "source string, field string, weight double")
         claims, weight = claims.join(F.broadcast(table), ["source", "field"]), F.col("weight")  # at most MAX_WEIGHTS rows
     late = -F.coalesce(F.unix_micros(F.col("at").cast("timestamp")), F.lit(-(1 << 62)))
-    votes = claims.groupBy("entity", "field", "value").agg(F.round(F.sum(F.col("n") * weight), 9).alias("score"), F.min(F.struct(F.col("rank"), late.alias("late"), F.col("place"))).alias("tie"))
+    votes = claims.groupBy("entity", "field", "value").agg(F.round(F.sum(F.col("n") * weight), 9).alias("score"), F.min(F.struct(F.col("rank"), late.alias("late"), F.col("place"))).alias("tie"), F.min("source").alias("one"), F.max("source").alias("other"))
     first = F.struct(-F.col("score"), F.col("tie"), F.col("value"), F.col("score"))
-    top = votes.groupBy("entity", "field").agg(F.min(first).alias("w"), F.sum("score").alias("all"))
-    return top.select("entity", "field", "w.value", F.when(F.col("all") > 0, F.col("w.score") / F.col("all")).otherwise(F.lit(0.0)).alias("support"))
+    span = (F.min("value").alias("low"), F.max("value").alias("high"), F.min("one").alias("one"), F.max("other").alias("other")) if more else ()
+    top = votes.groupBy("entity", "field").agg(F.min(first).alias("w"), F.sum("score").alias("all"), *span)
+    return top.select("entity", "field", "w.value", F.when(F.col("all") > 0, F.col("w.score") / F.col("all")).otherwise(F.lit(0.0)).alias("support"), *more)
 
 
 def bill_records(index: DataFrame, placeholders: DataFrame, trust: DataFrame) -> DataFrame:
