@@ -36,6 +36,8 @@ from lexspan.core.snapshots import SPACE
 from lexspan.runtime import arrow_type, small, spread
 
 PER_LANGUAGE, SAMPLE_CHARS, DICTIONARY = 60, 20_000, 48 * 1024
+#: Spellings of labels that there may be.
+MAX_FORMS = 100_000
 SWITCH, NARROW, LONG_UNIT, CACHE, FOREIGN = 8.0, 0.04, 240, 20_000, 60
 #: Where a text may change its language.
 BREAK = re.compile(r"[.!?]+[\"”’»)]*\s+|[。！？]+[”」』）]*\s*|\s*[\r\n]+\s*|\s+[/|–—]+\s+|\s*[()（）]\s*|\s+-{2,}\s+")
@@ -232,10 +234,10 @@ def present(labelled: DataFrame, run_min: int) -> DataFrame:
 
 def wrong_labels(labelled: DataFrame, aliases: DataFrame, run_min: int) -> DataFrame:
     """(doc_id, found_lang): documents whose label is unknown, stands for no language present, or that hold several."""
-    forms = {r[0]: r[1] for r in small(resolved(aliases), 100_000)}
-    table = F.create_map(*[F.lit(x) for pair in (forms or {"": ""}).items() for x in pair])
+    forms = small(resolved(aliases), MAX_FORMS)
+    table = aliases.sparkSession.createDataFrame([(r[0], r[1]) for r in forms], "_form string, known string")
     trimmed = F.lower(F.regexp_replace("lang", f"^{SPACE}+|{SPACE}+$", ""))
-    rows = present(labelled, run_min).withColumn("known", table[trimmed])
+    rows = present(labelled.select("doc_id", trimmed.alias("_form"), "segments"), run_min).join(F.broadcast(table), "_form", "left")  # at most MAX_FORMS rows
     case = (F.size("found") > 1) | F.col("known").isNull() | ~F.array_contains("found", F.col("known"))
     return rows.where((F.size("found") > 0) & case).select("doc_id", F.explode("found").alias("found_lang"))
 

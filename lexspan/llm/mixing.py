@@ -19,8 +19,8 @@ Texts sent again under another id are one document: the smallest id is used, so
 cap. Sources are matched in lower case with spaces and hyphens as underscores. Documents of other or
 null sources, null or empty texts (size 0) and sources with a share of 0 are not chosen. A target
 source without documents gets the share 0 and the rest keep their proportions. ``target_met`` says for
-each source whether its reached share is within ``TOLERANCE`` of its target; few and large documents
-can make that impossible.
+each source whether its reached share is within ``TOLERANCE`` and one document of its target, as
+documents are used whole.
 """
 
 from __future__ import annotations
@@ -134,7 +134,7 @@ def _calibrated(histogram: tuple[np.ndarray, np.ndarray], want: float, cap: int)
 
 def _shares(chosen: DataFrame, targets: DataFrame) -> DataFrame:
     got = chosen.groupBy("source").agg(
-        F.sum(F.col("size") * F.col("n_used")).alias("used_size"), F.count("*").alias("n_documents"), F.max("n_used").alias("most_used")
+        F.sum(F.col("size") * F.col("n_used")).alias("used_size"), F.count("*").alias("n_documents"), F.max("n_used").alias("most_used"), F.max("size").alias("largest")
     )
     whole = got.agg(F.sum("used_size").alias("whole"))
     want = targets.groupBy(plain_source("source").alias("source")).agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
@@ -149,7 +149,7 @@ def _shares(chosen: DataFrame, targets: DataFrame) -> DataFrame:
             F.coalesce("n_documents", F.lit(0)).alias("n_documents"),
             F.coalesce("most_used", F.lit(0)).alias("most_used"),
             "max_repeats",
-            (F.abs(F.coalesce(F.col("used_size") / F.col("whole"), F.lit(0.0)) - F.col("target_share")) <= TOLERANCE).alias("target_met"),
+            (F.abs(F.coalesce(F.col("used_size") / F.col("whole"), F.lit(0.0)) - F.col("target_share")) <= TOLERANCE + F.coalesce(F.col("largest") / F.col("whole"), F.lit(0.0))).alias("target_met"),
         )
     )
 
