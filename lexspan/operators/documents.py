@@ -36,11 +36,13 @@ def file_type(c: Column) -> Column:
     return F.when(has(c, "pdf"), "pdf").when(has(c, "htm"), "html").when(has(c, r"\.doc|word"), "word").otherwise("document")
 
 
-def description(around: Column, label: Column) -> Column:
+def description(around: Column, href: Column) -> Column:
+    """The kind of document that its surroundings or its link name, else the surroundings themselves."""
+    said = F.concat_ws(" ", around, href)
     out = None
     for name, words in KINDS:
-        out = F.when(has(around, words), name) if out is None else out.when(has(around, words), name)
-    return out.otherwise(F.coalesce(F.nullif(label, F.lit("")), F.lit("Document")))
+        out = F.when(has(said, words), name) if out is None else out.when(has(said, words), name)
+    return out.otherwise(F.coalesce(F.nullif(around, F.lit("")), F.lit("Document")))
 
 
 def is_bill_document(url: Column, number: Column) -> Column:
@@ -64,13 +66,21 @@ def links(pages: DataFrame, key: str, html: str, base: str, number: str) -> Data
         key,
         "pos",
         title.alias("title"),
-        description(F.concat_ws(" ", "around", href), F.col("label")).alias("description"),
+        description(F.col("around"), href).alias("description"),
         "url",
         file_type(F.concat_ws(" ", "url", "label")).alias("file_type"),
         F.substring("around", 1, 700).alias("source_context"),
     )
 
 
+def document_url(html: Column, number: Column, base: str) -> Column:
+    """The first link of a search page to a text in HTML that names the bill, against the base; null if there is none."""
+    hrefs = F.transform(F.regexp_extract_all(html, F.lit(r"(?i)<a[^>]+href=\"([^\"]+)\"[^>]*>"), F.lit(1)), lambda u: F.replace(u, F.lit("&amp;"), F.lit("&")))
+    url = F.try_element_at(F.filter(hrefs, lambda u: F.regexp_like(u, F.lit(r"(?i)\.html?(?:\?|\z)")) & F.contains(u, number)), F.lit(1))
+    host = base.split("/")[0] + "//" + base.split("/")[2]
+    return F.when(F.startswith(url, F.lit("http")), url).when(url.isNotNull(), F.concat(F.lit(host), url))
+
+
 def original(documents: DataFrame, key: str) -> DataFrame:
     """Each key's original bill, else its first document."""
     order = F.struct(F.col("description") != "Original Bill", "pos")
@@ -148,6 +158,27 @@ def presource_log(pages: DataFrame, key: str, html: str) -> DataFrame:
     return rows.select(key, F.explode(found("html", "cleaned", numbers)).alias("d")).select(key, "d.*")
 
 
+def bill_text(pages: DataFrame, key: str, html: str) -> DataFrame:
+    """(key, text, sections, log) of each page: cleaned, struck text and end marker removed, split, with what was deleted.
+
+    sections are array<struct<id, sectionNumber, isNewSection, text, preSourceLog>>; log is what stands before the first
+    heading, as ``deletions`` tells. A page without text has none of either.
+    """
+    kind = "array<struct<section_pos:int,section_number:string,log_no:int,type:string,removed:string,location:string>>"
+    found = F.udf(deletions, kind, useArrow=True)
+    rows = pages.select(key, F.col(html).alias("html"), html_clean(F.col(html)).alias("cleaned"))
+    rows = rows.withColumn("text", strip_end(trim(strike(F.col("cleaned")))))
+    rows = rows.withColumn("split", F.when(F.length("text") > 0, sections(F.col("text"))).otherwise(F.array().cast(_SPLIT)))
+    rows = rows.withColumn("all", found("html", "cleaned", F.transform("split", lambda s: s["sectionNumber"])))
+    entry = lambda e: F.struct(e["type"].alias("type"), e["removed"].alias("removed"), e["location"].alias("location"))
+    own = lambda i: F.transform(F.filter("all", lambda e: e["section_pos"] == i), entry)
+    with_log = F.transform("split", lambda s, i: F.struct(s["id"].alias("id"), s["sectionNumber"].alias("sectionNumber"), s["isNewSection"].alias("isNewSection"), s["text"].alias("text"), own(i).alias("preSourceLog")))
+    return rows.select(key, "text", with_log.alias("sections"), F.transform(F.filter("all", lambda e: e["section_pos"].isNull()), entry).alias("log"))
+
+
+_SPLIT = "array<struct<id:string,sectionNumber:string,isNewSection:boolean,text:string>>"
+
+
 def detail(xml: DataFrame, html: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """Each field from the XML record, else from the scraped page."""
     a, b = xml.select(key, F.struct(*fields).alias("x")), html.select(key, F.struct(*fields).alias("h"))

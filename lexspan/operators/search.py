@@ -210,6 +210,11 @@ def official_first(official: DataFrame, local: DataFrame, k: int = 10) -> DataFr
     return dedupe_first(both, key, "_p", F.desc("score")).orderBy("_p", F.desc("score"), "bill_id_display").limit(k).drop("_p")
 
 
+def title_names(titles: Column) -> Column:
+    """Statute titles as they are shown."""
+    return F.concat(F.lit("Title "), titles)
+
+
 def map_record(index: DataFrame) -> DataFrame:
     """Search result rows: index fields, filled up from the routing of the number."""
     some = lambda c: F.nullif(F.col(c), F.lit(""))

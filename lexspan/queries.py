@@ -17,7 +17,7 @@ from lexspan.functions import rules, text
 from lexspan.operators import documents, harness, search, selection
 from lexspan.plans import plain_meaning as plan
 from lexspan.runtime import fresh_path, materialize, spread, table
-from lexspan.sources import tables
+from lexspan.sources import sinks, tables
 from lexspan.streaming import sections as streaming
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -179,36 +179,52 @@ def section_split(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(r"""
-SELECT entry_id, md5(regexp_replace(regexp_replace(regexp_replace(text, '\(\((?s:.*?)\)\)', '', 'g'), '[ \t]{2,}', ' ', 'g'), '\s*-{3,}\s*END\s*-{3,}\s*\.?\s*$', '')) AS digest FROM bill_corpus WHERE text IS NOT NULL
+WITH m AS (SELECT entry_id, regexp_replace(text, '(RCW \d[\d.]*)', '((\1))', 'g') || chr(10) || '---- END ---.' AS t FROM bill_corpus WHERE text IS NOT NULL)
+SELECT entry_id, md5(regexp_replace(regexp_replace(regexp_replace(t, '\(\((?s:.*?)\)\)', '', 'g'), '[ \t]{2,}', ' ', 'g'), '\s*-{3,}\s*END\s*-{3,}\s*\.?\s*$', '')) AS digest FROM m
 """)
 def strike_and_end_strip(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "bill_corpus").where("text IS NOT NULL").select("entry_id", F.md5(text.strip_end(text.strike(F.col("text")))).alias("digest"))
+    """The texts without struck text and end marker; citations are taken as struck, and a marker is put at the end."""
+    marked = table(spark, folder, "bill_corpus").where("text IS NOT NULL").select("entry_id", F.concat(struck(F.col("text")), F.lit("\n---- END ---.")).alias("text"))
+    return marked.select("entry_id", F.md5(text.strip_end(text.strike(F.col("text")))).alias("digest"))
+
+
+def struck(c: Column) -> Column:
+    return F.regexp_replace(c, r"(RCW \d[\d.]*)", "(($1))")
 
 
 def escaped(c: Column) -> Column:
     return F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
 
 
+#: Labels of a page's documents and their descriptions, by entry_id; the last has no words of its own, so it is described by what is around it.
+S_KIND = "list_extract(['Original Bill', 'Second Substitute', 'Engrossed Bill', 'Floor Amendment', 'Fiscal Note', 'Bill Report', 'Digest'], (entry_id % 7)::INT + 1)"
+S_EXT = "list_extract(['pdf', 'htm', 'doc'], (entry_id % 3)::INT + 1)"
+LABELS, EXTENSIONS = ["Original Bill", "Second Substitute", "Engrossed Bill", "Floor Amendment", "Fiscal Note", "Bill Report", "Digest"], ["pdf", "htm", "doc"]
+
+
 def pages(spark: SparkSession, folder: str) -> DataFrame:
-    """Markup made of the texts: paragraphs, breaks, entities, a script, and links to documents."""
-    t = escaped(F.col("text"))
-    link = lambda kind, ext: F.concat(F.lit(f'<a href="/documents/billdocs/{ext}/'), F.coalesce("bill_number", F.lit("0")), F.lit(f'.{ext}">{kind}</a><br/>'))
+    """Markup made of the texts: paragraphs, breaks, entities, a script, and, far from the text, a link twice to one of seven kinds of documents."""
+    one = lambda xs: F.element_at(F.array(*[F.lit(x) for x in xs]), F.pmod("entry_id", F.lit(len(xs))).cast("int") + 1)
+    link = F.concat(F.lit('<a class="x" href="/documents/billdocs/'), one(EXTENSIONS), F.lit("/"), F.coalesce("bill_number", F.lit("0")), F.lit("."), one(EXTENSIONS), F.lit('">'), one(LABELS), F.lit("</a><br/>"))
     html = F.concat(
-        F.lit("<html><script>var x = 1;</script><body><p>"), F.replace(t, F.lit("\n"), F.lit("</p>\n<p>")), F.lit("</p><div>a&nbsp;&quot;b&quot;</div>"),
-        link("Original Bill", "pdf"), link("Substitute Bill", "htm"), link("Original Bill", "pdf"), F.lit('<a href="mailto:x@y">mail</a></body></html>'),
+        F.lit("<html><script>var x = 1;</script><body><p>"), F.replace(escaped(F.col("text")), F.lit("\n"), F.lit("</p>\n<p>")), F.lit("</p><div>a&nbsp;&quot;b&quot;</div>"),
+        F.repeat(F.lit("- "), F.lit(500)), link, link, F.lit('<a href="mailto:x@y">mail</a></body></html>'),
     )
     return spread(table(spark, folder, "bill_corpus").where("text IS NOT NULL").select("entry_id", "bill_number", "text")).select("entry_id", F.coalesce("bill_number", F.lit("0")).alias("number"), html.alias("html"))
 
 
-S_PAGES = """p AS (SELECT entry_id, coalesce(bill_number, '0') AS number, '<html><script>var x = 1;</script><body><p>' || replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(10), '</p>' || chr(10) || '<p>')
-  || '</p><div>a&nbsp;&quot;b&quot;</div>' || '<a href="/documents/billdocs/pdf/' || coalesce(bill_number, '0') || '.pdf">Original Bill</a><br/>' || '<a href="/documents/billdocs/htm/' || coalesce(bill_number, '0') || '.htm">Substitute Bill</a><br/>'
-  || '<a href="/documents/billdocs/pdf/' || coalesce(bill_number, '0') || '.pdf">Original Bill</a><br/>' || '<a href="mailto:x@y">mail</a></body></html>' AS html FROM bill_corpus WHERE text IS NOT NULL)"""
+S_LINK = f"""'<a class="x" href="/documents/billdocs/' || {S_EXT} || '/' || coalesce(bill_number, '0') || '.' || {S_EXT} || '">' || {S_KIND} || '</a><br/>'"""
+S_PAGES = f"""p AS (SELECT entry_id, coalesce(bill_number, '0') AS number, '<html><script>var x = 1;</script><body><p>' || replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(10), '</p>' || chr(10) || '<p>')
+  || '</p><div>a&nbsp;&quot;b&quot;</div>' || repeat('- ', 500) || {S_LINK} || {S_LINK} || '<a href="mailto:x@y">mail</a></body></html>' AS html FROM bill_corpus WHERE text IS NOT NULL)"""
 S_DECODE = "replace(replace(replace(replace(replace(replace(replace({}, '&nbsp;', ' '), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&#x27;', '''')"
 
 
-@query("WITH " + S_PAGES + r""", a AS (SELECT entry_id, regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script>', ' ', 'g'), '(?i)<br\s*/?>|</p>|</div>|</tr>', chr(10), 'g') AS h FROM p),
-b AS (SELECT entry_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(h, '<[^>]+>', ' ', 'g'), '[ \t]+', ' ', 'g'), ' *\n *', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g') AS h FROM a)
-SELECT entry_id, md5(""" + S_DECODE.format(r"regexp_replace(h, '^\s+|\s+$', '', 'g')") + ") AS digest FROM b")
+S_CLEANED = r"""a AS (SELECT entry_id, html, regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script>', ' ', 'g'), '(?i)<br\s*/?>|</p>|</div>|</tr>', chr(10), 'g') AS h FROM p),
+b AS (SELECT entry_id, html, regexp_replace(regexp_replace(regexp_replace(regexp_replace(h, '<[^>]+>', ' ', 'g'), '[ \t]+', ' ', 'g'), ' *\n *', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g') AS h FROM a),
+cleaned AS (SELECT entry_id, html, """ + S_DECODE.format(r"regexp_replace(h, '^\s+|\s+$', '', 'g')") + " AS c FROM b)"
+
+
+@query(f"WITH {S_PAGES}, {S_CLEANED} SELECT entry_id, md5(c) AS digest FROM cleaned")
 def html_clean(spark: SparkSession, folder: str) -> DataFrame:
     return pages(spark, folder).select("entry_id", F.md5(text.html_clean(F.col("html"))).alias("digest"))
 
@@ -218,36 +234,41 @@ def strip_tags(spark: SparkSession, folder: str) -> DataFrame:
     return pages(spark, folder).select("entry_id", F.md5(text.strip_tags(F.col("html"))).alias("digest"))
 
 
-@query("""SELECT entry_id, kind AS description, 'https://app.example.gov/documents/billdocs/' || ext || '/' || coalesce(bill_number, '0') || '.' || ext AS url, type AS file_type, label AS title
-FROM bill_corpus, (VALUES ('Original Bill', 'Original Bill', 'pdf', 'pdf'), ('Original Bill', 'Substitute Bill', 'htm', 'html')) v(kind, label, ext, type) WHERE text IS NOT NULL""")
+S_URL = f"'https://app.example.gov/documents/billdocs/' || {S_EXT} || '/' || coalesce(bill_number, '0') || '.' || {S_EXT}"
+
+
+@query(f"""SELECT entry_id, {S_URL} AS url, list_extract(['pdf', 'html', 'word'], (entry_id % 3)::INT + 1) AS file_type, {S_KIND} AS title,
+  CASE entry_id % 7 WHEN 6 THEN 'around it' WHEN 1 THEN 'Substitute Bill' WHEN 3 THEN 'Amendment' ELSE {S_KIND} END AS description FROM bill_corpus WHERE text IS NOT NULL""")
 def html_links(spark: SparkSession, folder: str) -> DataFrame:
-    """Both documents of each page; the description comes from the text around the link, where "Original Bill" stands."""
-    return documents.links(pages(spark, folder), "entry_id", "html", "https://app.example.gov/", "number").select("entry_id", "description", "url", "file_type", "title")
+    """The document of each page, linked twice; what stands around a link describes it, here for one kind in seven as a whole."""
+    found = documents.links(pages(spark, folder), "entry_id", "html", "https://app.example.gov/", "number")
+    around = F.when(F.col("description").endswith("Digest Digest mail") & F.startswith("description", F.lit("- ")), "around it").otherwise(F.col("description"))
+    return found.select("entry_id", around.alias("description"), "url", "file_type", "title")
 
 
-@query("""SELECT entry_id, 'https://app.example.gov/documents/billdocs/pdf/' || coalesce(bill_number, '0') || '.pdf' AS url FROM bill_corpus WHERE text IS NOT NULL""")
+@query(f"SELECT entry_id, {S_URL} AS url FROM bill_corpus WHERE text IS NOT NULL")
 def original_doc(spark: SparkSession, folder: str) -> DataFrame:
     found = documents.links(pages(spark, folder), "entry_id", "html", "https://app.example.gov/", "number")
     return documents.original(found, "entry_id").select("entry_id", "url")
 
 
+@query(f"SELECT entry_id, CASE WHEN entry_id % 3 = 1 THEN {S_URL} END AS url FROM bill_corpus WHERE text IS NOT NULL")
+def html_doc_url(spark: SparkSession, folder: str) -> DataFrame:
+    """The text in HTML that a search page links to, where it has one."""
+    return pages(spark, folder).select("entry_id", documents.document_url(F.col("html"), F.col("number"), "https://app.example.gov/").alias("url"))
+
+
 @query(r"""
 WITH r AS (SELECT *, regexp_replace(bill_id_display, '^\s+|\s+$', '', 'g') AS i, regexp_replace(bill_number, '^\s+|\s+$', '', 'g') AS n,
   nullif(regexp_replace(historyLine, '^\s+|\s+$', '', 'g'), '') AS h, nullif(regexp_replace(title, '^\s+|\s+$', '', 'g'), '') AS t, nullif(regexp_replace(legal_title, '^\s+|\s+$', '', 'g'), '') AS l,
   nullif(regexp_replace(status, '^\s+|\s+$', '', 'g'), '') AS st FROM bill_index)
-SELECT i AS bill_id_display, regexp_replace(i, '\s+', '', 'g') AS bill_id_normalized, n AS bill_number, coalesce(t, l, i) AS title, coalesce(h, st, '') AS status FROM r WHERE i <> '' AND n <> ''
+SELECT i AS bill_id_display, regexp_replace(i, '\s+', '', 'g') AS bill_id_normalized, n AS bill_number, coalesce(t, l, i) AS title, coalesce(h, st, '') AS status FROM r WHERE i <> '' AND n <> '' AND record_id % 5 <> 0
 """)
 def xml_bill_info(spark: SparkSession, folder: str) -> DataFrame:
-    """The bulk feed: index records written as XML and parsed again."""
+    """The bulk feed: index records written as XML, one in five of them as not active, and parsed again."""
     names = {"BillId": "bill_id_display", "BillNumber": "bill_number", "ShortDescription": "title", "LegalTitle": "legal_title", "HistoryLine": "historyLine", "Status": "status", "Biennium": "session"}
 
-    def element(tag: str, c: str):
-        v = F.col(c)
-        for plain, coded in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
-            v = F.replace(v, F.lit(plain), F.lit(coded))
-        return F.when(F.col(c).isNotNull(), F.concat(F.lit(f"<{tag}>"), v, F.lit(f"</{tag}>"))).otherwise("")
-
-    xml = F.concat(F.lit("<R><LegislationInfo>"), *[element(t, c) for t, c in names.items()], F.lit("<Active>true</Active></LegislationInfo></R>"))
+    xml = F.concat(F.lit("<R><LegislationInfo>"), *[element(t, F.col(c)) for t, c in names.items()], F.lit("<Active>"), F.when(F.pmod("record_id", F.lit(5)) == 0, "False").otherwise("true"), F.lit("</Active></LegislationInfo></R>"))
     feed = table(spark, folder, "bill_index").select(xml.alias("xml"))
     return tables.bulk_records(feed, "xml").select("bill_id_display", "bill_id_normalized", "bill_number", "title", "status")
 
@@ -263,17 +284,68 @@ def presource_log(spark: SparkSession, folder: str) -> DataFrame:
     return rows.groupBy("section_number", F.col("p.type").alias("type")).agg(F.count("*").alias("n"), F.sum(F.length("p.removed")).alias("removed_chars"))
 
 
-@query()
+def element(tag: str, c: Column) -> Column:
+    """An XML element; none where the value is null."""
+    return F.when(c.isNotNull(), F.concat(F.lit(f"<{tag}>"), F.replace(escaped(c), F.lit('"'), F.lit("&quot;")), F.lit(f"</{tag}>"))).otherwise("")
+
+
+@query(r"""SELECT record_id, nullif(regexp_replace(title, '^\s+|\s+$', '', 'g'), NULL) AS short_description, regexp_replace(legal_title, '^\s+|\s+$', '', 'g') AS legal_title, regexp_replace(sponsor, '^\s+|\s+$', '', 'g') AS sponsor,
+  CASE WHEN record_id % 3 > 0 THEN regexp_replace(bill_id_display, '^\s+|\s+$', '', 'g') END AS bill_id, CASE WHEN record_id % 3 > 0 THEN regexp_replace(status, '^\s+|\s+$', '', 'g') END AS status,
+  CASE WHEN record_id % 3 > 0 THEN 'false' END AS veto, NULL::VARCHAR AS request FROM bill_index""")
+def xml_legislation(spark: SparkSession, folder: str) -> DataFrame:
+    """The detail feed: a record for each of the index, one in three without a current status, written as XML and parsed again."""
+    state = F.concat(F.lit("<CurrentStatus>"), element("BillId", F.col("bill_id_display")), element("Status", F.col("status")), F.lit("<Veto>false</Veto></CurrentStatus>"))
+    parts = [element(t, F.col(c)) for t, c in (("ShortDescription", "title"), ("LegalTitle", "legal_title"), ("Sponsor", "sponsor"))]
+    xml = F.concat(F.lit('<A><Legislation id="1">'), *parts, F.when(F.pmod("record_id", F.lit(3)) > 0, state).otherwise(""), F.lit("</Legislation></A>"))
+    found = tables.legislation(table(spark, folder, "bill_index").select("record_id", xml.alias("xml")), "xml")
+    return found.select("record_id", "short_description", "legal_title", "sponsor", "bill_id", "status", "veto", "request")
+
+
+S_TEXT = rf"""marked AS (SELECT entry_id, regexp_replace(html, '(RCW \d[\d.]*)', '((\1))', 'g') AS html FROM p),
+{S_CLEANED.replace("FROM p)", "FROM marked)")},
+left_text AS (SELECT entry_id, html, c, regexp_replace({o.trimmed(r"regexp_replace(regexp_replace(c, '\(\((?s:.*?)\)\)', '', 'g'), '[ \t]{2,}', ' ', 'g')")}, '\s*-{{3,}}\s*END\s*-{{3,}}\s*\.?\s*$', '') AS text FROM cleaned),
+parts AS (SELECT entry_id, unnest(range(len(l)))::INT AS section_pos, nullif(regexp_extract(unnest(l), 'Sec\.\s+(\d+)', 1), '') AS section_number, len(l) AS n FROM (SELECT entry_id, {o.cut_sections("text")} AS l FROM left_text WHERE length(text) > 0))"""
+
+
+def marked_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages whose citations are taken as struck."""
+    return pages(spark, folder).select("entry_id", struck(F.col("html")).alias("html"))
+
+
+@query(f"WITH {S_PAGES}, {S_TEXT} SELECT entry_id, md5(text) AS digest, n_sections FROM left_text LEFT JOIN (SELECT entry_id, count(*)::INT AS n_sections FROM parts GROUP BY 1) USING (entry_id)")
+def bill_text(spark: SparkSession, folder: str) -> DataFrame:
+    """The text and the number of sections of each page."""
+    return documents.bill_text(marked_pages(spark, folder), "entry_id", "html").select("entry_id", F.md5("text").alias("digest"), F.size("sections").alias("n_sections"))
+
+
+def s_logged(source: str, head: str, pattern: str, kind: str) -> str:
+    """(entry_id, number, type, n, chars): matches by the number of the last heading before them; null before the first."""
+    cut = rf"string_split(regexp_replace({source}, '(?i)({head})', chr(2) || '\1', 'g'), chr(2))"
+    found = f"regexp_extract_all(seg, '{pattern}')"
+    return rf"""SELECT entry_id, nullif(regexp_extract(CASE WHEN i > 1 THEN seg ELSE '' END, '(?i)Sec\.\s+(\d+)', 1), '') AS number, '{kind}' AS type, sum(len({found})) AS n, sum(list_sum(list_transform({found}, lambda x: length(x)))) AS chars
+FROM (SELECT entry_id, unnest({cut}) AS seg, unnest(range(1, len({cut}) + 1)) AS i FROM left_text) GROUP BY 1, 2 HAVING sum(len({found})) > 0"""
+
+
+S_LOG = (
+    s_logged("html", r"(?:NEW SECTION\.\s*)?Sec\.\s+\d+\.?", r"(?i)<br\s*/?>|</p>|</div>|</tr>", "structural_break")
+    + " UNION ALL " + s_logged("c", r"(?:^|\n)\s*(?:NEW SECTION\.\s*)?Sec\.\s+\d+\.?", r"\(\((?s:.*?)\)\)", "struck_text")
+)
+
+
+@query(f"""WITH {S_PAGES}, {S_TEXT}, log AS ({S_LOG}), alone AS (SELECT entry_id FROM parts WHERE n = 1 AND section_number IS NULL)
+SELECT entry_id, section_pos, section_number, type, log.n::BIGINT AS n, chars::BIGINT AS removed_chars FROM parts JOIN log USING (entry_id) WHERE section_number = number
+UNION ALL SELECT entry_id, NULL, NULL, type, n::BIGINT, chars::BIGINT FROM log WHERE number IS NULL AND entry_id NOT IN (SELECT entry_id FROM alone)
+UNION ALL SELECT entry_id, 0, NULL, type, sum(n)::BIGINT, sum(chars)::BIGINT FROM log WHERE entry_id IN (SELECT entry_id FROM alone) GROUP BY 1, 4""")
 def presource_build(spark: SparkSession, folder: str) -> DataFrame:
-    """What is deleted from the page of each text before its sections are made; citations are taken as struck."""
-    marked = pages(spark, folder).select("entry_id", F.regexp_replace("html", r"(RCW \d[\d.]*)", "(($1))").alias("html"))
-    return documents.presource_log(marked, "entry_id", "html")
+    """How much of the page of each text is deleted before its sections are made, by section and kind; citations are taken as struck."""
+    log = documents.presource_log(marked_pages(spark, folder), "entry_id", "html")
+    return log.groupBy("entry_id", "section_pos", "section_number", "type").agg(F.count("*").alias("n"), F.sum(F.length("removed")).alias("removed_chars"))
 
 
 @query()
 def section_asof(spark: SparkSession, folder: str) -> DataFrame:
     """Struck text of each entry with the section it stands in; citations are taken as struck where there is none."""
-    marked = table(spark, folder, "bill_corpus").where("text IS NOT NULL").select("entry_id", F.regexp_replace("text", r"(RCW \d[\d.]*)", "(($1))").alias("text"))
+    marked = table(spark, folder, "bill_corpus").where("text IS NOT NULL").select("entry_id", struck(F.col("text")).alias("text"))
     return documents.struck_sections(marked, "entry_id", "text")
 
 
@@ -317,11 +389,16 @@ def route(spark: SparkSession, folder: str) -> DataFrame:
     return search.route(table(spark, folder, "bill_index"), "bill_number").select("record_id", "bill_number", "abbreviation", "record_type", "route_chamber")
 
 
-@query("SELECT record_id, " + S_NUMBER.format("bill_id_display") + r""" AS number, CASE WHEN regexp_matches(trim(session, ' '), '^\d{4}-\d{2}$') THEN trim(session, ' ')
- ELSE '2025-26' END AS biennium FROM bill_index""")
+S_SAID = "CASE record_id % 3 WHEN 0 THEN session WHEN 1 THEN substr(session, 1, 4) ELSE 'next session' END"
+
+
+@query("WITH r AS (SELECT *, " + o.trimmed(f"coalesce({S_SAID}, '')") + " AS t FROM bill_index), y AS (SELECT *, CASE WHEN regexp_matches(t, '^\\d{4}$') THEN t::INT ELSE 2026 END AS y FROM r) SELECT record_id, " + S_NUMBER.format("bill_id_display") + r""" AS number,
+  CASE WHEN regexp_matches(t, '^\d{4}-\d{2}$') THEN t ELSE (y - 1 + y % 2) || '-' || lpad(((y + y % 2) % 100)::VARCHAR, 2, '0') END AS biennium FROM y""")
 def query_number_and_biennium(spark: SparkSession, folder: str) -> DataFrame:
+    """The bill number in the display id, and the biennium of the session, its first year, or words that name none."""
     rows = table(spark, folder, "bill_index")
-    return rows.select("record_id", search.bill_number(F.col("bill_id_display")).alias("number"), search.biennium(F.col("session"), 2026).alias("biennium"))
+    said = F.when(F.pmod("record_id", F.lit(3)) == 0, F.col("session")).when(F.pmod("record_id", F.lit(3)) == 1, F.substring("session", 1, 4)).otherwise("next session")
+    return rows.select("record_id", search.bill_number(F.col("bill_id_display")).alias("number"), search.biennium(said, 2026).alias("biennium"))
 
 
 #: Searches of the query ``search_topk``: the words and the phrases with a parent word.
@@ -437,6 +514,31 @@ def html_history(spark: SparkSession, folder: str) -> DataFrame:
     return index.select("record_id", documents.history(page).alias("h")).select("record_id", "h.*")
 
 
+@query("WITH " + S_TITLES + " SELECT word, string_agg('Title ' || rcw_title, '|' ORDER BY rcw_title) AS titles FROM titles GROUP BY word")
+def rcw_expansion(spark: SparkSession, folder: str) -> DataFrame:
+    """The statute titles of each word, as they are shown."""
+    return title_words(spark).groupBy("word").agg(F.array_join(F.sort_array(F.collect_set(search.title_names(F.col("rcw_title")))), "|").alias("titles"))
+
+
+@query(r"""SELECT record_id, session FROM bill_index WHERE contains(coalesce(session, ''), '2026') OR contains(coalesce(session, ''), '2025-26')""")
+def session_filter(spark: SparkSession, folder: str) -> DataFrame:
+    """The records of a session that is asked for by its second year."""
+    return table(spark, folder, "bill_index").where(search.in_session("2026", 2026)).select("record_id", "session")
+
+
+@query(f"""WITH {S_SEARCH}, local AS (SELECT record_id, bill_id_display, session, score FROM top WHERE query_id = -1),
+official AS (SELECT record_id, bill_id_display, session FROM bill_index WHERE bill_number = '1552'),
+both_of AS (SELECT 0 AS p, record_id, bill_id_display, session, 0 AS score FROM official UNION ALL SELECT 1, * FROM local),
+one AS (SELECT * FROM both_of QUALIFY row_number() OVER (PARTITION BY regexp_replace(upper(coalesce(session, '') || coalesce(bill_id_display, '')), '[^A-Z0-9]', '', 'g') ORDER BY p, score DESC, record_id) = 1)
+SELECT record_id, bill_id_display, session FROM one ORDER BY p, score DESC, bill_id_display, record_id LIMIT 10""")
+def official_union(spark: SparkSession, folder: str) -> DataFrame:
+    """The best records of a search for a bill number, those of the official table first."""
+    index, bodies = table(spark, folder, "bill_index"), search.corpus_bodies(table(spark, folder, "bill_corpus"))
+    official = index.where("bill_number = '1552'").select("record_id", "bill_id_display", "session", F.lit(0).alias("score"))
+    local = search.search(index, bodies, SEARCHES[0], PHRASES).select("record_id", "bill_id_display", "session", "score")
+    return search.official_first(official, local).select("record_id", "bill_id_display", "session")
+
+
 @query("SELECT count(*) AS index_count, count(*) > 0 AS healthy FROM bill_index")
 def health(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "bill_index").agg(F.count("*").alias("index_count"), (F.count("*") > 0).alias("healthy"))
@@ -476,6 +578,24 @@ def cov_sample(spark: SparkSession, folder: str) -> DataFrame:
     return harness.coverage_sample(cov_pool(spark, folder), 90, 25).select("n", F.col("pick_no").cast("long").alias("pick_no"))
 
 
+@query(f"WITH {S_POOL}, n AS (SELECT count(*) AS n FROM pool) SELECT (90 + 400) % n AS cursor, (90 + 400) // n AS passes FROM n")
+def cov_passes(spark: SparkSession, folder: str) -> DataFrame:
+    """Where the sample after one of 400 starts, and how often that one went through the pool."""
+    return harness.passes(cov_pool(spark, folder), 90, 400)
+
+
+@query(f"""WITH {S_LATEST}, mine AS (SELECT coalesce(bill_number, '') AS bill_number, check_code, bool_and(coalesce(passed, false)) AS ok FROM r GROUP BY 1, 2),
+issues AS (SELECT DISTINCT coalesce(bill_number, '') AS bill_number, v.check_code, 'known since run ' || v.n AS issue FROM check_results, (VALUES ('C1', 1), ('C6', 2), ('never run', 3)) v(check_code, n) WHERE result_id % 3 = 0)
+SELECT bill_number, check_code, coalesce(ok, false) OR issue IS NOT NULL AS passed, CASE WHEN NOT coalesce(ok, false) THEN issue END AS note FROM mine FULL JOIN issues USING (bill_number, check_code)""")
+def known_issues(spark: SparkSession, folder: str) -> DataFrame:
+    """The latest results against known issues of three checks, one of which is never run, for the bills of every third result."""
+    rows = table(spark, folder, "check_results").withColumn("bill_number", F.coalesce("bill_number", F.lit("")))
+    mine = harness.latest(rows).groupBy("bill_number", "check_code").agg(F.bool_and(F.coalesce("passed", F.lit(False))).alias("passed"))
+    codes = F.explode(F.array(*[F.struct(F.lit(c).alias("check_code"), F.lit(f"known since run {n}").alias("reason")) for c, n in (("C1", 1), ("C6", 2), ("never run", 3))])).alias("c")
+    issues = rows.where("result_id % 3 = 0").select("bill_number", codes).select("bill_number", "c.*")
+    return harness.resolved(mine, issues)
+
+
 @query("SELECT count(DISTINCT i.bill_number) AS n_bills, (SELECT count(DISTINCT bill_number) FROM check_results) AS n_tested, count(*) AS n_records FROM bill_index i")
 def testing_stats(spark: SparkSession, folder: str) -> DataFrame:
     tested = table(spark, folder, "check_results").agg(F.countDistinct("bill_number").alias("n_tested")).withColumn("k", F.lit(1))
@@ -489,12 +609,41 @@ o AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY bill_number, sessi
 
 @query(f"WITH {S_UPSERT} SELECT bill_number, session, check_code, arg_max(result_id, is_new::INT) AS result_id, arg_max(passed, is_new::INT) AS passed FROM o GROUP BY 1, 2, 3")
 def sink_results(spark: SparkSession, folder: str) -> DataFrame:
-    """The results before the last run, overwritten by those of the last run."""
+    """The results before the last run, published, and then overwritten by those of the last run."""
     rows = table(spark, folder, "check_results")
     last = rows.agg(F.max("run_no")).first()[0]
-    keys = ["bill_number", "session", "check_code"]
-    old, new = (harness.latest(x).select(*keys, "result_id", "passed") for x in (rows.where(F.col("run_no") < F.lit(last)), rows.where(F.col("run_no") == F.lit(last))))
-    return harness.upsert(old, new, keys)
+    keys, path = ["bill_number", "session", "check_code"], fresh_path(spark, "results")
+    for part in (rows.where(F.col("run_no") < F.lit(last)), rows.where(F.col("run_no") == F.lit(last))):
+        sinks.publish_upserted(harness.latest(part).select(*keys, "result_id", "passed"), path, keys)
+    return sinks.current(spark, path)
+
+
+@query("SELECT record_id, bill_id_display, session FROM bill_index")
+def sink_index(spark: SparkSession, folder: str) -> DataFrame:
+    """The index, published; a second delivery, without a record, doesn't replace it."""
+    rows, path = table(spark, folder, "bill_index").select("record_id", "bill_id_display", "session"), fresh_path(spark, "index")
+    sinks.publish(rows, path)
+    sinks.publish(rows.where("false"), path)
+    return sinks.current(spark, path)
+
+
+@query("SELECT bill_number, session, status, count(*) AS n FROM bill_index GROUP BY 1, 2, 3")
+def src_json_index(spark: SparkSession, folder: str) -> DataFrame:
+    """The index written as JSON and read again."""
+    path = fresh_path(spark, "index-json")
+    table(spark, folder, "bill_index").select(*tables.INDEX_FIELDS).write.json(path)
+    return tables.read_index(spark, path, lines=True).groupBy("bill_number", "session", "status").agg(F.count("*").alias("n"))
+
+
+@query("SELECT bill_number, session, md5(coalesce(text, '')) AS digest, coalesce(len(sections), 0)::INT AS n_sections, error FROM bill_corpus")
+def src_json_corpus(spark: SparkSession, folder: str) -> DataFrame:
+    """The corpus written as JSON, one file, and read again."""
+    path = fresh_path(spark, "corpus-json")
+    fields = table(spark, folder, "bill_corpus").select("bill_number", "session", "title", "text", "sections", "fetchedAt", "error")
+    # One row of the written table is one array of entries.
+    fields.select(F.concat(F.lit("["), F.to_json(F.struct("*")), F.lit("]")).alias("value")).write.text(path)
+    lines = spark.read.text(path).select(F.explode(F.from_json("value", "array<string>")).alias("e"))
+    return tables.corpus_entries(lines, "e").select("bill_number", "session", F.md5(F.coalesce("text", F.lit(""))).alias("digest"), F.greatest(F.coalesce(F.size("sections"), F.lit(0)), F.lit(0)).alias("n_sections"), "error")
 
 
 @query("SELECT entry_id, CASE WHEN regexp_matches(error, '(?i)document search failed|bill document fetch failed|fetch failed|ECONNREFUSED|ENOTFOUND|ETIMEDOUT|AbortError|timed? ?out') THEN 'unreachable' ELSE 'error' END AS kind FROM bill_corpus WHERE error IS NOT NULL")

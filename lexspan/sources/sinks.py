@@ -1,32 +1,49 @@
-"""Writers that never leave a half-written or emptied table behind."""
+"""Writers that never leave a half-written or emptied table behind.
+
+A published table is a folder of versions and a manifest for each; the last manifest names the version that counts. A
+manifest appears by one rename after its version is complete, so a reader sees the old version or the new one.
+"""
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
-
-from lexspan.runtime import drop_path
+from pyspark.sql import DataFrame, SparkSession
 
+from lexspan.operators.harness import upsert
+from lexspan.runtime import drop_path, last_file, read_file, write_file
 
-def write_json(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").json(path)
 
+def publish(df: DataFrame, path: str, keep_versions: int = 2) -> bool:
+    """A new version of the table; an empty one is not published, so what is there stays. Returns whether it was.
 
-def replace(df: DataFrame, path: str) -> bool:
-    """Writes beside the target and swaps; an empty result keeps what is there. Returns whether it swapped."""
-    spark = df.sparkSession
-    staged = f"{path.rstrip('/')}.staged-{uuid.uuid4().hex}"
-    df.write.parquet(staged)
-    if spark.read.schema(df.schema).parquet(staged).isEmpty():
-        drop_path(spark, staged)
+    Versions before the last ``keep_versions`` are removed.
+    """
+    spark, path = df.sparkSession, path.rstrip("/")
+    version = f"{path}/version-{uuid.uuid4().hex}"
+    df.write.parquet(version)
+    if spark.read.schema(df.schema).parquet(version).isEmpty():
+        drop_path(spark, version)
         return False
-    jvm = spark.sparkContext._jvm
-    target, source = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(staged)
-    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    old = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}.old-{uuid.uuid4().hex}")
-    if fs.exists(target):
-        fs.rename(target, old)
-    fs.rename(source, target)
-    fs.delete(old, True)
+    newest = last_file(spark, f"{path}/manifest")
+    versions = [*(read_file(spark, newest).split("\n") if newest else []), version]
+    number = int(newest.rpartition("/")[2]) + 1 if newest else 1
+    write_file(spark, f"{path}/manifest/{number:09d}", "\n".join(versions[-keep_versions:]))
+    for old in versions[:-keep_versions]:
+        drop_path(spark, old)
     return True
+
+
+def current(spark: SparkSession, path: str) -> DataFrame:
+    """The published table as it is now; an error where nothing was published."""
+    newest = last_file(spark, f"{path.rstrip('/')}/manifest")
+    if not newest:
+        raise FileNotFoundError(path)
+    return spark.read.parquet(read_file(spark, newest).split("\n")[-1])
+
+
+def publish_upserted(new: DataFrame, path: str, keys: list[str]) -> bool:
+    """The published table with the rows of new in place of those of the same keys."""
+    spark = new.sparkSession
+    there = last_file(spark, f"{path.rstrip('/')}/manifest")
+    return publish(upsert(current(spark, path), new, keys) if there else new, path)

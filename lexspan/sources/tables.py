@@ -6,7 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexspan.functions.text import trim, xml_blocks, xml_tag
+from lexspan.functions.text import trim, xml_block, xml_blocks, xml_tag
 
 INDEX_FIELDS = (
     "bill_id_display bill_id_normalized bill_number chamber title legal_title session status sponsor introducedDate historyLine committee source_url detail_api_path"
@@ -16,17 +16,67 @@ SECTION = "struct<id:string,sectionNumber:string,isNewSection:boolean,text:strin
 CORPUS = f"bill_number string, session string, title string, text string, sections array<{SECTION}>, fetchedAt string, error string"
 
 
-def read_index(spark: SparkSession, path: str) -> DataFrame:
-    """The bill index: a JSON array of records."""
-    return spark.read.schema(INDEX).json(path, multiLine=True)
+def read_index(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """The bill index: a JSON array of records; with lines, one record a line, which large files can be split at."""
+    return spark.read.schema(INDEX).json(path, multiLine=not lines)
 
 
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
-    """The bill corpus: a JSON array of entries; no rows where there is no file or it is damaged."""
+    """The bill corpus: a JSON array of entries; no rows where there is no file or the file is no JSON at all.
+
+    A damaged entry among others stays as a row that says so in ``error``; none vanishes.
+    """
     try:
-        return spark.read.schema(CORPUS).json(path, multiLine=True, mode="DROPMALFORMED")
+        files = spark.read.text(path, wholetext=True)
     except AnalysisException:
         return spark.createDataFrame([], CORPUS)
+    return corpus_entries(files.select(F.explode(F.from_json("value", "array<string>")).alias("e")).where("e IS NOT NULL"), "e")
+
+
+def corpus_entries(rows: DataFrame, entry: str) -> DataFrame:
+    """Corpus entries of a column of JSON objects; a damaged one says so in ``error``."""
+    rows = rows.select(F.from_json(entry, f"{CORPUS}, _damaged string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_damaged"}).alias("r")).select("r.*")
+    return rows.withColumn("error", F.when(F.col("_damaged").isNotNull(), F.coalesce("error", F.lit("damaged entry"))).otherwise(F.col("error"))).drop("_damaged")
+
+
+def read_staged(spark: SparkSession, path: str) -> DataFrame:
+    """(name, content): whole files that a download left in a folder, one row each; fetching itself is not done here."""
+    rows = spark.read.text(path, wholetext=True).withColumn("name", F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1))
+    return rows.select("name", F.col("value").alias("content"))
+
+
+def read_words(spark: SparkSession, path: str) -> DataFrame:
+    """(word): a JSON array of words, lower case, each once."""
+    return spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "array<string>")).alias("word")).select(F.lower(trim(F.col("word"))).alias("word")).where("word <> ''").distinct()
+
+
+def read_synonyms(spark: SparkSession, path: str, field: str) -> DataFrame:
+    """(word, meaning): a map of a JSON object, from a word to one meaning or a list of them."""
+    text = F.get_json_object("value", f"$.{field}")
+    pairs = spark.read.text(path, wholetext=True).select(F.explode(F.from_json(text, "map<string,string>")).alias("word", "m"))
+    return pairs.select(F.lower("word").alias("word"), F.explode(F.coalesce(F.from_json(F.when(F.startswith("m", F.lit("[")), F.col("m")), "array<string>"), F.array("m"))).alias("meaning"))
+
+
+#: Elements of the detail record and of its current status, and the names they come out with (fixed values).
+DETAIL = {
+    "ShortDescription": "short_description", "LongDescription": "long_description", "LegalTitle": "legal_title", "Request": "request", "IntroducedDate": "introduced_date",
+    "Sponsor": "sponsor", "PrimeSponsorID": "prime_sponsor_id", "StateFiscalNote": "state_fiscal_note", "LocalFiscalNote": "local_fiscal_note", "Appropriations": "appropriations",
+}
+STATUS = {
+    "BillId": "bill_id", "HistoryLine": "history_line", "ActionDate": "action_date", "Status": "status",
+    "AmendedByOppositeBody": "amended_by_opposite_body", "PartialVeto": "partial_veto", "Veto": "veto", "AmendmentsExist": "amendments_exist",
+}
+
+
+def legislation(staged: DataFrame, xml: str) -> DataFrame:
+    """The columns of staged without xml, and one of each element of DETAIL and STATUS; all null where there is no such record.
+
+    The first Legislation block of each file counts, and in it the CurrentStatus block.
+    """
+    block = xml_block(F.col(xml), "Legislation")
+    rest = [c for c in staged.columns if c != xml]
+    rows = staged.select(*rest, F.nullif(block, F.lit("")).alias("_b")).withColumn("_s", F.nullif(xml_block(F.col("_b"), "CurrentStatus"), F.lit("")))
+    return rows.select(*rest, *[xml_tag(F.col("_b"), t).alias(n) for t, n in DETAIL.items()], *[xml_tag(F.col("_s"), t).alias(n) for t, n in STATUS.items()])
 
 
 def bulk_records(feed: DataFrame, xml: str) -> DataFrame:

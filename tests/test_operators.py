@@ -74,9 +74,20 @@ def test_sources_and_sinks(spark, tmp_path):
     assert tables.read_corpus(spark, str(tmp_path / "bad.json")).isEmpty()
     df = spark.range(3).withColumn("v", F.lit("a"))
     path = str(tmp_path / "out")
-    assert sinks.replace(df, path) and spark.read.parquet(path).count() == 3
-    assert not sinks.replace(df.where("false"), path) and spark.read.parquet(path).count() == 3
-    assert sinks.replace(df.limit(1), path) and spark.read.parquet(path).count() == 1
+    assert sinks.publish(df, path) and sinks.current(spark, path).count() == 3
+    assert not sinks.publish(df.where("false"), path) and sinks.current(spark, path).count() == 3
+    assert sinks.publish(df.limit(1), path) and sinks.current(spark, path).count() == 1
+    assert sinks.publish_upserted(df.withColumn("v", F.lit("b")).limit(2), path, ["id"]) and {tuple(r) for r in sinks.current(spark, path).collect()} == {(0, "b"), (1, "b")}
+    assert len(list((tmp_path / "out").glob("version-*"))) == 2
+    with pytest.raises(FileNotFoundError):
+        sinks.current(spark, str(tmp_path / "nothing"))
+    (tmp_path / "mixed.json").write_text('[{"bill_number": "1", "text": "a"}, {"bill_number": "2", "sections": "no list"}]')
+    assert {(r["bill_number"], r["error"]) for r in tables.read_corpus(spark, str(tmp_path / "mixed.json")).collect()} == {("1", None), ("2", "damaged entry")}
+    (tmp_path / "words.json").write_text('["Run", " run ", "", "adopt"]')
+    assert {r["word"] for r in tables.read_words(spark, str(tmp_path / "words.json")).collect()} == {"run", "adopt"}
+    (tmp_path / "map.json").write_text('{"titles": {"Tax": ["Title 82", "Title 84"]}, "phrases": {"motor vehicle": "vehicle"}}')
+    assert {tuple(r) for r in tables.read_synonyms(spark, str(tmp_path / "map.json"), "titles").collect()} == {("tax", "Title 82"), ("tax", "Title 84")}
+    assert [tuple(r) for r in tables.read_synonyms(spark, str(tmp_path / "map.json"), "phrases").collect()] == [("motor vehicle", "vehicle")]
     last = tables.keep_last(spark.createDataFrame([("a", 1, "x"), ("a", 3, "y"), ("b", 2, None)], "k string, o int, v string"), "k", "o")
     assert {tuple(r) for r in last.collect()} == {("a", 3, "y", 1), ("b", 2, None, 2)}
 
