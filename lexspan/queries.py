@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexspan import cases
 from lexspan import oracle as o
 from lexspan.core.snapshots import bill_changes
 from lexspan.functions import rules, text
@@ -342,7 +343,11 @@ def presource_build(spark: SparkSession, folder: str) -> DataFrame:
     return log.groupBy("entry_id", "section_pos", "section_number", "type").agg(F.count("*").alias("n"), F.sum(F.length("removed")).alias("removed_chars"))
 
 
-@query()
+@query(r"""WITH m AS (SELECT entry_id, regexp_replace(text, '(RCW \d[\d.]*)', '((\1))', 'g') AS t FROM bill_corpus WHERE text IS NOT NULL),
+l AS (SELECT entry_id, t, regexp_extract_all(t, '\(\((?s:.*?)\)\)') AS found, string_split(regexp_replace(t, '\(\((?s:.*?)\)\)', chr(2), 'g'), chr(2)) AS parts FROM m),
+u AS (SELECT entry_id, t, found, parts, unnest(range(1, len(found) + 1)) AS i FROM l),
+p AS (SELECT entry_id, t, found[i] AS x, (list_sum(list_transform(parts[1:i], lambda y: length(y))) + coalesce(list_sum(list_transform(found[1:i - 1], lambda y: length(y))), 0))::INT AS pos FROM u)
+SELECT entry_id, pos, x[3:-3] AS removed, regexp_extract_all(left(t, pos), 'Sec\.\s+(\d+)\.', 1)[-1] AS section_number FROM p""")
 def section_asof(spark: SparkSession, folder: str) -> DataFrame:
     """Struck text of each entry with the section it stands in; citations are taken as struck where there is none."""
     marked = table(spark, folder, "bill_corpus").where("text IS NOT NULL").select("entry_id", struck(F.col("text")).alias("text"))
@@ -727,10 +732,39 @@ def chk_C6(spark: SparkSession, folder: str) -> DataFrame:  # noqa: N802
     return twice.unionByName(parts.select("entry_id", "section_pos", "pos", sign.alias("finding"), "paragraph").where("finding IS NOT NULL"))
 
 
-@query()
+S_MARKS = r"(?:\(\d{1,2}\)|\([a-z]\))+"
+S_PREAMBLE = rf"""{o.SECTIONS},
+t0 AS (SELECT entry_id, section_pos, regexp_replace(text, '(RCW \d[\d.]*)', '((\1))', 'g') AS t0 FROM s WHERE text IS NOT NULL),
+t1 AS (SELECT *, regexp_replace(t0, '\(\((?s:.*?)\)\)', '', 'g') AS t1 FROM t0),
+t2 AS (SELECT *, {o.squeezed("t1")} AS t2 FROM t1),
+t3 AS (SELECT *, regexp_replace(t2, '(?i)^.*?\b(?:is|are\s+each)\s+amended\s+to\s+read\s+as\s+follows\s*:\s*', '') AS t3 FROM t2),
+t4 AS (SELECT *, regexp_replace(t3, '(?i)^.*?\b(?:is|are\s+each)\s+added\s+to\s+(?:chapter|the\s+chapter|title)\b.*?\bto\s+read\s+as\s+follows\s*:\s*', '') AS t4 FROM t3),
+t5 AS (SELECT *, regexp_replace(t4, '(\.\s+){S_MARKS}\s*', '\1' || chr(1), 'g') AS t5 FROM t4),
+t6 AS (SELECT *, regexp_replace(t5, '^{S_MARKS}\s*', '') AS t6 FROM t5),
+t7 AS (SELECT *, {o.squeezed("t6", 2)} AS t7 FROM t6)"""
+_STEPS = {"root": "t0", "strike": "t1", "white_space": "t2", "amendment_header": "t3", "new_section_header": "t4", "middle_markers": "t5", "leading_markers": "t6", "white_space_runs": "t7"}
+
+
+def struck_sections(spark: SparkSession, folder: str, *fields: str) -> DataFrame:
+    """The analysed sections with citations taken as struck."""
+    rows = sections(spark, folder).where("text IS NOT NULL").select(*KEYS, "bill_number", struck(F.col("text")).alias("text"))
+    return plan.plain_meaning(rows, "text", F.col("bill_number").try_cast("int"), fields)
+
+
+@query(f"WITH {S_PREAMBLE} " + " UNION ALL ".join(f"SELECT entry_id, section_pos, '{n}' AS produced_by, md5({t}) AS digest FROM t7" for n, t in _STEPS.items())
+       + rf" UNION ALL SELECT entry_id, section_pos, 'marker_skipped', md5(t4) FROM t7 WHERE regexp_matches(t4, '[;:]\s+{S_MARKS}')")
 def preamble_steps(spark: SparkSession, folder: str) -> DataFrame:
-    """How often each step of the preamble and the parse changed or found something."""
-    return lineage(spark, folder).groupBy("produced_by", "rule").agg(F.count("*").alias("n"), F.count_if("matched").alias("n_matched"), F.count_if("locate_failed").alias("n_not_located"))
+    """The text of every section after each step of its preamble, from its lineage; citations are taken as struck."""
+    rows = plan.lineage(struck_sections(spark, folder, "lineage"), *KEYS).where(F.col("produced_by").isin(*_STEPS, "marker_skipped"))
+    return rows.select(*KEYS, "produced_by", F.md5("text").alias("digest"))
+
+
+@query(f"""WITH {S_PREAMBLE}, l AS (SELECT entry_id, section_pos, list_filter(list_transform({o.split("t7", -1, 'A-Z("' + chr(1))}, lambda x: {o.trimmed("replace(x, chr(1), '')")}), lambda x: length(x) > 15) AS l FROM t7)
+SELECT entry_id, section_pos, unnest(range(len(l)))::INT AS pos, unnest(l) AS sentence FROM l""")
+def preamble_sentences(spark: SparkSession, folder: str) -> DataFrame:
+    """The sentences of every section after its preamble, kept or not, from its lineage; citations are taken as struck."""
+    found = F.transform(F.filter("result.lineage", lambda r: r["produced_by"] == "sentence_split"), lambda r: r["text"])
+    return struck_sections(spark, folder, "lineage").select(*KEYS, F.posexplode(found).alias("pos", "sentence"))
 
 
 @query()
@@ -742,4 +776,7 @@ def stream_units(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema(found.schema).parquet(out)
 
 
+for _family, _sql in cases.FAMILIES.items():
+    query(_sql)(_family)
+
 FLAGSHIP = plain_meaning
