@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -119,30 +121,56 @@ def search(index: DataFrame, bodies: DataFrame, query: str, phrases: dict[str, s
 
 #: Lengths of the beginnings by which parts are looked up in longer strings.
 GRAMS = (16, 8, 4, 2, 1)
-#: Up to so many parts are sent to all executors, so that the stretches of the longer strings aren't shuffled; more are joined by a shuffle.
+#: Up to so many parts are sent to all executors as one automaton; more are joined by a shuffle.
 FEW_PARTS = 200_000
 
 
-def contained(parts: DataFrame, wholes: DataFrame) -> DataFrame:
+def contained(parts: DataFrame, wholes: DataFrame, few: int = FEW_PARTS) -> DataFrame:
     """(part, whole) of every part that stands anywhere in a whole; both distinct, of columns part and whole.
 
-    A join on the beginning of the part, of the greatest length in GRAMS that it has, and each stretch of such a length
-    in the whole; the rest is verified. So the work grows with the characters of both, not with their product.
+    Up to ``few`` parts are looked for at once in each whole, by an automaton of all of them. More are found by a join on
+    the beginning of the part, of the greatest length in GRAMS that it has, and each stretch of such a length in the
+    whole; the rest is verified. Either way the work grows with the characters of both, not with their product.
     """
+    parts = parts.where("part <> ''")
+    sent = [r[0] for r in parts.limit(few + 1).collect()]
+    if len(sent) <= few:
+        return wholes.select("whole").mapInArrow(_scan(sent), "part string, whole string")
     size = F.length("part")
     length = F.coalesce(*[F.when(size >= n, n) for n in GRAMS])
-    keyed = parts.where("part <> ''").withColumn("gram", F.substring(F.col("part"), F.lit(1), length))
+    keyed = parts.withColumn("gram", F.substring(F.col("part"), F.lit(1), length))
 
     def stretches(n: int) -> Column:
         starts = F.sequence(F.lit(1), F.greatest(F.length("whole") - n + 1, F.lit(1)))
         return F.when(F.length("whole") >= n, F.transform(starts, lambda i: F.substring(F.col("whole"), i, F.lit(n))))
 
     none = F.array().cast("array<string>")
-    keyed = F.broadcast(keyed) if keyed.limit(FEW_PARTS + 1).count() <= FEW_PARTS else keyed
     grams = wholes.select("whole", F.explode(F.array_distinct(F.flatten(F.array(*[F.coalesce(stretches(n), none) for n in GRAMS])))).alias("gram"))
     return grams.join(keyed, "gram").where(F.contains("whole", "part")).select("part", "whole")
 
 
+def _scan(parts: list[str]):
+    schema = pa.schema([("part", pa.string()), ("whole", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for i, part in enumerate(parts):
+            automaton.add_word(part, i)
+        if parts:
+            automaton.make_automaton()
+        for batch in batches:
+            out: tuple[list[str], list[str]] = ([], [])
+            for whole in batch.column(0).to_pylist() if parts else ():
+                found = {i for _, i in automaton.iter(whole)} if whole else ()
+                out[0].extend(parts[i] for i in found)
+                out[1].extend([whole] * len(found))
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.string())], schema=schema)
+
+    return run
+
+
 def search_many(
     index: DataFrame, bodies: DataFrame, queries: DataFrame, phrases: dict[str, str] | None = None, session: str = "", titles: DataFrame | None = None, k: int = 10, year: int = 2026
 ) -> DataFrame:
