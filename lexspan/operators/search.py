@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -172,13 +174,13 @@ def _scan(parts: list[str]):
 
 
 def search_many(
-    index: DataFrame, bodies: DataFrame, queries: DataFrame, phrases: dict[str, str] | None = None, session: str = "", titles: DataFrame | None = None, k: int = 10, year: int = 2026
+    index: DataFrame, bodies: DataFrame, queries: DataFrame, phrases: dict[str, str] | None = None, session: str = "", titles: DataFrame | None = None, k: int = 10, year: int = 2026, few: int = FEW_PARTS
 ) -> DataFrame:
     """The k best records of each of the queries: (query_id, query, record_id, bill_id_display, title, session, score).
 
     As ``search``, for any number of queries (query_id, query), by an inverted index: the words of fields and bodies that
     hold a term are found once for all queries, and each record's points are summed beside it, so only the k best of a
-    partition are shuffled. titles: (word, rcw_title), the statute titles that words stand for; with a column titled in
+    partition are shuffled. Up to ``few`` searched terms are sent to the records; more are joined with them. titles: (word, rcw_title), the statute titles that words stand for; with a column titled in
     queries, only for those where it is true.
     """
     split = lambda c: F.filter(F.split(c, WS + "+", -1), lambda w: w != "")
@@ -215,14 +217,63 @@ def search_many(
         hits = hits.union(index.select("record_id", F.lit("title"), F.explode(F.array_distinct("rcw_titles")), F.lit(0)))
 
     shown = index.select("record_id", "bill_id_display", "title", "session")
-    each = hits.groupBy("record_id").agg(F.collect_list(F.struct("kind", "key", "points")).alias("hits")).join(shown, "record_id")
-    rows = each.select("record_id", F.struct("bill_id_display", "title", "session").alias("r"), F.explode("hits").alias("h")).select("record_id", "r", "h.*")
-    points = rows.join(needs, ["kind", "key"]).groupBy("record_id", "query_id", "variant").agg(F.sum(F.col("points") * F.col("n")).alias("score"), F.first("r").alias("r"))
-    best = points.groupBy("record_id", "query_id").agg(F.max("score").alias("score"), F.first("r").alias("r"))
-    best = best.select("query_id", "record_id", "r.*", F.greatest("score", F.lit(1)).cast("int").alias("score"))  # 0 only where nothing but a statute title meets
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.coalesce("bill_id_display", F.lit("")), "record_id")
-    top = best.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k).drop("_n")
-    return top.join(asked.select("query_id", "query"), "query_id").select("query_id", "query", "record_id", "bill_id_display", "title", "session", "score")
+    name = F.coalesce("bill_id_display", F.lit(""))
+    each = hits.groupBy("record_id").agg(F.collect_list(F.struct("kind", "key", "points")).alias("hits")).join(shown.select("record_id", name.alias("name")), "record_id")
+    wanted = needs.select("query_id", "variant", "kind", "key", "n")
+    sent = [tuple(r) for r in wanted.limit(few + 1).collect()]
+    if len(sent) <= few:
+        # The searches go to the records: each task sums up the points of its records and keeps the k best of each search.
+        kind = dict(queries.dtypes)["query_id"]
+        best = each.sortWithinPartitions("name", "record_id").mapInArrow(_best(sent, k), f"query_id {kind}, record_id {dict(index.dtypes)['record_id']}, name string, score int")
+    else:
+        rows = each.select("record_id", "name", F.explode("hits").alias("h")).select("record_id", "name", "h.*")
+        points = rows.join(wanted, ["kind", "key"]).groupBy("record_id", "name", "query_id", "variant").agg(F.sum(F.col("points") * F.col("n")).alias("score"))
+        # 0 only where nothing but a statute title meets
+        best = points.groupBy("query_id", "record_id", "name").agg(F.greatest(F.max("score"), F.lit(1)).cast("int").alias("score"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "name", "record_id")
+    top = best.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k).drop("_n", "name")
+    return top.join(asked.select("query_id", "query"), "query_id").join(shown, "record_id").select("query_id", "query", "record_id", "bill_id_display", "title", "session", "score")
+
+
+def _best(needs: list[tuple], k: int):
+    """The k best records of a partition for each search; needs: (query_id, variant, kind, key, n). Records come by name and id, so the earlier of equal points stays."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        variants = sorted({(q, v) for q, v, *_ in needs})
+        place = {x: i for i, x in enumerate(variants)}
+        asked = sorted({q for q, _ in variants})
+        starts = np.searchsorted([q for q, _ in variants], asked)  # a search's variants stand together
+        lists: dict[tuple[str, str], list[tuple[int, int]]] = {}
+        for q, v, kind, key, n in needs:
+            lists.setdefault((kind, key), []).append((place[q, v], n))
+        index = {key: tuple(np.array(c, np.int64) for c in zip(*found)) for key, found in lists.items()}
+        least, heaps, seq, schema = np.zeros(len(asked), np.int64), [[] for _ in asked], 0, None
+        for batch in batches:
+            schema = batch.schema
+            for rec, hits, name in zip(*(batch.column(schema.get_field_index(c)).to_pylist() for c in ("record_id", "hits", "name"))):
+                met = [(index[h["kind"], h["key"]], h["points"]) for h in hits if (h["kind"], h["key"]) in index]
+                if not met:
+                    continue
+                seq += 1
+                at = np.concatenate([m[0][0] for m in met])
+                points = np.bincount(at, np.concatenate([m[0][1] * m[1] for m in met]), len(variants)).astype(np.int64)
+                some = np.bincount(at, minlength=len(variants)) > 0
+                score = np.maximum.reduceat(np.where(some, np.maximum(points, 1), 0), starts)  # 0 only where nothing but a statute title meets
+                for i in np.flatnonzero(score > least).tolist():
+                    heapq.heappush(heaps[i], (int(score[i]), -seq, rec, name))
+                    if len(heaps[i]) > k:
+                        heapq.heappop(heaps[i])
+                    if len(heaps[i]) == k:
+                        least[i] = heaps[i][0][0]
+        if schema is not None:
+            rows = [(q, rec, name, score) for q, heap in zip(asked, heaps) for score, _, rec, name in heap]
+            ids = pa.array([r[0] for r in rows], pa.int64()) if all(isinstance(q, int) for q in asked) else pa.array([r[0] for r in rows])
+            yield pa.RecordBatch.from_arrays(
+                [ids, pa.array([r[1] for r in rows], schema.field("record_id").type), pa.array([r[2] for r in rows], pa.string()), pa.array([r[3] for r in rows], pa.int32())],
+                names=["query_id", "record_id", "name", "score"],
+            )
+
+    return run
 
 
 def dedupe_first(rows: DataFrame, key: Column, *order: Column | str) -> DataFrame:

@@ -24,13 +24,14 @@ def test_every_fiftieth_record_is_searched(spark, tmp_path):
     assert len(best) == 10 and (best[0]["record_id"], best[0]["score"]) == (50, 185) and best[1]["score"] == 180
 
 
-def test_many_searches_equal_one_by_one(spark):
+@pytest.mark.parametrize("few", [search.FEW_PARTS, 0])
+def test_many_searches_equal_one_by_one(spark, few):
     rows = [(1, "HB 1000", None, "1000", "House", "Lantern safety", "2025-26", None, ["46"]), (2, "HB 1001", None, "1001", "House", "HB 1000 repeal", "2025-26", None, ["12"]), (3, None, None, None, None, None, None, None, ["46"])]
     index = spark.createDataFrame(rows, "record_id int, " + ", ".join(f"{c} string" for c in search.FIELDS) + ", rcw_titles array<string>")
     bodies = spark.createDataFrame([("1001", "a lantern of\nmotor vehicles")], "bill_number string, body string")
     asked, phrases = ["HB 1000", "lantern", "a a lan", "  ", "-", "vehicle motor", "motor"], {"motor": "safety"}
     titles = spark.createDataFrame([("vehicle", "46")], "word string, rcw_title string")
-    many = search.search_many(index, bodies, spark.createDataFrame(list(enumerate(asked)), "query_id long, query string"), phrases, titles=titles)
+    many = search.search_many(index, bodies, spark.createDataFrame(list(enumerate(asked)), "query_id long, query string"), phrases, titles=titles, few=few)
     got = sorted((r["query"], r["record_id"], r["score"]) for r in many.collect())
     one = lambda q: search.search(index, bodies, q, phrases, titles={"46"} if "vehicle" in q else None)
     assert got == sorted((q, r["record_id"], r["score"]) for q in asked for r in one(q).collect())
