@@ -223,7 +223,8 @@ def label(documents: DataFrame, text: str, classifier: Classifier) -> DataFrame:
         for texts in batches:
             yield pa.array([[dict(zip(("start", "end", "lang", "confidence"), s)) for s in classifier.segments(t)] if t else [] for t in texts.to_pylist()], kind)
 
-    return spread(documents).withColumn("segments", of(F.col(text)))
+    # Not to be repeated by the optimizer for a filter on its result.
+    return spread(documents).withColumn("segments", of.asNondeterministic()(F.col(text)))
 
 
 def present(labelled: DataFrame, run_min: int) -> DataFrame:
