@@ -20,7 +20,7 @@ PLAIN = [
 ]
 PREFIXES = {"addition": "New law — ", "amendment": "Amends existing law — ", "appropriation": "Funding — "}
 REQUIRES = {"must": "requires", "may": "allows", "cannot": "prohibits"}
-P_LENSES = [(name, re.compile(p, re.I)) for name, p in LENSES]
+P_LENSES = [(name, re.compile(p)) for name, p in LENSES]  # of lower-case text
 P_PLAIN = [(re.compile(rf"\b{a}\b", re.I), b) for a, b in PLAIN]
 P_TIME_TAIL = re.compile(rf"\s+within\s+(?:{NUMBER_WORDS})\s+{PERIOD}[^,;.]*|\s+no later than\s+[^;.]{{3,60}}", re.I)
 P_NOTE_LEAD = re.compile(rf"(?:including|excluding)\s*:?\s*(?:,?\s*(?:{'|'.join(f.replace(' ', chr(92) + 's+') for f in k.FILLERS)})\s*,?\s*)*", re.I)
@@ -61,7 +61,7 @@ def verb_of(modal: str | None, signal: str | None) -> str:
 
 
 def lens_of(anchor: str, conditions: list[str]) -> str:
-    text = f"{anchor} {' '.join(conditions)}"
+    text = f"{anchor} {' '.join(conditions)}".lower()
     return next((name for name, p in P_LENSES if p.search(text)), "modality_shift")
 
 

@@ -91,6 +91,7 @@ class Edited:
         return inner.cut([(m.start(), m.end(), "") for m in re.finditer(r"\A\s+|\s+\Z", inner.text)])
 
 
+P_STATE, P_FEDERAL = re.compile(rules.STATE), re.compile(rules.FEDERAL)  # of lower-case text
 P_TYPES = [(kind, re.compile(p, re.I)) for kind, p in rules.TYPES]
 
 
@@ -119,7 +120,8 @@ def _one(pattern: str, text: str, flags: int = re.I) -> str | None:
 
 def context(text: str) -> dict:
     """When, where, how and risk of a sentence."""
-    state, federal = re.search(rules.STATE, text, re.I), re.search(rules.FEDERAL, text, re.I)
+    low = text.lower()
+    state, federal = P_STATE.search(low), P_FEDERAL.search(low)
     return {
         "deadlines": _all(rules.WITHIN, text, "within") + _all(rules.NO_LATER, text, "no later than"),
         "triggers": _all(rules.TRIGGER, text, "upon", "after", "following", "once"),
@@ -290,7 +292,8 @@ def plain_meaning(sections: DataFrame, text: Column | str = "text", bill_number:
         for texts, numbers in batches:
             yield pa.array([None if t is None else analyze(t, n, verbs) for t, n in zip(texts.to_pylist(), numbers.to_pylist())], kind)
 
-    return spread(sections).withColumn("result", run(text, number))
+    # Not to be repeated by the optimizer for a filter on its result.
+    return spread(sections).withColumn("result", run.asNondeterministic()(text, number))
 
 
 def units(analyzed: DataFrame, *keys: str) -> DataFrame:
