@@ -77,14 +77,14 @@ def split_items(items: DataFrame, text: Column | str, max_chars: int = 2000, ove
 
     @F.arrow_udf(PIECES)
     def cut(texts: pa.Array) -> pa.Array:
-        rows = [[{"piece_no": i, "start": a, "end": b, "cut": k, "text": t[a:b]} for i, (a, b, k) in enumerate(pieces(t, max_chars, overlap))] for t in texts.to_pylist()]
+        rows = [t and [{"piece_no": i, "start": a, "end": b, "cut": k, "text": t[a:b]} for i, (a, b, k) in enumerate(pieces(t, max_chars, overlap))] for t in texts.to_pylist()]
         return pa.array(rows, kind)
 
     text = F.col(text) if isinstance(text, str) else text
-    long = items.where(F.length(text) > max_chars).withColumn("pieces", cut(text))
     one = F.array(F.struct(F.lit(0).alias("piece_no"), F.lit(0).alias("start"), F.length(text).alias("end"), F.lit("item").alias("cut"), text.alias("text")))
-    short = items.where(F.length(text) <= max_chars).withColumn("pieces", one.cast(PIECES))
-    return long.unionByName(short)
+    # One pass over the items; the short ones are null on their way through Python.
+    long = F.length(text) > max_chars
+    return items.where(text.isNotNull()).withColumn("pieces", F.coalesce(cut(F.when(long, text)), one.cast(PIECES)))
 
 
 def bill_items(corpus: DataFrame) -> DataFrame:
