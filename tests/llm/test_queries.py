@@ -5,7 +5,7 @@ from tests.test_entry import duck, plain  # noqa: F401
 import pytest
 
 
-@pytest.mark.parametrize("name", [n for n in sorted(queries.QUERIES) if n.endswith("_found") or n in ("p6_containers", "p7_shares")])
+@pytest.mark.parametrize("name", [n for n in sorted(queries.QUERIES) if n in queries.SQL or n in ("p6_containers", "p7_shares", "p8_found")])
 def test_query(spark, sf, duck, name):  # noqa: F811
     df = driver.queries()[name](spark, sf)
     cols = sorted(df.columns)
