@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexspan.operators import harness
 from lexspan.plans import plain_meaning as plan
 from lexspan.runtime import table
 
@@ -171,7 +172,20 @@ def case_sections(spark: SparkSession, folder: str) -> DataFrame:
     return parsed(spark, folder, SECTIONS_TEXT, "section_type", "effective_date", "plain_meaning", "has_content", "empty_reason").select(K, "result.*")
 
 
+SECOND = pick("The board shall keep file #.", "The board must keep file #.", "A note on file # and nothing else.", "The agency shall keep file #. The board is required to keep file #.")
+REPEATS_SQL = f"""SELECT {K}, section_pos, pos, paragraph FROM (SELECT {K}, 1 AS section_pos, {BY[4]} // 3 AS pos, {say("The board must keep file #.")} AS paragraph FROM orders WHERE {BY[4]} IN (1, 3))"""
+
+
+def case_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    """chk_C6, para_anchor: of two sections the second repeats the first from the same words, from others, not at all, or after another paragraph."""
+    rows = table(spark, folder, "orders").select(K, F.posexplode(F.array(F.expr(say("The board shall keep file #.")), F.expr(SECOND))).alias("section_pos", "text"))
+    parts = harness.paragraphs(plan.plain_meaning(rows, "text", fields=("units", "plain_meaning")), K, "section_pos")
+    found = harness.repeated_paragraphs(parts.withColumn("at", F.struct("section_pos", "pos")), K, "at", "paragraph", "anchor")
+    return found.select(K, "at.section_pos", "at.pos", "paragraph")
+
+
 FAMILIES = {
     case_signals: SIGNALS_SQL, case_conditions: CONDITIONS_SQL, case_lists: LISTS_SQL, case_values: VALUES_SQL, case_bindings: BINDINGS_SQL,
     case_coordinate: COORDINATE_SQL, case_two_actors: PAIR_SQL, case_render: RENDER_SQL, case_sections: SECTIONS_SQL,
+    case_repeats: REPEATS_SQL,
 }
