@@ -314,12 +314,13 @@ def _compare(window: int, full: int):
 
     def edges(contexts: list[dict]) -> Iterator[tuple[int, int, int]]:
         sides = [(c["ctx"][: c["la"]][::-1], c["ctx"][c["la"] + window :]) for c in contexts]
+        middle = [c["ctx"][c["la"] : c["la"] + window] for c in contexts]
         out = [[-1, slack + 1] for _ in contexts]  # greatest and least characters before the window of a shared span
         for i, c in enumerate(contexts):
             for j in range(i):
                 d = contexts[j]
-                if c["lo"] == c["hi"] == d["lo"] == d["hi"]:
-                    continue  # both of one record
+                if c["lo"] == c["hi"] == d["lo"] == d["hi"] or middle[i] != middle[j]:
+                    continue  # both of one record, or windows that only have the same hash
                 left, right = _common(sides[i][0], sides[j][0]), _common(sides[i][1], sides[j][1])
                 if left + right >= slack:
                     for o in (out[i], out[j]):

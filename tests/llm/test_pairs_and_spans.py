@@ -77,6 +77,12 @@ def test_slices_and_keys_change_nothing(spark, limits):
     assert {tuple(r) for r in shared_spans(corpus(spark, rows), "entry_id", "text", 30, 1, **limits).collect()} == brute_spans(rows, 30)
 
 
+def test_repeated_rows_are_one_record(spark):
+    rows = texts(9)
+    df = corpus(spark, rows + rows[:12])
+    assert {tuple(r) for r in shared_spans(df, "entry_id", "text", 30, 2).collect()} == brute_spans(rows, 30)
+
+
 def test_an_index_is_opened_again(spark, tmp_path):
     rows = texts(8)
     df = corpus(spark, rows)
