@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 from lexspan.runtime import drop_table_files, materialize
 
-#: Keys that a bucket holds on average, its cells at first, and how often they are enlarged; all fixed, so that a bucket's work is bounded.
-KEYS_PER_BUCKET, CELLS, ROUNDS = 512, 96, 3
+#: Keys that a bucket holds on average, its cells at first (enough where a fifth of the keys change), and how often they are enlarged; all fixed, so that a bucket's work is bounded.
+KEYS_PER_BUCKET, CELLS, ROUNDS = 512, 288, 3
 
 
 def latest_rows(rows: DataFrame, keys: list[str], at: str) -> DataFrame:
