@@ -19,8 +19,8 @@ Texts sent again under another id are one document: the smallest id is used, so
 cap. Sources are matched in lower case with spaces and hyphens as underscores. Documents of other or
 null sources, null or empty texts (size 0) and sources with a share of 0 are not chosen. A target
 source without documents gets the share 0 and the rest keep their proportions. ``target_met`` says for
-each source whether its reached share is within ``TOLERANCE`` and one document of its target, as
-documents are used whole.
+each source whether its size is within ``TOLERANCE`` of the wanted one and one document of the source, as
+documents are used whole; a source without documents doesn't meet its target.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from lexspan.runtime import materialize, small
 
-#: Bins of the uniform number; sources at most; the greatest difference of shares that counts as met.
+#: Bins of the uniform number; sources at most; the greatest relative difference of a size that counts as met.
 BINS, MAX_SOURCES, TOLERANCE = 1024, 1000, 0.005
 
 
@@ -78,11 +78,12 @@ def choose(documents: DataFrame, doc: str, text: str, source: str, size: Column,
     # Sizes are counted where the text is, so the texts themselves aren't shuffled.
     sizes = wanted.select("doc", size.alias("size"))
     docs = materialize(kept.join(sizes, "doc").where("size > 0").withColumn("u", uniform(seed, "doc")).select("doc", "source", "size", "u"), "sized")
-    have = {r[0]: int(r[1]) for r in docs.groupBy("source").agg(F.sum("size")).collect()}
+    sums = {r[0]: (int(r[1]), int(r[2])) for r in docs.groupBy("source").agg(F.sum("size"), F.max("size")).collect()}  # one row a source
+    have = {s: v[0] for s, v in sums.items()}
     goal = {s: g for s, g in goal.items() if s in have}
     if not goal:
         none = docs.where("false")
-        return none.select("doc", "source", "size", F.lit(0).alias("n_used")), _shares(none.withColumn("n_used", F.lit(0)), targets)
+        return none.select("doc", "source", "size", F.lit(0).alias("n_used")), _shares(none.withColumn("n_used", F.lit(0)), targets, {})
     all_shares = sum(g[0] for g in goal.values())
     share = {s: g[0] / all_shares for s, g in goal.items()}
     total = min(use * have[s] * goal[s][1] / share[s] for s in goal)
@@ -93,7 +94,7 @@ def choose(documents: DataFrame, doc: str, text: str, source: str, size: Column,
     fine = _histograms(docs, edges)
     rates = {s: (_calibrated(fine[s], want[s], cap), cap) for s, (_, cap) in rates.items()}
     chosen = docs.withColumn("n_used", counts_of(rates)).where("n_used > 0").select("doc", "source", "size", "n_used")
-    return chosen, _shares(chosen, targets)
+    return chosen, _shares(chosen, targets, {s: (w, sums[s][1]) for s, w in want.items()})
 
 
 def _histograms(docs: DataFrame, split: dict[str, list[int]]) -> dict[str, tuple[np.ndarray, np.ndarray]]:
@@ -132,14 +133,18 @@ def _calibrated(histogram: tuple[np.ndarray, np.ndarray], want: float, cap: int)
     return (least(lambda got: got >= best) + least(lambda got: got > best)) / 2
 
 
-def _shares(chosen: DataFrame, targets: DataFrame) -> DataFrame:
+def _shares(chosen: DataFrame, targets: DataFrame, wanted: dict[str, tuple[float, int]]) -> DataFrame:
+    """wanted: the size that each source should contribute, and its largest document."""
     got = chosen.groupBy("source").agg(
-        F.sum(F.col("size") * F.col("n_used")).alias("used_size"), F.count("*").alias("n_documents"), F.max("n_used").alias("most_used"), F.max("size").alias("largest")
+        F.sum(F.col("size") * F.col("n_used")).alias("used_size"), F.count("*").alias("n_documents"), F.max("n_used").alias("most_used")
     )
     whole = got.agg(F.sum("used_size").alias("whole"))
     want = targets.groupBy(plain_source("source").alias("source")).agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
+    goals = chosen.sparkSession.createDataFrame([(s, float(w), n) for s, (w, n) in wanted.items()], "source string, wanted_size double, largest long")
+    met = F.abs(F.coalesce("used_size", F.lit(0)) - F.col("wanted_size")) <= F.col("wanted_size") * TOLERANCE + F.col("largest")
     return (
         want.join(got, "source", "left")
+        .join(F.broadcast(goals), "source", "left")  # at most MAX_SOURCES rows
         .crossJoin(F.broadcast(whole))  # one row
         .select(
             "source",
@@ -149,7 +154,7 @@ def _shares(chosen: DataFrame, targets: DataFrame) -> DataFrame:
             F.coalesce("n_documents", F.lit(0)).alias("n_documents"),
             F.coalesce("most_used", F.lit(0)).alias("most_used"),
             "max_repeats",
-            (F.abs(F.coalesce(F.col("used_size") / F.col("whole"), F.lit(0.0)) - F.col("target_share")) <= TOLERANCE + F.coalesce(F.col("largest") / F.col("whole"), F.lit(0.0))).alias("target_met"),
+            F.coalesce(met, F.col("target_share") <= 0).alias("target_met"),
         )
     )
 

@@ -137,7 +137,7 @@ def p7_order(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p7_check(spark: SparkSession, folder: str) -> DataFrame:
-    """What must hold of the mix: each target met, no document over its cap, each used once in the shares, which sum up to one."""
+    """What must hold of the mix: each target of a source with documents met, no document over its cap, each used once in the shares, which sum up to one."""
     chosen, shares = _mix(spark, folder)
     caps = shares.select("source", "max_repeats")
     used = chosen.join(caps, "source", "left").agg(
@@ -260,7 +260,7 @@ WITH items AS (
 SELECT count(item) AS n_items, sum(length(item))::BIGINT AS n_chars, 0::BIGINT AS n_too_long, 0::BIGINT AS n_not_whole FROM items
 """,
     "p6_check": "SELECT count(*) AS n_documents, 0::BIGINT AS n_wrong, 0::BIGINT AS n_over, true AS little_unused FROM documents WHERE length(text) > 0",
-    "p7_check": "SELECT 0::BIGINT AS n_over, 0::BIGINT AS n_twice, count(DISTINCT source) AS n_targets, 0::BIGINT AS n_missed, true AS sums_to_one FROM mix_targets",
+    "p7_check": "SELECT 0::BIGINT AS n_over, 0::BIGINT AS n_twice, count(DISTINCT source) AS n_targets, count(DISTINCT source) FILTER (WHERE target_share > 0 AND source NOT IN (SELECT regexp_replace(lower(trim(regexp_replace(source, '[\\s\\x{a0}]+', ' ', 'g'))), '[ -]+', '_', 'g') FROM documents WHERE length(text) > 0 AND source IS NOT NULL)) AS n_missed, true AS sums_to_one FROM mix_targets",
     "p8_check": "SELECT count(*) AS n_documents, count(l.label_form) AS n_known, 0::BIGINT AS n_wrong, true AS mostly_known FROM documents d LEFT JOIN (SELECT DISTINCT label_form FROM lang_aliases) l ON lower(trim(d.lang)) = l.label_form",
     "p1_found": f"WITH {_SHARED} SELECT entry_id, span_start, span_end FROM spans",
     "p1_report": f"""WITH {_SHARED} SELECT c.entry_id, coalesce(length(text), 0)::INT AS n_chars, coalesce(n, 0) AS n_spans, coalesce(total, 0)::BIGINT AS shared_chars, CASE WHEN length(text) > 0 THEN coalesce(total, 0)::BIGINT / length(text) ELSE 0.0 END AS share
