@@ -23,7 +23,7 @@ REQUIRES = {"must": "requires", "may": "allows", "cannot": "prohibits"}
 P_LENSES = [(name, re.compile(p)) for name, p in LENSES]  # of lower-case text
 P_PLAIN = [(re.compile(rf"\b{a}\b", re.I), b) for a, b in PLAIN]
 P_TIME_TAIL = re.compile(rf"\s+within\s+(?:{NUMBER_WORDS})\s+{PERIOD}[^,;.]*|\s+no later than\s+[^;.]{{3,60}}", re.I)
-P_NOTE_LEAD = re.compile(rf"(?:including|excluding)\s*:?\s*(?:,?\s*(?:{'|'.join(f.replace(' ', chr(92) + 's+') for f in k.FILLERS)})\s*,?\s*)*", re.I)
+P_NOTE_LEAD = re.compile(rf"(?:including|excluding)\s*:?\s*(?:,?\s*(?:{'|'.join(f.replace(' ', r'\s+') for f in k.FILLERS)})\s*,?\s*)*", re.I)
 
 
 @dataclass
